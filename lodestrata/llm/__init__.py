@@ -15,7 +15,7 @@ MODULES = (
     # "main_content",
     "token_ids",
     # "eval_leaks",
-    # "mojibake",
+    "mojibake",
 )
 
 
