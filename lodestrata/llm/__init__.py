@@ -11,10 +11,10 @@ MODULES = (
     # "answer_defects",
     # "name_variants",
     # "scan_repair",
-    # "split_oversized",
+    "split_oversized",
     # "main_content",
     "token_ids",
-    # "eval_leaks",
+    "eval_leaks",
     "mojibake",
 )
 
