@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 
 MODULES = (
-    # "near_duplicates",
+    "near_duplicates",
     # "vector_neighbours",
     # "answer_defects",
     # "name_variants",
