@@ -7,9 +7,9 @@ from collections.abc import Callable
 
 MODULES = (
     "near_duplicates",
-    # "vector_neighbours",
+    "vector_neighbours",
     # "answer_defects",
-    # "name_variants",
+    "name_variants",
     # "scan_repair",
     "split_oversized",
     # "main_content",
