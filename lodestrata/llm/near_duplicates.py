@@ -17,13 +17,12 @@ Spark's skew join.
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import map_batches
@@ -100,18 +99,14 @@ def signatures(values: np.ndarray, counts: np.ndarray, symbols: int, bits: int =
     return _mix(out) >> np.uint64(64 - bits)
 
 
-def entries(rows: np.ndarray, salt: int) -> np.ndarray:
-    """The index entries of each signature: every chunk with every choice of ``CHUNK_ERRORS`` symbols left out."""
+def index_entries(space: Column, symbols: Column) -> Column:
+    """The index entries of a signature: every chunk with every choice of ``CHUNK_ERRORS`` symbols left out."""
     keys = []
     for chunk in range(CHUNKS):
-        base = chunk * CHUNK_WIDTH
         for kept in combinations(range(CHUNK_WIDTH), CHUNK_WIDTH - CHUNK_ERRORS):
-            tag = np.uint64(salt * 1_000_003 + base * 1_009 + sum(1 << i for i in kept))
-            key = np.full(len(rows), tag, dtype=np.uint64)
-            for i in kept:
-                key = _mix(key * np.uint64(0x100000001B3) ^ rows[:, base + i])
-            keys.append(key)
-    return np.stack(keys, axis=1).view(np.int64)
+            tag = chunk * 1_000 + sum(1 << i for i in kept)
+            keys.append(F.xxhash64(space, F.lit(tag), *(symbols[chunk * CHUNK_WIDTH + i] for i in kept)))
+    return F.array(*keys)
 
 
 def sketches(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,12 +127,8 @@ def _disagree(one: str, other: str) -> Column:
     return F.bit_count(some.bitwiseAND(F.lit(ones)))
 
 
-_RECORD = "rid bigint, copy bigint, s1 bigint, s2 bigint, entries array<bigint>"
-_NAMES = ["rid", "copy", "s1", "s2", "entries"]
-
-
 def signed_records(records: DataFrame, words: int = WORDS) -> DataFrame:
-    """(``rid``, ``copy``, ``entries``) of the ``records`` (rid, space, text) that have a word sequence.
+    """(``rid``, ``space``, ``id``, ``copy``, ``s1``, ``s2``, ``symbols``) of the ``records`` (rid, space, id, text) that have a word sequence.
 
     ``copy`` is the same for texts with the same words in the same order within a space.
     """
@@ -145,34 +136,31 @@ def signed_records(records: DataFrame, words: int = WORDS) -> DataFrame:
     def make():
         hashes = _WordHashes()
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rids, spaces, texts = batch.columns
-            values, counts = sequence_hashes(texts.to_pylist(), hashes, words)
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            values, counts = sequence_hashes(batch.column(3).to_pylist(), hashes, words)
             has = counts > 0
-            rid = rids.to_numpy(zero_copy_only=False)[has]
-            space = spaces.to_numpy(zero_copy_only=False)[has].astype(np.int64)
-            if not len(rid):
+            if not has.any():
                 return None
             rows = signatures(values, counts, CHUNKS * CHUNK_WIDTH)
             kept = counts[has]
             starts = np.cumsum(kept) - kept
             place = np.arange(len(values)) - np.repeat(starts, kept)
-            copy = np.add.reduceat(_mix(values + _mix(place.astype(np.uint64))), starts) + space.astype(np.uint64)
-            keys = np.empty((len(rid), comb(CHUNK_WIDTH, CHUNK_ERRORS) * CHUNKS), np.int64)
-            for s in np.unique(space):
-                keys[space == s] = entries(rows[space == s], int(s))
-            offsets = pa.array(np.arange(len(rid) + 1, dtype=np.int32) * keys.shape[1])
-            columns = [rid, copy.view(np.int64), *sketches(rows)]
-            return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], names=_NAMES)
+            space = batch.column(1).to_numpy(zero_copy_only=False)[has].astype(np.uint64)
+            copy = np.add.reduceat(_mix(values + _mix(place.astype(np.uint64))), starts) + space
+            offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1])
+            symbols = pa.ListArray.from_arrays(offsets, pa.array(rows.astype(np.uint32).view(np.int32).ravel()))
+            own = [c.filter(pa.array(has)) for c in batch.columns[:3]]
+            return pa.RecordBatch.from_arrays([*own, *map(pa.array, (copy.view(np.int64), *sketches(rows))), symbols], names=["rid", "space", "id", "copy", "s1", "s2", "symbols"])
 
         return run
 
-    return map_batches(records.select("rid", "space", "text"), make, _RECORD)
+    schema = "rid bigint, space int, id string, copy bigint, s1 bigint, s2 bigint, symbols array<int>"
+    return map_batches(records.select("rid", "space", "id", "text"), make, schema)
 
 
 def candidate_pairs(signed: DataFrame) -> DataFrame:
     """Pairs (``a`` < ``b``) of different representatives that meet in an entry and agree in enough symbols."""
-    entry = signed.select(F.explode("entries").alias("entry"), "rid", "s1", "s2")
+    entry = signed.select(F.explode(index_entries(F.col("space"), F.col("symbols"))).alias("entry"), "rid", "s1", "s2")
     one = entry.select("entry", F.col("rid").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
     other = entry.select("entry", F.col("rid").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
     agree = F.lit(SKETCH_SYMBOLS) - _disagree("a1", "b1") - _disagree("a2", "b2")
@@ -223,22 +211,19 @@ def curation_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def revisions(records: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """Classes (``rid``, ``copy``, ``head``) of all records with sequences, and pairs of class heads (``a``, ``b``, ``similarity``)."""
+    """Members (``head``, ``id``) of all classes of copies, and pairs of class heads (``a``, ``b``, ``similarity``)."""
     signed = signed_records(records, words).persist(StorageLevel.DISK_ONLY)
-    heads = signed.groupBy("copy").agg(F.min("rid").alias("head"))
-    classes = signed.select("rid", "copy").join(heads, "copy").select("rid", "copy", "head")
-    unique = signed.join(heads.select(F.col("head").alias("rid")), "rid", "left_semi")
-    return classes, verified_pairs(candidate_pairs(unique), records, words, similarity)
+    first = F.min_by(F.struct("rid", "space", "s1", "s2", "symbols"), "rid").alias("first")
+    heads = signed.groupBy("copy").agg(first).select("first.*")
+    members = signed.select("copy", "id", "rid").withColumn("head", F.min("rid").over(Window.partitionBy("copy"))).select("head", "id").distinct()
+    return members, verified_pairs(candidate_pairs(heads), records, words, similarity)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = curation_records(spark, sf_dir)
-    classes, pairs = revisions(records)
-    names = classes.join(records.select("rid", "id"), "rid").select("head", "id").distinct()
-    a, b = names.select(F.col("head").alias("a"), F.col("id").alias("x")), names.select(F.col("head").alias("b"), F.col("id").alias("y"))
+    members, pairs = revisions(curation_records(spark, sf_dir))
+    a, b = members.select(F.col("head").alias("a"), F.col("id").alias("x")), members.select(F.col("head").alias("b"), F.col("id").alias("y"))
     links = pairs.select("a", "b").join(a, "a").join(b, "b").select("x", "y")
-    copies = names.groupBy("head").count().where("count > 1").select("head")
-    repeated = names.join(copies, "head")
+    repeated = members.withColumn("n", F.count("*").over(Window.partitionBy("head"))).where("n > 1")
     twins = repeated.select("head", F.col("id").alias("x")).join(repeated.select("head", F.col("id").alias("y")), "head").where("x < y").select("x", "y")
     return links.unionByName(twins).where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
