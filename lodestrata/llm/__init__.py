@@ -8,7 +8,7 @@ from collections.abc import Callable
 MODULES = (
     "near_duplicates",
     "vector_neighbours",
-    # "answer_defects",
+    "answer_defects",
     "name_variants",
     # "scan_repair",
     "split_oversized",
