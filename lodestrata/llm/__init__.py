@@ -12,7 +12,7 @@ MODULES = (
     "name_variants",
     # "scan_repair",
     "split_oversized",
-    # "main_content",
+    "main_content",
     "token_ids",
     "eval_leaks",
     "mojibake",
