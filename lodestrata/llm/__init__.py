@@ -10,7 +10,7 @@ MODULES = (
     "vector_neighbours",
     "answer_defects",
     "name_variants",
-    # "scan_repair",
+    "scan_repair",
     "split_oversized",
     "main_content",
     "token_ids",

@@ -33,7 +33,7 @@ from lodestrata.llm.common import map_batches
 from lodestrata.llm.mojibake import make_restorer, make_suspect
 from lodestrata.tables import table
 
-SITE_SHARE, SITE_PAGES = 0.04, 4
+SITE_SHARE, SITE_PAGES = 0.15, 4
 #: Characters from which a line is text whatever its site repeats.
 LONG_LINE = 160
 #: Repeated lines of all sites that may be broadcast (8 bytes each); more are joined by site, salted.
