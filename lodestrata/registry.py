@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-PLANS = ("slice",)
+PLANS = ("slice", "text")
 
 
 def _plans() -> list:
