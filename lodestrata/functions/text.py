@@ -80,7 +80,7 @@ def stated_facts(text: Column) -> Column:
 
     def found(pattern: str, predicate: str) -> Column:
         pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("s"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("o"))
-        return F.transform(pairs, lambda p: F.struct(F.trim(p["0"]).alias("subject"), F.lit(predicate).alias("predicate"), F.trim(p["1"]).alias("object")))
+        return F.transform(pairs, lambda p: F.struct(F.trim(p["s"]).alias("subject"), F.lit(predicate).alias("predicate"), F.trim(p["o"]).alias("object")))
 
     return F.concat(found(r"([A-Za-z ]+) is (?:the )?([A-Za-z ]+)\.", "is"), found(r"([A-Za-z ]+) was born in ([A-Za-z ]+)\.", "born_in"))
 
@@ -89,7 +89,7 @@ def stated_triplets(text: Column) -> Column:
     """Lower-cased (subject, predicate, object) with a verb of a small vocabulary."""
     pattern = r"(?i)([A-Za-z_]+)\s+(is|likes|has|eats|knows|located_in|capital_of)\s+([A-Za-z_]+)"
     parts = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(f"g{i}") for i in (1, 2, 3)))
-    return F.transform(parts, lambda p: F.struct(F.lower(p["0"]).alias("subject"), F.lower(p["1"]).alias("predicate"), F.lower(p["2"]).alias("object")))
+    return F.transform(parts, lambda p: F.struct(F.lower(p["g1"]).alias("subject"), F.lower(p["g2"]).alias("predicate"), F.lower(p["g3"]).alias("object")))
 
 
 def guessed_language(text: Column) -> Column:

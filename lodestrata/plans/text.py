@@ -37,7 +37,7 @@ def text_modality(spark, sf_dir):
 
 
 def text_chunks_by_emotion(spark, sf_dir):
-    return chunk_nodes(spark, sf_dir).where(T.emotion(F.col("text")) == "happy").select("pos", "id")
+    return chunk_nodes(spark, sf_dir).where(T.emotion(F.col("text")) != "neutral").select("pos", "id")
 
 
 def text_entities(spark, sf_dir):
@@ -79,7 +79,7 @@ def text_safety_filter(spark, sf_dir):
 def text_safety_guard(spark, sf_dir):
     """The guard form: a hit blocks at once."""
     toxicity = F.length(F.regexp_replace(F.col("text"), "[^A-Z]", "")) / F.greatest(F.length(F.col("text")), F.lit(1))
-    return _documents(spark, sf_dir).where(F.rlike(F.col("text"), F.lit("(?i)" + UNSAFE)) | (0.5 * toxicity > 0.3)).select("doc_id")
+    return _documents(spark, sf_dir).where(F.rlike(F.col("text"), F.lit("(?i)" + UNSAFE)) | (0.5 * toxicity > 0.04)).select("doc_id")
 
 
 def text_safe_ingest(spark, sf_dir):
@@ -94,7 +94,7 @@ def text_tool_calls(spark, sf_dir):
 
 def text_template(spark, sf_dir):
     """Answers that hold the length and the pattern of a template."""
-    return table(spark, sf_dir, "qa").select("pos", F.coalesce((F.length("answer") <= 120) & F.rlike("answer", F.lit(r"[.]$")), F.lit(False)).alias("valid"))
+    return table(spark, sf_dir, "qa").select("pos", F.coalesce((F.length("answer") <= 120) & F.rlike("answer", F.lit(r"[.]\z")), F.lit(False)).alias("valid"))
 
 
 def chunk_sliding(spark, sf_dir):
@@ -155,7 +155,7 @@ ORACLES = {
     "text_clean_chunks_changed": f"SELECT count(*) FILTER ({clean('text')} <> text) AS changed, count(*) AS chunks {_CHUNKS}",
     "text_emotion": f"SELECT doc_id, {_CASE_EMOTION} AS emotion FROM documents WHERE text IS NOT NULL",
     "text_modality": f"SELECT doc_id, CASE WHEN {_SPOKEN} OR (len({words('text')}) > 0 AND length(regexp_replace(text, '[^.!?]', '', 'g')) / len({words('text')}) < 0.05) THEN 'spoken' ELSE 'written' END AS modality FROM documents WHERE text IS NOT NULL",
-    "text_chunks_by_emotion": f"SELECT pos, id {_CHUNKS} AND ({_CASE_EMOTION}) = 'happy'",
+    "text_chunks_by_emotion": f"SELECT pos, id {_CHUNKS} AND ({_CASE_EMOTION}) <> 'neutral'",
     "text_entities": rf"SELECT DISTINCT doc_id, unnest(regexp_extract_all(regexp_replace(text, '{WIDE}', '_', 'g'), '\b([A-Z][a-z]+(?: [A-Z][a-z]+)*)\b', 1)) AS entity FROM documents WHERE text IS NOT NULL",
     "text_facts": r"""
 WITH found AS (
@@ -177,7 +177,7 @@ LEFT JOIN (SELECT pos, -sum(n / t * log2(n / t)) e FROM counts JOIN sizes USING
     "text_language_gate": "SELECT coalesce(lower(substr(lang, 1, 2)), 'und') AS lang, count(*) AS documents, count(*) FILTER (lower(substr(lang, 1, 2)) IN ('fr', 'en')) AS processed, count(*) FILTER (NOT coalesce(lower(substr(lang, 1, 2)) IN ('fr', 'en'), false)) AS skipped FROM documents GROUP BY 1",
     "text_guessed_language": "SELECT doc_id, CASE WHEN regexp_matches(lower(text), '[àâäéèêëîïôöùûüÿçœæ]') OR contains(lower(text), 'bonjour') THEN 'fr' WHEN contains(lower(text), 'hola') THEN 'es' ELSE 'en' END AS lang FROM documents WHERE text IS NOT NULL",
     "text_safety_filter": rf"SELECT doc_id, round(0.5 * ({_TOXIC} + regexp_matches(text, '(?i){UNSAFE}')::INT), 6) AS score, 0.5 * ({_TOXIC} + regexp_matches(text, '(?i){UNSAFE}')::INT) > 0.7 AS blocked FROM documents WHERE text IS NOT NULL",
-    "text_safety_guard": rf"SELECT doc_id FROM documents WHERE text IS NOT NULL AND (regexp_matches(text, '(?i){UNSAFE}') OR 0.5 * {_TOXIC} > 0.3)",
+    "text_safety_guard": rf"SELECT doc_id FROM documents WHERE text IS NOT NULL AND (regexp_matches(text, '(?i){UNSAFE}') OR 0.5 * {_TOXIC} > 0.04)",
     "text_safe_ingest": rf"SELECT lower(substr(lang, 1, 2)) AS lang, count(*) AS kept, sum(length(text))::BIGINT AS characters FROM documents WHERE text IS NOT NULL AND lower(substr(lang, 1, 2)) IN ('fr', 'en') AND NOT regexp_matches(text, '(?i){UNSAFE}') GROUP BY 1",
     "text_tool_calls": r"""
 WITH a AS (SELECT pos, regexp_replace(answer, '(?i)([0-9]+ (?:litres|hours))', '[TOOL:convert(\1)]') AS t FROM qa WHERE answer IS NOT NULL)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-PLANS = ("slice", "text")
+PLANS = ("slice", "text", "graph")
 
 
 def _plans() -> list:
