@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-PLANS = ("slice", "text", "graph")
+PLANS = ("slice", "text", "graph", "measures")
 
 
 def _plans() -> list:
