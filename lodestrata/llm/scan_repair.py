@@ -113,8 +113,27 @@ def _alike(a: str, b: str) -> bool:
         return True
     if not a or not b or abs(len(a) - len(b)) > 4:
         return False
+    one, other = a.split(), b.split()
+    if sum(p == q for p, q in zip(one, other)) * 2 < len(one):
+        return False
     x, y = Counter(a), Counter(b)
-    return sum(((x - y) + (y - x)).values()) <= max(2, len(a) // 6) and sum(p == q for p, q in zip(a.split(), b.split())) * 2 >= len(a.split())
+    return sum(((x - y) + (y - x)).values()) <= max(2, len(a) // 6)
+
+
+def _with_twins(keys: list[str]) -> set[str]:
+    """Those of the ``keys`` that another one is like; such two share a word in its place."""
+    places: dict[tuple[int, str], list[str]] = defaultdict(list)
+    for key in keys:
+        for at in enumerate(key.split()):
+            places[at].append(key)
+    found: set[str] = set()
+    for group in places.values():
+        for i, a in enumerate(group):
+            if a not in found or i + 1 < len(group):
+                for b in group[i + 1 :]:
+                    if (a not in found or b not in found) and _alike(a, b):
+                        found |= {a, b}
+    return found
 
 
 def line_features(text: str) -> list[list]:
@@ -134,7 +153,7 @@ def line_features(text: str) -> list[list]:
     short_keys = {i: _fuzzy(strips[i]) for i in doubtful if not _ENDS.search(strips[i])}
     exact = Counter(short_keys.values())
     odd = [k for k in exact if len(k) > 6]
-    twins = {k: sum(_alike(k, o) for o in odd) > 1 for k in odd} if len(odd) <= 200 else {}
+    twins = _with_twins(odd)
     numeric = {i: int(m[0]) for i in filled if len(strips[i]) < 24 and (m := re.search(r"\d{1,4}", strips[i])) and (_NUMBER_LINE.fullmatch(strips[i]) or _NUMBERED.fullmatch(strips[i]) or _OF.fullmatch(strips[i]))}
     values = set(numeric.values())
     out: list[list] = []
@@ -148,7 +167,7 @@ def line_features(text: str) -> list[list]:
         after = strips[filled[n + 1]] if n + 1 < len(filled) else ""
         key = short_keys.get(i, "")
         words, titled = doubtful[i]
-        repeated = len(key) > 6 and (exact[key] > 1 or twins.get(key, False))
+        repeated = len(key) > 6 and (exact[key] > 1 or key in twins)
         number = bool(_NUMBER_LINE.fullmatch(s)) and not re.search(r"[.,;:]$", s)
         ends = bool(_ENDS.search(s))
         size = len(s) / width
@@ -245,10 +264,12 @@ def edits(word: str, most: int = 3) -> dict[str, tuple[str, ...]]:
     return found
 
 
-def words_to_judge(text: str) -> set[str]:
-    """Words with letters, as they stand; marks of punctuation at their ends are not part of them."""
+def words_to_judge(text: str, held: frozenset[str] = frozenset()) -> set[str]:
+    """Words with letters that aren't ``held``, as they stand; marks of punctuation at their ends are not part of them."""
     out = set()
-    for token in _TOKEN.findall(text):
+    for token in set(_TOKEN.findall(text)):
+        if token.lower() in held:
+            continue
         token = token.strip("_").rstrip("!|").lstrip("|")
         if token.startswith("!") and not token[1:2].isalpha():
             token = token.lstrip("!")
@@ -490,7 +511,7 @@ def _traces(scans: DataFrame, trained: _Trained) -> DataFrame:
                 body, divided = joined_text(text, judged, models, held)
                 found = {k for k in judged if k != BODY} | ({"hyphenation"} if divided else set())
                 heads = "\n".join(s for s, k in zip(text.split("\n"), judged) if k == HEADER)
-                doubtful = [w for w in words_to_judge(body + "\n" + heads) if w.lower() not in held and not w.isdigit()]
+                doubtful = [w for w in words_to_judge(body + "\n" + heads, held) if w.lower() not in held and not w.isdigit()]
                 ids += [doc] * (len(found) + len(doubtful))
                 kinds += [*found, *["word"] * len(doubtful)]
                 words += [*[None] * len(found), *doubtful]
