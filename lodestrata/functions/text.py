@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once however often the body's lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def clean_text(text: Column) -> Column:
     """White space (Unicode) collapsed and trimmed."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -21,11 +26,14 @@ def sliding_windows(text: Column, window: int, overlap: int) -> Column:
     if not 0 <= overlap < window:
         raise ValueError("overlap must be at least 0 and less than the window")
     step = window - overlap
-    length = F.coalesce(F.length(text), F.lit(0))
-    last = F.greatest(F.lit(0), F.ceil((length - window) / F.lit(float(step))).cast("int"))
-    starts = F.sequence(F.lit(0), last)
-    windows = F.transform(starts, lambda i: F.substr(text, i * step + 1, F.lit(window)))
-    return F.when(length > 0, windows).otherwise(F.array().cast("array<string>"))
+
+    def windows(t: Column) -> Column:
+        length = F.length(t)
+        last = F.greatest(F.lit(0), F.ceil((length - window) / F.lit(float(step))).cast("int"))
+        found = F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(t, i * step + 1, F.lit(window)))
+        return F.when(length > 0, found).otherwise(F.array().cast("array<string>"))
+
+    return bound(F.coalesce(text, F.lit("")), windows)
 
 
 # Words by emotion, in the order they are looked for.
@@ -115,29 +123,38 @@ def token_windows(text: Column, most: int, overlap: int = 0) -> Column:
     """Windows of words; the first window that reaches the end is the last."""
     if not 0 <= overlap < most:
         raise ValueError("overlap must be at least 0 and less than the window")
-    listed = words(text)
     step = most - overlap
-    last = F.greatest(F.lit(0), F.ceil((F.size(listed) - most) / F.lit(float(step))).cast("int"))
-    found = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(listed, i * step + 1, F.lit(most)), " "))
-    return F.when(F.size(listed) > 0, found).otherwise(F.array().cast("array<string>"))
+
+    def windows(listed: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(listed) - most) / F.lit(float(step))).cast("int"))
+        found = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(listed, i * step + 1, F.lit(most)), " "))
+        return F.when(F.size(listed) > 0, found).otherwise(F.array().cast("array<string>"))
+
+    return bound(words(text), windows)
 
 
 def contextual_windows(text: Column, most: int, context: int = 20) -> Column:
     """Blocks of words, each after the last ``context`` words before it."""
-    listed = words(text)
-    last = F.greatest(F.lit(0), F.ceil(F.size(listed) / F.lit(float(most))).cast("int") - 1)
     first = lambda i: F.greatest(F.lit(0), i * most - context)
-    found = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(listed, first(i) + 1, i * most + most - first(i)), " "))
-    return F.when(F.size(listed) > 0, found).otherwise(F.array().cast("array<string>"))
+
+    def windows(listed: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil(F.size(listed) / F.lit(float(most))).cast("int") - 1)
+        found = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(listed, first(i) + 1, i * most + most - first(i)), " "))
+        return F.when(F.size(listed) > 0, found).otherwise(F.array().cast("array<string>"))
+
+    return bound(words(text), windows)
 
 
 def sentence_groups(text: Column, most: int) -> Column:
     """Groups of sentences cut at points, joined by a point and a space."""
     trimmed = F.transform(F.split(F.regexp_replace(text, "\n", " "), r"\."), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
-    sentences = F.filter(trimmed, lambda s: s != "")
-    last = F.greatest(F.lit(0), F.ceil(F.size(sentences) / F.lit(float(most))).cast("int") - 1)
-    found = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(sentences, i * most + 1, F.lit(most)), ". "))
-    return F.when(F.size(sentences) > 0, found).otherwise(F.array().cast("array<string>"))
+
+    def groups(sentences: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil(F.size(sentences) / F.lit(float(most))).cast("int") - 1)
+        found = F.transform(F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(sentences, i * most + 1, F.lit(most)), ". "))
+        return F.when(F.size(sentences) > 0, found).otherwise(F.array().cast("array<string>"))
+
+    return bound(F.filter(trimmed, lambda s: s != ""), groups)
 
 
 def packed_paragraphs(text: Column, size: int) -> Column:

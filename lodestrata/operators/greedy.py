@@ -136,10 +136,16 @@ def similar_pairs_dropped(pairs: DataFrame, threshold: float = 0.9) -> DataFrame
     bound = lambda x, y: 2 * F.least(F.length(x), F.length(y)) >= threshold * (F.length(x) + F.length(y))
     met = rare.join(other, "w").where("pos < pos2").where(bound("q", "q2") & bound("a", "a2")).select("pos", "pos2", "q", "q2", "a", "a2").distinct()
 
+    def alike(x, y):
+        if x == y:
+            return True
+        matcher = SequenceMatcher(None, x, y)  # its upper bounds are far cheaper than the ratio
+        return matcher.real_quick_ratio() >= threshold and matcher.quick_ratio() >= threshold and matcher.ratio() >= threshold
+
     def ratios(batches):
         for batch in batches:
             d = batch.to_pydict()
-            keep = [SequenceMatcher(None, q2, q).ratio() >= threshold and SequenceMatcher(None, a2, a).ratio() >= threshold for q, q2, a, a2 in zip(d["q"], d["q2"], d["a"], d["a2"])]
+            keep = [alike(q2, q) and alike(a2, a) for q, q2, a, a2 in zip(d["q"], d["q2"], d["a"], d["a2"])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["pos", "pos2"]).filter(pa.array(keep, pa.bool_()))
 
     links = cut(met.mapInArrow(ratios, "pos bigint, pos2 bigint"))
