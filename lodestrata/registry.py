@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-PLANS = ("slice", "text", "graph", "measures", "search", "topology")
+PLANS = ("slice", "text", "graph", "measures", "search", "topology", "building")
 
 
 def _plans() -> list:
