@@ -311,4 +311,9 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answer_defects(table(spark, sf_dir, "qa")).where("defect IS NOT NULL").select("pos", "defect").distinct()
 
 
-QUERIES = {"p3_found": p3_found}
+def p3_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair with its defect, if any, and the tags of its clauses in order."""
+    return answer_defects(table(spark, sf_dir, "qa")).select("pos", "defect", F.array_join("tags", " ").alias("tags"))
+
+
+QUERIES = {"p3_found": p3_found, "p3_tagged": p3_tagged}

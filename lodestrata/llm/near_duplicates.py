@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import map_batches
+from lodestrata.operators.components import connected_components
 from lodestrata.session import cut
 from lodestrata.tables import chunk_nodes, table
 
@@ -228,4 +229,21 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.unionByName(twins).where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 
-QUERIES = {"p1_found": p1_found}
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(``id``, ``group``, ``keep``, ``links``) of every record with word sequences: its group of revisions, whether it is the
+    one to keep (the first by its number), and how many other classes of copies its own is linked to."""
+    members, pairs = revisions(curation_records(spark, sf_dir))
+    pairs = cut(pairs.select("a", "b"))
+    groups = connected_components(pairs, "a", "b").select(F.col("node").alias("head"), F.col("component").alias("first"))
+    sides = pairs.select(F.col("a").alias("head")).unionByName(pairs.select(F.col("b").alias("head")))
+    links = sides.groupBy("head").agg(F.count("*").alias("links"))
+    rows = members.join(groups, "head", "left").join(links, "head", "left")
+    own = members.groupBy("head").agg(F.min("id").alias("first_id"))
+    return (
+        rows.withColumn("group", F.coalesce("first", "head"))
+        .join(own, "head")
+        .select("id", "group", ((F.col("group") == F.col("head")) & (F.col("id") == F.col("first_id"))).alias("keep"), F.coalesce("links", F.lit(0)).alias("links"))
+    )
+
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}

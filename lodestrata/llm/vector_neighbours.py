@@ -210,4 +210,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(table(spark, sf_dir, "embedding"))
 
 
-QUERIES = {"p2_found": p2_found}
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(``space``, ``id``, ``other``, ``cosine``, ``rank``): up to ``NEIGHBOURS`` most similar vectors of each representative, copies aside."""
+    usable, pairs = similar_pairs(table(spark, sf_dir, "embedding"))
+    names = usable.groupBy("rep").agg(F.min("node").alias("name"))
+    both = pairs.select("space", F.col("a").alias("rep"), F.col("b").alias("near"), "cosine").unionByName(pairs.select("space", F.col("b").alias("rep"), F.col("a").alias("near"), "cosine"))
+    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("cosine"), "near"))).where(F.col("rank") <= NEIGHBOURS)
+    own = names.select("rep", F.col("name").alias("id"))
+    return ranked.join(own, "rep").join(names.select(F.col("rep").alias("near"), F.col("name").alias("other")), "near").select("space", "id", "other", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours}
