@@ -7,9 +7,10 @@ code page is written as a regular expression over characters, so that the JVM ca
 run the same automaton as a filter and only hits reach Python.  Text garbled several
 times is decoded until nothing is left to decode.
 
-Single-byte text read in a Cyrillic code page has no byte structure; it shows as
-Cyrillic letters inside Latin words and is mapped back letter by letter, in texts
-where that occurs and outside of Cyrillic words.  U+FFFD marks bytes that were lost:
+Western single-byte text read in another single-byte code page has no byte structure.  It shows as
+letters of another script inside Latin words, or as words that become common accented words when their
+characters are mapped back (``ŕ``, ``aprčs``, ``ańo``); then the words with such letters are
+mapped back, in texts where that occurs and outside of words of the other script.  U+FFFD marks bytes that were lost:
 such a text is found, but its letters can't be known and stay.
 
 Null and empty texts are sound.  Repeated rows are judged alike.
@@ -96,10 +97,41 @@ def _for_python(pattern: str) -> str:
     return re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", pattern)
 
 
-_CYRILLIC = r"[\x{400}-\x{45f}\x{490}\x{491}]"
+#: Single-byte code pages in which western text may have been read, in the order tried.
+OTHER_PAGES = ("cp1251", "koi8_r", "cp1253", "cp1250", "iso8859_2", "cp1257", "cp1254", "cp1255", "cp1256", "mac_roman", "cp850", "cp437")
+_SCRIPTS = r"[\x{370}-\x{3ff}\x{400}-\x{4ff}\x{5d0}-\x{5ea}\x{620}-\x{64a}\x{e01}-\x{e5b}]"
 _LATIN = r"[A-Za-z\x{c0}-\x{24f}]"
-MIXED = f"{_LATIN}{_CYRILLIC}|{_CYRILLIC}{_LATIN}"
-LOST = r"\x{fffd}"
+MIXED = f"{_LATIN}{_SCRIPTS}|{_SCRIPTS}{_LATIN}"
+
+# Letters and marks of western texts, and common words with accents.
+_WESTERN = set("àâäáãåçèéêëìíîïñòóôöõùúûüÿœæßÀÂÄÁÃÅÇÈÉÊËÌÍÎÏÑÒÓÔÖÕÙÚÛÜŸŒÆšžŠŽ¿¡«»“”‘’„–—…€°·©®§º ª")
+_ACCENTED = frozenset(
+    "à où là ça çà été être même après très déjà voilà près dès père mère frère élève élèves règle deuxième troisième première premières années année contrôle août noël île âge dû sûr coûte coûté coût œuvre cœur sœur œil hôtel tête fête forêt fenêtre requête théâtre château pâte goût bientôt plutôt français façade façon leçon reçu garçon à-côté naïve naïf maïs haïr"
+    " entrepôt marégraphe mètres mètre échantillons entités entrées étiquette équipe équipes étoffe étang écluse modèle référence sécurité qualité propriété société université général générale problème système siècle lumière manière rivière derrière arrière matière"
+    " ¿por ¿qué ¿cómo ¿quién ¿cuándo ¿dónde ¿cuál ¿cuánto año años niño niña español españa mañana señor señora pequeño tamaño montaña baño otoño enseñó compañía daño sueño también según más está están aquí allí así después según qué cómo quién cuándo dónde había sido días día número última último página páginas información sección presión revisión región nación"
+    " não são também até você então através às já português informação ação ções mãe irmão coração"
+    " über für größe größte straße weiß groß mädchen können müssen würde möchte schön früh später während führen gäbe tür brücke zurück natürlich überzähliger prüfung übergabe"
+    " città più perché però così già università può".split()
+)
+_CHUNK = re.compile(r"\S*[^\x00-\x7f]\S*")
+_EDGES = " .,;:!?()[]{}<>\"'“”‘’«»|/*–—…-"
+
+
+def _page_tables() -> dict[str, dict[int, str]]:
+    """For each other page, what its characters are in the western page, where the two differ."""
+    western = {b: c for c, b in _byte_of("cp1252").items() if not "\x80" <= c <= "\x9f"}
+    return {page: {ord(c): western[b] for c, b in _byte_of(page).items() if b in western and western[b] != c} for page in OTHER_PAGES}
+
+
+def _cores(word: str) -> list[str]:
+    return [p for p in re.split(r"['’]", word.strip(_EDGES).lower()) if p]
+
+
+#: Letters that western texts lack, and signs within words.
+_ODD = (
+    r"[\x{100}-\x{151}\x{154}-\x{15f}\x{162}-\x{177}\x{179}-\x{17c}\x{192}-\x{24f}\x{370}-\x{6ff}\x{2c6}-\x{2dd}\x{2020}\x{2021}\x{2030}\x{fb01}\x{fb02}\x{207f}]"
+    r"|[a-z][\x{b1}\x{b3}\x{b7}\x{b8}\x{be}\x{f7}\x{de}\x{fe}\x{da}\x{db}\x{d3}\x{c8}\x{cb}\x{cd}\x{d2}\x{cc}][a-z]"
+)
 
 
 def make_suspect() -> Callable[[str], bool]:
@@ -109,10 +141,11 @@ def make_suspect() -> Callable[[str], bool]:
         for char, byte in _byte_of(page).items():
             (tails if byte < 0xC0 else leads).add(char)
     pair = re.compile(_for_python(_class(list(leads)) + _class(list(tails))))
-    mixed = re.compile(_for_python(f"{_CYRILLIC}(?<={_LATIN}{_CYRILLIC})|{_CYRILLIC}(?={_LATIN})"))
+    mixed = re.compile(_for_python(f"{_SCRIPTS}(?<={_LATIN}{_SCRIPTS})|{_SCRIPTS}(?={_LATIN})"))
+    odd = re.compile(_for_python(_ODD))
 
     def suspect(text: str) -> bool:
-        return not text.isascii() and bool("\ufffd" in text or pair.search(text) or mixed.search(text))
+        return not text.isascii() and bool("\ufffd" in text or pair.search(text) or mixed.search(text) or odd.search(text))
 
     return suspect
 
@@ -120,15 +153,50 @@ def make_suspect() -> Callable[[str], bool]:
 def make_restorer() -> Callable[[str], str]:
     automata = [(re.compile(_for_python(span_pattern(p))), _byte_of(p)) for p in CODE_PAGES]
     mixed = re.compile(_for_python(MIXED))
-    words = re.compile(r"[^\W\d_]+|[\u0402-\u045f]")
-    cyrillic = {c: bytes([b]).decode("cp1252", "replace") for c, b in _byte_of("cp1251").items() if "\u0400" <= c <= "\u0491"}
-    foreign = re.compile("[\u0400-\u0491]{2,}")
-
-    def word(found: re.Match) -> str:
-        letters = found[0]
-        return letters if foreign.fullmatch(letters) else letters.translate(table_)
-
-    table_ = str.maketrans(cyrillic)
+    odd = re.compile(_for_python(_ODD))
+    tables = _page_tables()
+    foreign = re.compile(_for_python(f"[^a-zA-Z]*{_SCRIPTS}{{2,}}[^a-zA-Z]*"))
+    script = re.compile(_for_python(f"[^a-zA-Z\\x{{c0}}-\\x{{24f}}]*{_SCRIPTS}[^a-zA-Z\\x{{c0}}-\\x{{24f}}]*"))
+
+    def page_of(text: str, words: set[str]) -> str | None:
+        """The page in which a western text seems to have been read."""
+        letters = {c for w in words for c in w}
+        best, most = None, 0
+        for page, table in tables.items():
+            if letters.isdisjoint(map(chr, table)):
+                continue
+            gained = lost = 0
+            for w in words:
+                changed = w.translate(table)
+                if changed != w and any(c.isalpha() for c in w):
+                    # a lone letter of another script is no evidence: и is a word of its own
+                    gained += any(c in _ACCENTED for c in _cores(changed)) and not script.fullmatch(w)
+                    lost += any(c in _ACCENTED and not c.isascii() for c in _cores(w))
+            if gained > most and not lost:
+                best, most = page, gained
+        if best is None and mixed.search(text):
+            split = [w for w in words if mixed.search(w)]
+            usable = [p for p, t in tables.items() if all(c in _WESTERN or c.isascii() for w in split for c in w.translate(t))]
+            best = usable[0] if usable else None
+        return best
+
+    def restore_page(text: str) -> str:
+        words = set(_CHUNK.findall(text))
+        page = page_of(text, words)
+        if page is None:
+            return text
+        table = tables[page]
+
+        def word(found: re.Match) -> str:
+            w = found[0]
+            changed = w.translate(table)
+            if changed == w or foreign.fullmatch(w):
+                return w
+            known = any(c in _ACCENTED for c in _cores(changed))
+            strange = any(not c.isascii() and c not in _WESTERN for c in w)
+            return changed if known or strange and all(c.isascii() or c in _WESTERN for c in changed) else w
+
+        return _CHUNK.sub(word, text)
 
     def restore(text: str) -> str:
         for _ in range(MAX_PASSES):
@@ -144,9 +212,7 @@ def make_restorer() -> Callable[[str], str]:
                 text = pattern.sub(decode, text)
             if text == before:
                 break
-        if mixed.search(text):
-            text = words.sub(word, text)
-        return text
+        return restore_page(text) if odd.search(text) or mixed.search(text) else text
 
     return restore
 

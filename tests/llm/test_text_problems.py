@@ -70,9 +70,17 @@ def test_twice_garbled_and_cyrillic():
     assert restore("йlиve coыte 99 Ђ, здоровье") == "élève coûte 99 €, здоровье"
 
 
+@pytest.mark.parametrize("page", ["cp1250", "iso8859_2", "cp1251", "koi8_r", "cp1254"])
+def test_other_single_byte_pages(page):
+    restore, suspect = mojibake.make_restorer(), mojibake.make_suspect()
+    for text in ["D’après elle, l’élève a coûté 44 € à Lille où l’œuvre est déjà prête.", "¿Por qué el año pasado, según él?"]:
+        garbled = text.encode("cp1252").decode(page)
+        assert restore(garbled) == text and (garbled == text or suspect(garbled))
+
+
 def test_sound_texts_stay(spark, corpus):
     restore, suspect = mojibake.make_restorer(), mojibake.make_suspect()
-    for text in ["ILHA DA MAÇÃ, PÃO E CHÃO", "“CAFÉ” – ÂGE DU CHÊNE", "Íñigo ÉTÉ’ Ñ”", "здоровье как есть", "revi¬\nsed", "Ä“Ö", "核数审"]:
+    for text in ["ILHA DA MAÇÃ, PÃO E CHÃO", "“CAFÉ” – ÂGE DU CHÊNE", "Íñigo ÉTÉ’ Ñ”", "здоровье как есть", "записи и файл а также", "revi¬\nsed", "Dvořák, Łódź, Wałęsa, Gdańsk", "W Gdańsku był mróz, więc także Łódź", "ZZZ   …   3", "2³ ± 5 m², a·b", "Ä“Ö", "核数审"]:
         assert restore(text) == text
         assert not suspect("plain ascii")
     found = mojibake.restore_texts(docs(spark, *ODD, "a�b")).collect()
