@@ -152,6 +152,7 @@ def line_features(text: str) -> list[list]:
             doubtful[i] = (words, titled)
     short_keys = {i: _fuzzy(strips[i]) for i in doubtful if not _ENDS.search(strips[i])}
     exact = Counter(short_keys.values())
+    raw = Counter(strips[i] for i in doubtful)
     odd = [k for k in exact if len(k) > 6]
     twins = _with_twins(odd)
     numeric = {i: int(m[0]) for i in filled if len(strips[i]) < 24 and (m := re.search(r"\d{1,4}", strips[i])) and (_NUMBER_LINE.fullmatch(strips[i]) or _NUMBERED.fullmatch(strips[i]) or _OF.fullmatch(strips[i]))}
@@ -181,6 +182,11 @@ def line_features(text: str) -> list[list]:
         short = size < 0.75
         running = sum(w[0].islower() for w in words)
         divided = before[-1:] in _BREAK if before else False
+        endlow = bool(words) and words[-1].islower()
+        dash = bool(re.search(r" [—–|•·] [^\W\d_]", s)) and not ends and not endlow
+        dated = bool(re.search(r"(?:,| {2,})\s*(?:1[5-9]|20)\d\d$", s))
+        features += [f"yr{dated}{raw[s] > 1 or repeated}{endlow}", f"dash{dash}", f"raw{raw[s] > 1}{number}", f"rd{raw[s] > 1}{dash}{endlow}{number}", f"rr{raw[s] > 1}{repeated}{min(3, running)}{endlow}"]
+        features += [f"end{endlow}{ends}", f"rep{repeated}{endlow}{min(3, running)}", f"ne{n == 0}{endlow}{repeated}", f"nr{n == 0}{min(3, running)}{size >= 0.75}"]
         features += [f"q{short}{ends}{titled >= 0.4}{number}", f"run{size >= 0.8}{min(3, running)}{repeated}", f"hb{divided}{s[0].isupper()}{after[:1].islower()}", f"mid{bool(_ENDS.search(before)) or not before}{s[0].isupper()}{after[:1].islower()}{short}"]
         features += [f"se{short}{ends}", f"rt{repeated}{titled >= 0.5}", f"sp{short}{ends}{bool(_ENDS.search(before)) or not before}{after[:1].islower()}", f"tn{titled >= 0.5}{ends}{after[:1].isupper()}{number}", f"lw{len(words) == 0}{len(words) == 1}{number}"]
         out.append(features)
@@ -356,9 +362,11 @@ def page_examples(texts: list[str], rng: random.Random) -> list:
         indent = rng.random() < 0.5
         gap = rng.random() < 0.5
         body: list[tuple[str, str]] = []
-        for paragraph in re.split(r"\n+", text):
-            if len(paragraph) < 60:
-                continue
+        paragraphs = [p for p in re.split(r"\n+", text) if len(p) >= 60]
+        if paragraphs and rng.random() < 0.4:  # running text repeats itself too
+            again = re.sub(r"\d", lambda m: str(rng.randrange(10)), rng.choice(paragraphs))
+            paragraphs.insert(rng.randrange(len(paragraphs) + 1), again)
+        for paragraph in paragraphs:
             wrapped = _wrap(paragraph, width)
             if rng.random() < 0.4:
                 wrapped = [s + "-" if rng.random() < 0.3 and s[-1:].isalpha() else s for s in wrapped]
@@ -374,7 +382,7 @@ def page_examples(texts: list[str], rng: random.Random) -> list:
         if rng.random() < 0.6:  # a title in running case
             start = rng.choice(re.split(r"(?<=[.!?])\s+", rng.choice(texts))).split()[: rng.randrange(4, 8)]
             if len(start) > 3:
-                other = " ".join(start).strip(".,;:-–—").capitalize() + rng.choice(("", " at " + title.split()[-1], ", " + title.split()[-1]))
+                other = " ".join(start).strip(".,;:-–—").capitalize() + rng.choice(("", " at " + title.split()[-1], ", " + title.split()[-1], ", " + title.split()[-1]))
         style = rng.choice(("{}", "{}", "{}, 1994", "{}   1973", "* {} *", "{} — {}", "~ {} ~"))
         with_header, with_number = rng.random() < 0.6, rng.random() < 0.5
         turns = rng.random() < 0.5  # left and right pages have headers of their own
