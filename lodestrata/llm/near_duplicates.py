@@ -32,13 +32,15 @@ from lodestrata.tables import chunk_nodes, table
 
 WORDS = 3
 SIMILARITY = 0.6
-CHUNKS, CHUNK_WIDTH, CHUNK_ERRORS = 8, 4, 1
+CHUNKS, CHUNK_WIDTH, CHUNK_ERRORS = 7, 4, 1
 SYMBOL_BITS = 32
 #: Symbols of a signature that travel with each entry, five bits each, twelve to a long, and how many of them
 #: must agree before texts are compared; at the least similarity asked for, fewer agree once in thousands of pairs.
 SKETCH_SYMBOLS, SKETCH_AGREE = 24, 8
 #: Ids of texts to compare that may be broadcast (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 2_000_000
+#: Texts whose sequences are hashed at once, and texts whose sets a task remembers; both only bound memory.
+HASHED_TEXTS, REMEMBERED_TEXTS = 2_000, 200
 _SEED = 20_240_131
 
 
@@ -137,7 +139,7 @@ def signed_records(records: DataFrame, words: int = WORDS) -> DataFrame:
     def make():
         hashes = _WordHashes()
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        def part(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             values, counts = sequence_hashes(batch.column(3).to_pylist(), hashes, words)
             has = counts > 0
             if not has.any():
@@ -153,6 +155,10 @@ def signed_records(records: DataFrame, words: int = WORDS) -> DataFrame:
             own = [c.filter(pa.array(has)) for c in batch.columns[:3]]
             return pa.RecordBatch.from_arrays([*own, *map(pa.array, (copy.view(np.int64), *sketches(rows))), symbols], names=["rid", "space", "id", "copy", "s1", "s2", "symbols"])
 
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            parts = [p for i in range(0, batch.num_rows, HASHED_TEXTS) if (p := part(batch.slice(i, HASHED_TEXTS))) is not None]
+            return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts else None
+
         return run
 
     schema = "rid bigint, space int, id string, copy bigint, s1 bigint, s2 bigint, symbols array<int>"
@@ -191,6 +197,8 @@ def verified_pairs(pairs: DataFrame, records: DataFrame, words: int = WORDS, sim
             known: dict[str, set] = {}
             values = []
             for x, y in zip(one.to_pylist(), two.to_pylist()):
+                if len(known) > REMEMBERED_TEXTS:
+                    known.clear()
                 p = known.get(x) or known.setdefault(x, grams(x))
                 q = known.get(y) or known.setdefault(y, grams(y))
                 common = len(p & q)
