@@ -38,6 +38,7 @@ HELD_WORDS = 200_000
 HELD_DOCS = 3
 FLUSH = 200_000
 FEWEST_LETTERS = 4
+MOSTLY_SCANNED = 3
 
 BODY, HEADER, PAGE_NUMBER = "body", "header", "page_number"
 _BREAK = "-¬­‐‑"
@@ -220,7 +221,7 @@ def edit_features(word: str, fixed: str | None, ops: tuple[str, ...], sound: int
     inner = bool(re.search(r"[^\W\d_][0-9@!|]|[0-9@!|][^\W\d_]", word))
     size = min(5, len(word) // 2)
     if fixed is None:
-        return ["keep", f"k_sound{_bucket(sound)}", f"k_scan{_bucket(scanned)}", f"k_inner{inner}", f"k_size{size}", f"k_none{sound == 0}{inner}"]
+        return ["keep", f"k_sound{_bucket(sound)}", f"k_inner{inner}", f"k_size{size}", f"k_none{sound == 0}{inner}"]
     ratio = _bucket((sound_fixed + scanned_fixed) // max(1, sound + scanned))
     return ["edit", *(f"op{o}" for o in ops), f"n{len(ops)}", f"e_sound{_bucket(sound_fixed)}", f"e_ratio{ratio}", f"e_inner{inner}", f"e_size{size}", f"e_none{sound == 0}{ratio > 3}", f"e_in_r{inner}{ratio > 1}"]
 
@@ -501,7 +502,11 @@ class _Trained:
         sample = sound.select(F.xxhash64("text").alias("h"), "text").orderBy("h", "text").limit(TRAINING_DOCS)
         self.models = train([r.text for r in sample.collect()])
         self.counts = word_counts(docs).persist(StorageLevel.DISK_ONLY)
-        held = self.counts.where(F.col("sound") >= HELD_DOCS).orderBy(F.desc("sound"), "word").limit(HELD_WORDS).select("word")
+        kinds = {r.scan: r["count"] for r in docs.groupBy("scan").count().collect()}
+        #: A word belongs to the scans if it is this many times as common there as in sound documents, theirs being as many.
+        self.odds = MOSTLY_SCANNED * max(1, kinds.get(True, 0)) / max(1, kinds.get(False, 0))
+        common = (F.col("sound") >= HELD_DOCS) & (F.col("sound") * self.odds >= F.col("scanned"))
+        held = self.counts.where(common).orderBy(F.desc("sound"), "word").limit(HELD_WORDS).select("word")
         self.held = frozenset(r.word for r in held.collect())
 
 
@@ -533,7 +538,7 @@ def _traces(scans: DataFrame, trained: _Trained) -> DataFrame:
 
 def word_repairs(words: DataFrame, trained: _Trained) -> DataFrame:
     """(``word``, ``fixed``) of the distinct doubtful ``words`` that are to be edited."""
-    weights, counts = trained.models[2].weights, trained.counts
+    weights, counts, odds = trained.models[2].weights, trained.counts, trained.odds
 
     def propose():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -556,6 +561,8 @@ def word_repairs(words: DataFrame, trained: _Trained) -> DataFrame:
             words_, fixed = [], []
             for word, options in zip(*(c.to_pylist() for c in batch.columns)):
                 own = next(((o["sound"], o["scanned"]) for o in options if o["fixed"] == word), (0, 1))
+                if own[0] * odds < own[1]:  # a stray use in sound texts doesn't make a word of it
+                    own = (0, own[1])
                 best, best_score = None, model.score(edit_features(word, None, (), *own, 0, 0), "w")
                 for o in sorted((o for o in options if o["fixed"] != word), key=lambda o: o["fixed"]):
                     if o["sound"] + o["scanned"] <= sum(own):
@@ -584,35 +591,50 @@ def scan_traces(docs: DataFrame, payloads: DataFrame) -> DataFrame:
     return traces.where("kind <> 'word'").select("doc_id", "kind").unionByName(edited.select("doc_id", F.lit("characters").alias("kind"))).distinct()
 
 
+def _joined(scans: DataFrame, trained: _Trained) -> DataFrame:
+    """(``doc_id``, ``body``, ``words``): the paragraphs of each scanned text, and its doubtful words."""
+    weights, held = [m.weights for m in trained.models], trained.held
+
+    def make():
+        models = tuple(Perceptron(w) for w in weights)
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            bodies, words = [], []
+            for text in batch.column(1).to_pylist():
+                body = joined_text(text, judge_lines(models[0], text), models, held)[0] if text else text
+                bodies.append(body)
+                words.append([w for w in words_to_judge(body or "", held) if not w.isdigit()])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.string()), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "body", "words"])
+
+        return run
+
+    kind = scans.schema["doc_id"].dataType.simpleString()
+    return map_batches(scans.select("doc_id", "text"), make, f"doc_id {kind}, body string, words array<string>")
+
+
 def repaired_texts(docs: DataFrame, payloads: DataFrame) -> DataFrame:
     """(``doc_id``, ``text``): continuous paragraphs of each scanned document."""
     marked = marked_documents(docs.select("doc_id", "source", "text"), payloads)
     trained = _Trained(marked)
-    scans = marked.where("scan")
-    doubtful = _traces(scans, trained).where("kind = 'word'").persist(StorageLevel.DISK_ONLY)
-    repairs = word_repairs(doubtful, trained)
-    by_doc = doubtful.join(repairs, "word").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "fixed"))).alias("repairs"))
-    weights, held = [m.weights for m in trained.models], trained.held
+    joined = _joined(marked.where("scan"), trained).persist(StorageLevel.DISK_ONLY)
+    doubtful = joined.select("doc_id", F.explode("words").alias("word")).distinct()
+    by_doc = doubtful.join(word_repairs(doubtful, trained), "word").groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct("word", "fixed"))).alias("repairs"))
 
     def make():
-        models = tuple(Perceptron(w) for w in weights)
-
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             out = []
-            for text, repairs_ in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if text:
-                    text = joined_text(text, judge_lines(models[0], text), models, held)[0]
-                    known = dict(repairs_ or ())
-                    if known:
-                        longest = sorted(known, key=len, reverse=True)
-                        text = re.sub("|".join(rf"(?<![\w@|]){re.escape(w)}(?![\w@|])" for w in longest), lambda m: known[m[0]], text)
+            for text, repairs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                known = dict(repairs or ())
+                if text and known:
+                    longest = sorted(known, key=len, reverse=True)
+                    text = re.sub("|".join(rf"(?<![\w@|]){re.escape(w)}(?![\w@|])" for w in longest), lambda m: known[m[0]], text)
                 out.append(text)
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
         return run
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(scans.select("doc_id", "text").join(by_doc, "doc_id", "left").select("doc_id", "text", "repairs"), make, f"doc_id {kind}, text string")
+    return map_batches(joined.join(by_doc, "doc_id", "left").select("doc_id", "body", "repairs"), make, f"doc_id {kind}, text string")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
