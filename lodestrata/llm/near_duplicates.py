@@ -255,3 +255,15 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
+
+ORACLES = {
+    "p1_found": r"""
+WITH t AS (
+  SELECT 'd' || doc_id AS id, 0 AS space, text FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT DISTINCT id, 1, text FROM nodes WHERE lower(type) = 'chunk' AND text IS NOT NULL),
+w AS (SELECT id, space, list_filter(regexp_split_to_array(lower(text), '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '') AS w FROM t),
+g AS (SELECT DISTINCT id, space, hash(w[i], w[i + 1], w[i + 2]) AS h FROM (SELECT id, space, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
+s AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.h = b.h AND a.space = b.space AND a.id < b.id GROUP BY 1, 2)
+SELECT id_a, id_b FROM s JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.6 * (x.n + y.n - c)""",
+}

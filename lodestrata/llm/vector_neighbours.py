@@ -221,3 +221,13 @@ def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours}
+
+ORACLES = {
+    "p2_found": r"""
+WITH v AS (SELECT space, node_id, min(vec::DOUBLE[]) AS v FROM embedding WHERE len(vec) > 0 GROUP BY 1, 2, len(vec)),
+f AS (SELECT space, arg_max(n, c) AS n FROM (SELECT space, len(vec) AS n, count(*) AS c FROM embedding WHERE len(vec) > 0 GROUP BY 1, 2) GROUP BY 1),
+u AS (SELECT v.space, node_id, v FROM v JOIN f ON f.space = v.space AND len(v) = n WHERE len(list_filter(v, lambda x: isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+c AS (SELECT a.space, a.node_id AS q, b.node_id AS o, list_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.space = b.space AND a.node_id <> b.node_id),
+r AS (SELECT space, q, o, c, rank() OVER (PARTITION BY space, q ORDER BY c DESC) AS r FROM c)
+SELECT DISTINCT space, least(q, o) AS id_a, greatest(q, o) AS id_b FROM r WHERE r <= 5 AND c >= 0.9""",
+}
