@@ -38,6 +38,8 @@ HELD_WORDS = 200_000
 HELD_DOCS = 3
 FLUSH = 200_000
 FEWEST_LETTERS = 4
+#: Longer runs of letters are no words, so there is nothing to look up.
+LONGEST_WORD = 40
 MOSTLY_SCANNED = 3
 
 BODY, HEADER, PAGE_NUMBER = "body", "header", "page_number"
@@ -232,8 +234,10 @@ for _right, _wrong in CONFUSIONS:
 
 
 def edits(word: str, most: int = 3) -> dict[str, tuple[str, ...]]:
-    """What ``word`` may have been, and the operations that lead there; up to ``most`` places are edited at once, in words that hold strange characters."""
+    """What ``word`` may have been, and the operations that lead there: one or two places edited, and up to ``most`` where characters are strange to words."""
     steps = []
+    if len(word) > LONGEST_WORD:
+        return {}
     for i in range(len(word)):
         for size in (1, 2):
             part = word[i : i + size]
@@ -261,12 +265,9 @@ def edits(word: str, most: int = 3) -> dict[str, tuple[str, ...]]:
             if depth > 1:
                 grow(n + 1, more, pool, depth - 1)
 
-    grow(0, (), steps, 1)
-    if len(steps) <= 24:
-        grow(0, (), steps, 2)
-    if strange:
-        # all strange characters at once, with any one more edit
-        grow(0, (), strange, most)
+    grow(0, (), steps, 1)  # fewest operations first, so that they name the edit
+    grow(0, (), steps, 2)
+    grow(0, (), strange, most)
     found.pop(word, None)
     return found
 
@@ -287,7 +288,7 @@ def words_to_judge(text: str, held: frozenset[str] = frozenset()) -> set[str]:
 
 def joined_text(text: str, kinds: list[str], models: tuple[Perceptron, ...], held: set[str] | frozenset[str]) -> tuple[str, int]:
     """The body in paragraphs, and how many divided words were joined."""
-    line_model, break_model = models[0], models[1]  # noqa: F841
+    break_model = models[1]
     out: list[str] = []
     divided = 0
     open_ = False

@@ -159,3 +159,20 @@ def test_names_of_no_rows(spark):
 def test_odd_names(name):
     tokens = tuple(name_variants.tokens_of(name))
     assert name_variants.verdict(tokens, tokens) in (None, "link", "short")
+
+
+def test_assignment_is_optimal():
+    from itertools import permutations
+
+    rng = random.Random(4)
+    for _ in range(300):
+        n, m = sorted((rng.randrange(1, 5), rng.randrange(1, 6)))
+        worth = [[rng.randrange(-5, 6) for _ in range(m)] for _ in range(n)]
+        best = max(sum(worth[i][p[i]] for i in range(n)) for p in permutations(range(m), n))
+        chosen = name_variants.assign(worth)
+        assert len(set(chosen)) == n and sum(worth[i][j] for i, j in enumerate(chosen)) == best
+
+
+def test_long_names_align():
+    tokens = tuple(f"token{i}" for i in range(30))
+    assert name_variants.verdict(tokens, tuple(reversed(tokens))) == "link"
