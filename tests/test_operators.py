@@ -269,3 +269,28 @@ def test_sinks(spark, tmp_path):
     assert sinks.jsonl(pairs, "pos").where("pos = 2").first().line == '{"pos":2,"answer":"é"}'
     sinks.write_partitioned(pairs, str(tmp_path / "out"), "me", "qa")
     assert spark.read.json(str(tmp_path / "out")).where("org_id = 'me' AND kind = 'qa'").count() == 2
+
+
+def test_semantic_chunks():
+    from lodestrata.operators.segments import semantic_chunks, summarized_chunks
+
+    text = "The kiln was cold. The kiln was old. Ships sail far. Ships sail."
+    assert semantic_chunks(text, 200) == ["The kiln was cold. The kiln was old", "Ships sail far. Ships sail"]
+    assert semantic_chunks(text, 20) == ["The kiln was cold", "The kiln was old", "Ships sail far", "Ships sail"]
+    assert summarized_chunks(text, 200, 2)[1] == "was old Ships sail far. Ships sail" and semantic_chunks(None, 9) == [] and semantic_chunks(" . ", 9) == []
+
+
+def test_sounds(spark, tmp_path):
+    import wave
+
+    from lodestrata.operators.segments import read_sounds
+
+    tone = (np.sin(np.arange(8000) / 40) * 9000).astype(np.int16)
+    with wave.open(str(tmp_path / "a.wav"), "wb") as file:
+        file.setnchannels(1)
+        file.setsampwidth(2)
+        file.setframerate(8000)
+        file.writeframes(tone.tobytes())
+    (tmp_path / "b.wav").write_bytes(b"no sound")
+    found = {r.path[-5:]: r for r in read_sounds(spark, str(tmp_path)).collect()}
+    assert found["a.wav"].valid and found["a.wav"].seconds == 1.0 and not found["b.wav"].valid and found["b.wav"].rate is None
