@@ -37,7 +37,7 @@ WINDOW = 2.5
 BUCKET = 4.0
 COUNTED, COLLISIONS = 24, 18
 #: (radius, projections that split a table, tables), growing; the last radius is that of ``COSINE``.
-LEVELS = ((0.15, 5, 10), (0.4473, 12, 40))
+LEVELS = ((0.15, 5, 10), (0.4473, 12, 56))
 _SEED = 77_003
 #: Pairs made at once within a bucket.
 BLOCK = 1_000_000
