@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import map_batches
+from lodestrata.llm.common import bounded_sample, map_batches
 from lodestrata.llm.name_variants import one_edit
 from lodestrata.tables import table
 
@@ -285,8 +285,8 @@ def defect_of(field: ChainField, question: str | None, answer: str | None) -> tu
 def answer_defects(pairs: DataFrame, key: str = "pos", question: str = "question", answer: str = "answer") -> DataFrame:
     """(``key``, ``defect``, ``tags``) of every pair; ``defect`` is null for sound ones, ``tags`` are those of the clauses in order."""
     own = pairs.select(F.col(key).alias("key"), F.col(question).alias("question"), F.col(answer).alias("answer"))
-    sample = own.where("answer IS NOT NULL AND question IS NOT NULL").select("question", "answer").distinct().orderBy(F.xxhash64("question", "answer"), "question", "answer").limit(TRAINING_PAIRS)
-    rows, tags = training_set([(r.question, r.answer) for r in sample.collect()])
+    sample = bounded_sample(own.where("answer IS NOT NULL AND question IS NOT NULL"), TRAINING_PAIRS, "key")
+    rows, tags = training_set(sorted({(r.question, r.answer) for r in sample}))
     if not rows:
         rows, tags = training_set([("What is known?", "The list of the year was found in the annex.")])
     fitted = ChainField.fit(rows, tags)

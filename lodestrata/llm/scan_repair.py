@@ -28,7 +28,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.common import map_batches
+from lodestrata.llm.common import bounded_sample, map_batches
 from lodestrata.tables import table
 
 TRAINING_DOCS = 300
@@ -499,9 +499,8 @@ class _Trained:
     """What tasks need: the models' weights and the held words."""
 
     def __init__(self, docs: DataFrame):
-        sound = docs.where(~F.col("scan") & (F.length("text") > 600)).select("text")
-        sample = sound.select(F.xxhash64("text").alias("h"), "text").orderBy("h", "text").limit(TRAINING_DOCS)
-        self.models = train([r.text for r in sample.collect()])
+        sound = docs.where(~F.col("scan") & (F.length("text") > 600)).select("doc_id", "text")
+        self.models = train([r.text for r in bounded_sample(sound, TRAINING_DOCS, "doc_id")])
         self.counts = word_counts(docs).persist(StorageLevel.DISK_ONLY)
         kinds = {r.scan: r["count"] for r in docs.groupBy("scan").count().collect()}
         #: A word belongs to the scans if it is this many times as common there as in sound documents, theirs being as many.
