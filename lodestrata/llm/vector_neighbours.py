@@ -13,6 +13,9 @@ directions tell little in 64 dimensions), which makes the self-join quadratic; s
 table splits the vectors by a few more projections first, and there are enough tables to find neighbours with the
 recall stated in the README.
 
+The last radius is that of ``COSINE``, the limit of ``p2_found``.  ``p2_neighbours`` has no limit: its last level takes in the
+whole space, so vectors with fewer than ``k`` verified neighbours are compared with every vector, tile by tile (quadratic in them).
+
 Vectors that are null, empty, of another length than their space, not finite or all zero are left out;
 a node counts once for each space (of different vectors, the least in order counts); equal vectors share one representative.
 """
@@ -41,6 +44,8 @@ LEVELS = ((0.15, 5, 10), (0.4473, 12, 56))
 _SEED = 77_003
 #: Pairs made at once within a bucket.
 BLOCK = 1_000_000
+#: Vectors on a side of a tile, rows of a tile compared at once, and how many more than k single precision may put in another order.
+TILE, TILE_ROWS, SPARE = 16_384, 512, 4
 
 
 def usable_vectors(vectors: DataFrame, space: str = "space", node: str = "node_id", vec: str = "vec") -> DataFrame:
@@ -210,16 +215,88 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_pairs(table(spark, sf_dir, "embedding"))
 
 
-def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(``space``, ``id``, ``other``, ``cosine``, ``rank``): up to ``NEIGHBOURS`` most similar vectors of each representative, copies aside."""
-    usable, pairs = similar_pairs(table(spark, sf_dir, "embedding"))
-    names = usable.groupBy("rep").agg(F.min("node").alias("name"))
-    both = pairs.select("space", F.col("a").alias("rep"), F.col("b").alias("near"), "cosine").unionByName(pairs.select("space", F.col("b").alias("rep"), F.col("a").alias("near"), "cosine"))
-    ranked = both.withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("cosine"), "near"))).where(F.col("rank") <= NEIGHBOURS)
-    own = names.select("rep", F.col("name").alias("id"))
+def _tile_neighbours(asks: np.ndarray, ask_reps: np.ndarray, points: np.ndarray, reps: np.ndarray, k: int):
+    """Batches of (``rep``, ``near``, ``cosine``): the ``k`` of ``points`` most similar to each of ``asks``, and a few more."""
+    keep = min(k + 1 + SPARE, len(points))
+    for begin in range(0, len(asks), TILE_ROWS):
+        part = asks[begin : begin + TILE_ROWS]
+        c = part @ points.T
+        # what the first points leave is a lower bound for the place asked for
+        some = c[:, : max(keep, len(points) // 8)]
+        least = np.partition(some, some.shape[1] - keep, axis=1)[:, some.shape[1] - keep]
+        i, j = np.nonzero(c >= least[:, None])
+        order = np.lexsort((-c[i, j], i))
+        i, j = i[order], j[order]
+        starts = np.searchsorted(i, np.arange(len(part)))
+        first = np.arange(len(i)) - starts[i] < keep
+        i, j = i[first], j[first]
+        other = ask_reps[begin + i] != reps[j]
+        i, j = i[other], j[other]
+        cosine = np.einsum("ij,ij->i", part[i].astype(np.float64), points[j].astype(np.float64))
+        yield pa.RecordBatch.from_arrays([pa.array(ask_reps[begin + i]), pa.array(reps[j]), pa.array(cosine)], names=["rep", "near", "cosine"])
+
+
+def exact_neighbours(points: DataFrame, asking: DataFrame, k: int) -> DataFrame:
+    """(``rep``, ``near``, ``cosine``): the ``k`` most similar ``points`` (space, rep, vec) of each of ``asking``, and some more, by comparing all."""
+    sides = points.withColumn("asks", F.lit(False)).unionByName(asking.withColumn("asks", F.lit(True)))
+    parts = lambda n: F.greatest(F.lit(1), F.ceil(n / TILE)).cast("int")
+    # one small row a space
+    sizes = sides.groupBy("space").agg(parts(F.count_if("asks")).alias("down"), parts(F.count_if(~F.col("asks"))).alias("across"))
+    tiles = sizes.agg(F.sum(F.col("down") * F.col("across"))).first()[0] or 1
+    own = F.pmod("rep", F.when(F.col("asks"), F.col("down")).otherwise(F.col("across")))
+    every = F.explode(F.sequence(F.lit(0), F.when(F.col("asks"), F.col("across")).otherwise(F.col("down")) - 1))
+    placed = sides.join(F.broadcast(sizes), "space").select("space", "asks", "rep", "vec", own.cast("int").alias("own"), every.alias("each"))
+    row, column = (F.when(F.col("asks"), x).otherwise(y) for x, y in ((F.col("own"), F.col("each")), (F.col("each"), F.col("own"))))
+    placed = placed.select(F.xxhash64("space", row, column).alias("tile"), "asks", "rep", "vec")
+
+    def run(batches):
+        current, held = None, []
+
+        def finish():
+            asks = np.concatenate([h[0] for h in held])
+            reps = np.concatenate([h[1] for h in held])
+            vecs = np.concatenate([h[2] for h in held])
+            if asks.any() and not asks.all():
+                yield from _tile_neighbours(vecs[asks], reps[asks], vecs[~asks], reps[~asks], k)
+
+        for batch in batches:
+            tile = batch.column(0).to_numpy()
+            starts = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]])) if len(tile) else []
+            for begin, end in zip(starts, [*starts[1:], len(tile)]):
+                if held and tile[begin] != current:
+                    yield from finish()
+                    held = []
+                current = tile[begin]
+                piece = batch.slice(begin, end - begin)
+                vecs = piece.column(3).flatten().to_numpy().reshape(piece.num_rows, -1)
+                held.append((piece.column(1).to_numpy(zero_copy_only=False), piece.column(2).to_numpy(), vecs))
+        if held:
+            yield from finish()
+
+    partitions = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(int(tiles), 20_000))
+    return placed.repartition(partitions, "tile").sortWithinPartitions("tile").mapInArrow(run, "rep bigint, near bigint, cosine double")
+
+
+def nearest(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
+    """(``space``, ``id``, ``other``, ``cosine``, ``rank``): the ``k`` most similar vectors of each representative, copies aside, however far."""
+    usable, pairs = similar_pairs(vectors, k)
+    points = usable.groupBy("rep").agg(F.first("space").alias("space"), F.first("vec").alias("vec")).select("space", "rep", "vec").persist(StorageLevel.DISK_ONLY)
+    both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("near"), "cosine").unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("near"), "cosine"))
+    both = both.groupBy("rep", "near").agg(F.max("cosine").alias("cosine"))
+    done = both.groupBy("rep").count().where(F.col("count") >= k)
+    rest = exact_neighbours(points, points.join(done, "rep", "left_anti"), k)
+    every = both.unionByName(rest).groupBy("rep", "near").agg(F.max("cosine").alias("cosine"))
+    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("cosine"), "near"))).where(F.col("rank") <= k)
+    names = usable.groupBy("rep").agg(F.first("space").alias("space"), F.min("node").alias("name"))
+    own = names.select("rep", "space", F.col("name").alias("id"))
     return ranked.join(own, "rep").join(names.select(F.col("rep").alias("near"), F.col("name").alias("other")), "near").select("space", "id", "other", F.round("cosine", 6).alias("cosine"), "rank")
 
 
+def p2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ``NEIGHBOURS`` most similar vectors of every representative; fewer only where the space holds no more."""
+    return nearest(table(spark, sf_dir, "embedding"))
+
+
 QUERIES = {"p2_found": p2_found, "p2_neighbours": p2_neighbours}
 
 ORACLES = {

@@ -176,3 +176,19 @@ def test_assignment_is_optimal():
 def test_long_names_align():
     tokens = tuple(f"token{i}" for i in range(30))
     assert name_variants.verdict(tokens, tuple(reversed(tokens))) == "link"
+
+
+@pytest.mark.parametrize("tile", (16_384, 50))
+def test_every_vector_has_its_nearest_however_far(spark, monkeypatch, tile):
+    monkeypatch.setattr(vector_neighbours, "TILE", tile)
+    rng = np.random.default_rng(12)
+    vectors = {("s", f"n{i}"): rng.standard_normal(24) for i in range(160)} | {("t", f"n{i}"): rng.standard_normal(16) for i in range(4)}
+    vectors |= {("s", f"m{i}"): vectors["s", "n0"] + 0.05 * rng.standard_normal(24) for i in range(8)}
+    rows = [(s, n, [float(x) for x in v]) for (s, n), v in vectors.items()]
+    found = vector_neighbours.nearest(spark.createDataFrame(rows, "space string, node_id string, vec array<float>")).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        got.setdefault((r.space, r.id), []).append(r.other)
+    for (s, n), v in vectors.items():
+        others = {m: w @ v / np.linalg.norm(w) for (t, m), w in vectors.items() if t == s and m != n}
+        assert got[s, n] == sorted(others, key=others.get, reverse=True)[:5]
