@@ -193,6 +193,34 @@ def test_similar_pairs(spark):
     assert sorted(r.pos for r in found.collect()) == [i for i, _, _ in kept]
 
 
+@pytest.mark.parametrize("tile", (8_192, 7))
+def test_similar_pairs_without_rare_words_in_common(spark, monkeypatch, tile):
+    monkeypatch.setattr(greedy, "TILE", tile)
+    rows = [
+        (0, "Why was entry MA-6904 moved to Upper Hall by clerk 17 in the year 1894 of the old count?", "It was moved to the upper hall."),
+        (1, "Why was entry MA-6914 moved to Uppel Hall by clerk 27 in the year 1894 of the old count?", "It was moved to the upper hall."),
+        (2, "", "The ledger lies in the northern annex."),
+        (3, None, "The ledger lies in the northern annexe."),
+        (4, "账目在哪里存放的呢请告诉我们好吗", "In the annex."),
+        (5, "账目在哪里存放的呢请告诉我们好么", "In the annex."),
+        (6, "?!", None),
+        (7, "?!", "In the hall."),
+    ]
+    rng = np.random.default_rng(5)
+    words = "the old ledger of the northern mill was read by a clerk in the annex before noon".split()
+    for i in range(8, 60):
+        q = list(" ".join(rng.choice(words, 10)) if i % 3 or i < 12 else rows[i - 3][1] or "x")
+        for at in rng.integers(len(q), size=rng.integers(4)):
+            q[at] = "qxz7"[rng.integers(4)]
+        rows.append((i, "".join(q), rows[rng.integers(4)][2]))
+    kept: list = []
+    for i, q, a in ((i, q or "", a or "") for i, q, a in rows):
+        if not any(SequenceMatcher(None, q, p).ratio() >= 0.9 and SequenceMatcher(None, a, b).ratio() >= 0.9 for _, p, b in kept):
+            kept.append((i, q, a))
+    found = greedy.similar_pairs_dropped(spark.createDataFrame(rows, "pos bigint, question string, answer string"), 0.9)
+    assert sorted(r.pos for r in found.collect()) == [i for i, _, _ in kept]
+
+
 def test_merged_points(spark):
     rows = spark.createDataFrame([(0, "g", [0.0, 0.0]), (1, "g", [0.02, 0.0]), (2, "g", [1.0, 0.0])], "i int, g string, v array<double>")
     assert [r.cluster for r in greedy.merged_points(rows, "g", "i", "v", 0.05).orderBy("i").collect()] == [0, 0, 1]
