@@ -32,7 +32,7 @@ from lodestrata.tables import chunk_nodes, table
 
 WORDS = 3
 SIMILARITY = 0.6
-CHUNKS, CHUNK_WIDTH, CHUNK_ERRORS = 7, 4, 1
+CHUNKS, CHUNK_WIDTH, CHUNK_ERRORS = 10, 4, 1
 SYMBOL_BITS = 32
 #: Symbols of a signature that travel with each entry, five bits each, twelve to a long, and how many of them
 #: must agree before texts are compared; at the least similarity asked for, fewer agree once in thousands of pairs.
@@ -168,10 +168,10 @@ def signed_records(records: DataFrame, words: int = WORDS) -> DataFrame:
 def candidate_pairs(signed: DataFrame) -> DataFrame:
     """Pairs (``a`` < ``b``) of different representatives that meet in an entry and agree in enough symbols."""
     entry = signed.select(F.explode(index_entries(F.col("space"), F.col("symbols"))).alias("entry"), "rid", "s1", "s2")
-    one = entry.select("entry", F.col("rid").alias("a"), F.col("s1").alias("a1"), F.col("s2").alias("a2"))
-    other = entry.select("entry", F.col("rid").alias("b"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
-    agree = F.lit(SKETCH_SYMBOLS) - _disagree("a1", "b1") - _disagree("a2", "b2")
-    return one.join(other, "entry").where((F.col("a") < F.col("b")) & (agree >= SKETCH_AGREE)).select("a", "b").distinct()
+    # both sides are the same plan over a checkpoint, so the index is shuffled once and read twice
+    agree = F.lit(SKETCH_SYMBOLS) - _disagree("x.s1", "y.s1") - _disagree("x.s2", "y.s2")
+    met = entry.alias("x").join(entry.alias("y"), F.col("x.entry") == F.col("y.entry"))
+    return met.where((F.col("x.rid") < F.col("y.rid")) & (agree >= SKETCH_AGREE)).select(F.col("x.rid").alias("a"), F.col("y.rid").alias("b")).distinct()
 
 
 def verified_pairs(pairs: DataFrame, records: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -223,7 +223,7 @@ def revisions(records: DataFrame, words: int = WORDS, similarity: float = SIMILA
     """Members (``head``, ``id``) of all classes of copies, and pairs of class heads (``a``, ``b``, ``similarity``)."""
     signed = signed_records(records, words).persist(StorageLevel.DISK_ONLY)
     first = F.min_by(F.struct("rid", "space", "s1", "s2", "symbols"), "rid").alias("first")
-    heads = signed.groupBy("copy").agg(first).select("first.*")
+    heads = cut(signed.groupBy("copy").agg(first).select("first.*"))
     members = signed.select("copy", "id", "rid").withColumn("head", F.min("rid").over(Window.partitionBy("copy"))).select("head", "id").distinct()
     return members, verified_pairs(candidate_pairs(heads), records, words, similarity)
 

@@ -60,6 +60,14 @@ def test_sure_within_the_radius():
         assert np.bincount(wrong // width, minlength=chunks).min() <= near_duplicates.CHUNK_ERRORS
 
 
+def test_few_pairs_at_the_limit_can_be_missed():
+    """A pair of the least similarity asked for shares no entry in less than two of a thousand cases, and the radius covers what is expected of it."""
+    chunks, width, p = near_duplicates.CHUNKS, near_duplicates.CHUNK_WIDTH, near_duplicates.SIMILARITY
+    meets = p**width + width * (1 - p) * p ** (width - 1)
+    assert (1 - meets) ** chunks < 0.002
+    assert near_duplicates.radius() >= (1 - p) * chunks * width + 2
+
+
 def test_revisions_of_no_rows(spark):
     members, pairs = near_duplicates.revisions(records(spark, [(0, "a b c d")]).limit(0))
     assert members.count() == 0 and pairs.count() == 0
