@@ -32,7 +32,7 @@ TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 TRAINING_PAIRS = 1_000
 STEPS = 110
-#: Clauses of an answer beyond which the rest is tagged as one more clause; damage of pairs shows long before.
+#: Clauses of a training answer beyond which the rest is one more clause; answers are tagged clause by clause, however long.
 LONGEST = 12
 
 # Common words by language.
@@ -107,6 +107,12 @@ def clauses(answer: str) -> list[str]:
             out[-1] += " " + part
         else:
             out.append(part)
+    return out
+
+
+def training_clauses(answer: str) -> list[str]:
+    """``clauses`` with all beyond ``LONGEST`` as one, so that training sequences can be padded to one length."""
+    out = clauses(answer)
     return out[:LONGEST] + ([" ".join(out[LONGEST:])] if len(out) > LONGEST else [])
 
 
@@ -225,7 +231,7 @@ def training_set(pairs: list[tuple[str, str]], seed: int = 5) -> tuple[list[np.n
             tags.append(labels)
 
     for q, a in pairs:
-        parts = clauses(a)
+        parts = training_clauses(a)
         whole = features(q, parts, a)
         odd = whole[:, [2, 6, 8, 16, 21, 22]].any()  # the sample has its own defects; what looks sound teaches the sound
         if not odd:
@@ -235,20 +241,20 @@ def training_set(pairs: list[tuple[str, str]], seed: int = 5) -> tuple[list[np.n
             if len(words) >= 8:
                 stop = rng.randrange(5, len(words) - 1)
                 cut = " ".join(words[:stop]).rstrip(".,;:!?") + rng.choice(["", "", "", " ", "...", "…", words[stop][:2] if len(words[stop]) > 3 else ""])
-                damaged = clauses(cut)
+                damaged = training_clauses(cut)
                 add(q, damaged, [ANSWER] * (len(damaged) - 1) + [UNFINISHED])
                 if rng.random() < 0.4:
                     add(q, [q, *damaged], [ECHO] + [ANSWER] * (len(damaged) - 1) + [UNFINISHED])
         form = rng.randrange(6)
         echo = [q, q.upper(), q.lower(), q.rstrip("?. "), " ".join(q.split()[rng.randrange(1, 3) :]), "A: " + q][form]
-        parts = clauses(echo)
+        parts = training_clauses(echo)
         add(q, parts, [ECHO] * len(parts))
         home = language(q)[2]
         others = [t for t in by_language if t not in home]
         if home and others:
-            parts = clauses(rng.choice(by_language[rng.choice(others)]))
+            parts = training_clauses(rng.choice(by_language[rng.choice(others)]))
             add(q, parts, [FOREIGN] * len(parts))
-        parts = clauses(rng.choice(REFUSALS))
+        parts = training_clauses(rng.choice(REFUSALS))
         add(q, parts, [REFUSAL] * len(parts))
         if rng.random() < 0.2:
             add(q, [*parts, q], [REFUSAL] * len(parts) + [ECHO])

@@ -221,6 +221,18 @@ def test_fresh_wordings(field):
         assert answer_defects.defect_of(model, q, a)[0] == defect, (q, a)
 
 
+def test_defect_in_the_tail_of_a_long_answer(field):
+    model = field[1]
+    sound = [f"The clerk of the mill noted {n} sheets in the ledger before noon." for n in range(2, 42)]
+    defect, tagged = answer_defects.defect_of(model, "What did the clerk do?", " ".join(sound))
+    assert defect is None and [t for _, t in tagged] == ["answer"] * 40
+    foreign = [f"Der Müller hat {n} Blätter in der Kammer gefunden und nicht gelesen." for n in range(2, 29)]
+    defect, tagged = answer_defects.defect_of(model, "What did the clerk do?", " ".join(sound[:13] + foreign))
+    assert defect == "language" and [t for _, t in tagged] == ["answer"] * 13 + ["foreign"] * 27
+    tags = [t for _, t in answer_defects.defect_of(model, "What did the clerk do?", " ".join(sound[:30] + foreign[:10]))[1]]
+    assert tags == ["answer"] * 30 + ["foreign"] * 10
+
+
 def test_defects_of_odd_rows(spark, small):
     rows = [(1, None, None, "x"), (2, "", "", "x"), (3, "What?", "word " * 20_000 + ".", "x"), (4, "What?", "...", "x"), (4, "What?", "...", "x"), (5, None, "A sound answer stands here.", "x")]
     pairs = spark.createDataFrame(rows, "pos bigint, question string, answer string, tags string")
