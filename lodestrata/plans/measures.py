@@ -119,16 +119,31 @@ def measure_verified_triplets(spark, sf_dir):
     return pairs.join(known, "entity").groupBy("document").agg(F.round(F.avg((F.col("n") > 1).cast("double")), 6).alias("verified"))
 
 
-def measure_difficulty(spark, sf_dir):
-    """Curriculum order: 0.5 hops + 0.3 length + 0.2 centrality, in batches of 64."""
+def _difficulty(spark, sf_dir):
+    """0.5 hops + 0.3 length + 0.2 centrality of each pair."""
     pairs = table(spark, sf_dir, "qa").where("question IS NOT NULL")
     hops = F.coalesce(F.regexp_extract("chunk", r"_chunk_(\d+)$", 1).try_cast("int"), F.lit(0))
-    rows = pairs.select("pos", F.round(0.5 * hops + 0.3 * F.length("question") + 0.2 * F.coalesce("confidence", F.lit(0.0)), 6).alias("difficulty"))
-    # the position of a row in the order of all rows, by counting lower values: no global window
+    return pairs.select("pos", F.round(0.5 * hops + 0.3 * F.length("question") + 0.2 * F.coalesce("confidence", F.lit(0.0)), 6).alias("difficulty"))
+
+
+def measure_difficulty(spark, sf_dir):
+    """Difficulty of each pair, and how many pairs have the same."""
+    rows = _difficulty(spark, sf_dir)
     counts = rows.groupBy("difficulty").agg(F.count("*").alias("n"))
     return rows.join(counts, "difficulty").select("pos", "difficulty", F.col("n").alias("tied"))
 
 
+def measure_curriculum(spark, sf_dir):
+    """Curriculum order: ascending difficulty, ties by ``pos``, in batches of 64."""
+    rows = _difficulty(spark, sf_dir)
+    # the position of a row in the order of all rows, by counting lower values: the only global window is over distinct values
+    counts = rows.groupBy("difficulty").agg(F.count("*").alias("n"))
+    lower = counts.select("difficulty", (F.sum("n").over(Window.orderBy("difficulty")) - F.col("n")).alias("lower"))
+    among = F.row_number().over(Window.partitionBy("difficulty").orderBy("pos")) - 1
+    placed = rows.withColumn("among", among).join(lower, "difficulty").withColumn("position", F.col("lower") + F.col("among"))
+    return placed.select("pos", "difficulty", "position", F.floor(F.col("position") / 64).alias("batch"))
+
+
 def measure_community_summaries(spark, sf_dir):
     """The first twenty words of the texts of each source's chunks, in order."""
     rows = G.distinct_nodes(table(spark, sf_dir, "nodes")).where("type = 'chunk' AND length(text) > 0 AND source IS NOT NULL")
@@ -143,7 +158,7 @@ QUERIES = {
     for f in (
         measure_trust, measure_centrality, measure_graph_entropy, measure_subgraph_entropy, measure_structural_entropy, measure_hyper_adamic_adar, measure_hyperedge_attention, measure_curation, measure_rated_pairs,
         measure_p95, measure_p99, measure_percentile, measure_snr_threshold, measure_mean_vectors, measure_mmd, measure_vector_entropy, measure_hyperbolic_radius, measure_bias_scaled, measure_renyi, measure_lacunarity,
-        measure_mttr, measure_verified_triplets, measure_difficulty, measure_community_summaries,
+        measure_mttr, measure_verified_triplets, measure_difficulty, measure_curriculum, measure_community_summaries,
     )
 }
 
@@ -176,5 +191,6 @@ ORACLES = {
     "measure_mttr": "SELECT user_id, round(avg(gap) / 3.6e9, 6)::DOUBLE AS hours FROM (SELECT user_id, epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts)) AS gap FROM events WHERE event_type = 'error') GROUP BY 1",
     "measure_verified_triplets": "WITH dn AS (SELECT id, arg_min(lower(type), pos) AS type FROM nodes GROUP BY id), de AS (SELECT DISTINCT src, dst, lower(relation) AS relation FROM edges), me AS (SELECT src AS chunk, dst AS entity FROM de WHERE relation = 'mentions' AND src IN (SELECT id FROM dn WHERE type = 'chunk') AND dst IN (SELECT id FROM dn WHERE type = 'entity')), doe AS (SELECT src AS document, dst AS entity FROM de WHERE relation = 'mentions' AND src IN (SELECT id FROM dn WHERE type = 'document') UNION SELECT h.src, entity FROM me JOIN de h ON h.relation = 'has_chunk' AND h.dst = chunk), k AS (SELECT entity, count(*) AS n FROM doe GROUP BY 1) SELECT document, round(avg((n > 1)::INT), 6)::DOUBLE AS verified FROM doe JOIN k USING (entity) GROUP BY 1",
     "measure_difficulty": r"WITH r AS (SELECT pos, round(0.5 * coalesce(try_cast(regexp_extract(chunk, '_chunk_(\d+)$', 1) AS INT), 0) + 0.3 * length(question) + 0.2 * coalesce(confidence, 0), 6) AS difficulty FROM qa WHERE question IS NOT NULL) SELECT pos, difficulty, count(*) OVER (PARTITION BY difficulty) AS tied FROM r",
+    "measure_curriculum": r"WITH r AS (SELECT pos, round(0.5 * coalesce(try_cast(regexp_extract(chunk, '_chunk_(\d+)$', 1) AS INT), 0) + 0.3 * length(question) + 0.2 * coalesce(confidence, 0), 6) AS difficulty FROM qa WHERE question IS NOT NULL), o AS (SELECT pos, difficulty, row_number() OVER (ORDER BY difficulty, pos) - 1 AS position FROM r) SELECT pos, difficulty, position, position // 64 AS batch FROM o",
     "measure_community_summaries": r"WITH dn AS (SELECT id, min(pos) AS pos, arg_min(lower(type), pos) AS type, arg_min({'v': text}, pos).v AS text, arg_min({'v': source}, pos).v AS source FROM nodes GROUP BY id), t AS (SELECT source, string_agg(text, ' ' ORDER BY pos) AS t FROM dn WHERE type = 'chunk' AND length(text) > 0 AND source IS NOT NULL GROUP BY 1) SELECT source, array_to_string(list_filter(regexp_split_to_array(t, '[ \n\r\t]+'), lambda w: w <> '')[1:20], ' ') AS summary FROM t",
 }

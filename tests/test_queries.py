@@ -29,3 +29,10 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
+
+
+def test_curriculum_has_whole_batches(spark):
+    rows = registry.queries()["measure_curriculum"](spark, "/root/testdata/sf0.01").orderBy("position").collect()
+    assert len(rows) > 128 and [r.position for r in rows] == list(range(len(rows)))
+    assert [r.batch for r in rows] == [i // 64 for i in range(len(rows))]
+    assert rows == sorted(rows, key=lambda r: (r.difficulty, r.pos))
