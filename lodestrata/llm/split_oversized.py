@@ -1,7 +1,8 @@
 """Problem 6: cut texts over a size limit at natural boundaries, with overlap.
 
-A text begins as atomic segments (words with the white space after them; stretches
-without white space longer than a piece are cut hard).  Adjacent segments stand in a
+A text begins as atomic segments: words with the white space after them, in scripts without
+spaces the single signs with the marks after them; what is longer than a piece is cut hard, though
+never before a combining mark.  Adjacent segments stand in a
 heap by the strength of the boundary between them: character, word, clause, sentence,
 line, paragraph.  The weakest boundary is merged first, while the merged segment and
 the overlap fit the limit; boundaries that no longer fit are where the cuts fall.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,11 +29,38 @@ from lodestrata.llm.common import map_batches
 from lodestrata.tables import chunk_nodes, table
 
 CHARACTER, WORD, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(6)
-_ATOM = re.compile(r"\s*\S+\s*|\s+")
-_PARAGRAPH = re.compile(r"\n\s*\n|\r\n?\s*\r|\f|\u2029")
+# Signs that stand alone (kana, ideographs), marks that end sentences and clauses, and what may close after them.
+_SIGNS = "぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff"
+_WIDE_MARKS = "。！？，、；：．」』）】》〉"
+_ATOM = re.compile(rf"\s*(?:[{_SIGNS}]|[^\s{_SIGNS}{_WIDE_MARKS}]+|(?=[{_WIDE_MARKS}]))[{_WIDE_MARKS}]*\s*|\s+")
+_PARAGRAPH = re.compile(r"\n[^\S\n]*\n|\r\n?[^\S\r]*\r|\f|\u2029")
 _LINE = re.compile(r"[\n\r\x85\u2028]")
-_SENTENCE = re.compile(r"(?:[.!?…。！？؟]+[\"'”’»)\]]*|[。！？])\s*$")
-_CLAUSE = re.compile(r"[,;:،、–—][\"'”’»)\]]*\s*$")
+_SENTENCE_MARKS, _CLAUSE_MARKS, _CLOSERS = ".!?…。！？．؟", ",;:،、，；：–—", "\"'”’»)]」』）】》〉"
+
+
+def _strength(body: str, space: str) -> int:
+    """Of the boundary after ``body`` and the white space that follows it."""
+    if _PARAGRAPH.search(space):
+        return PARAGRAPH
+    if _LINE.search(space):
+        return LINE
+    last = body.rstrip(_CLOSERS)[-1:]
+    if last and last in _SENTENCE_MARKS:
+        return SENTENCE
+    return CLAUSE if last and last in _CLAUSE_MARKS else WORD
+
+
+def _extends(char: str) -> bool:
+    """Whether a character belongs to the one before it."""
+    return char == "\u200d" or "\ufe00" <= char <= "\ufe0f" or "\U0001f3fb" <= char <= "\U0001f3ff" or unicodedata.category(char)[0] == "M"
+
+
+def _hard_cut(text: str, begin: int, most: int) -> int:
+    """Where a stretch without boundaries ends: after ``most`` characters, or before the whole character that stands there."""
+    end = begin + most
+    while end > begin + 1 and (_extends(text[end]) or text[end - 1] == "\u200d"):
+        end -= 1
+    return end if end > begin + 1 else begin + most
 
 
 def atoms(text: str, most: int) -> list[tuple[int, int]]:
@@ -39,23 +68,13 @@ def atoms(text: str, most: int) -> list[tuple[int, int]]:
     found = []
     for atom in _ATOM.finditer(text):
         begin, end = atom.span()
+        body = atom[0].rstrip()
+        filled = begin + len(body)
         while end - begin > most:
-            begin += most
-            found.append((begin, CHARACTER))
-        tail = text[max(begin, end - 80) : end]
-        body = tail.rstrip()
-        space = tail[len(body) :]
-        if _PARAGRAPH.search(space):
-            strength = PARAGRAPH
-        elif _LINE.search(space):
-            strength = LINE
-        elif _SENTENCE.search(body):
-            strength = SENTENCE
-        elif _CLAUSE.search(body):
-            strength = CLAUSE
-        else:
-            strength = WORD
-        found.append((end, strength))
+            stop = _hard_cut(text, begin, most)
+            found.append((stop, CHARACTER if stop < filled else _strength(body, text[filled:stop])))
+            begin = stop
+        found.append((end, _strength(body, text[filled:end])))
     return found
 
 

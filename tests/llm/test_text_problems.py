@@ -164,6 +164,18 @@ def check_pieces(text, limit, overlap):
     assert out == text
 
 
+def test_natural_boundaries():
+    # white space of any length after a paragraph, scripts without spaces, marks that belong to a letter
+    text = "a " * 200 + "end of it.\n\n" + " " * 100 + "b " * 200
+    assert text.index("b ") in split_oversized.cut_points(text, 600, 20)
+    wide = "これは文です。" * 100
+    assert all(wide[e - 1] == "。" for e in split_oversized.cut_points(wide, 100, 10))
+    joined = "x" * 95 + "e\u0301" * 60
+    assert all(joined[e - 1] != "e" for e in split_oversized.cut_points(joined, 96, 0))
+    assert split_oversized.atoms("." * 50_000 + "x", 100_000) == [(50_001, split_oversized.WORD)]
+    check_pieces("wort " + "　" * 500 + "ende", 100, 10)
+
+
 def test_pieces(corpus):
     rng = random.Random(3)
     odd = ["x" * 9_000, "a b " * 3_000, "\n\n".join(["word " * 300] * 9), "ab" * 30 + " " + "y" * 5_000, " " * 5_000, "short. " * 20 + "z" * 4_000 + "\n\nend"]
