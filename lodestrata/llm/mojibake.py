@@ -3,9 +3,9 @@
 Characters are mapped back to the bytes of a legacy code page; an automaton over
 those bytes (states: lead byte seen, continuation bytes due) finds the maximal spans
 that are well-formed UTF-8, and only those spans are decoded.  The automaton of each
-code page is written as a regular expression over characters, so that the JVM can
-run the same automaton as a filter and only hits reach Python.  Text garbled several
-times is decoded until nothing is left to decode.
+code page is written as a regular expression over characters.  The JVM looks for the first two
+states of all of them (a lead character before a continuation), so that only suspects reach Python.  Text garbled several
+times is decoded until nothing is left to decode, as each pass shortens it.
 
 Western single-byte text read in another single-byte code page has no byte structure.  It shows as
 letters of another script inside Latin words, or as words that become common accented words when their
@@ -30,7 +30,6 @@ from lodestrata.tables import table
 
 #: Code pages whose characters are mapped back to bytes, in the order tried.
 CODE_PAGES = ("cp1252", "mac_roman", "cp850", "cp437")
-MAX_PASSES = 4
 
 # What a decoded character may be.  Two-byte spans of other kinds are by chance, as É” or Íñ.
 _LIKELY_TWO = {*range(0xA0, 0x180), 0x192, 0x218, 0x219, 0x21A, 0x21B, 0x2C6, 0x2DC, *range(0x300, 0x312), *range(0x386, 0x3CF), *range(0x401, 0x460)}
@@ -106,12 +105,12 @@ MIXED = f"{_LATIN}{_SCRIPTS}|{_SCRIPTS}{_LATIN}"
 # Letters and marks of western texts, and common words with accents.
 _WESTERN = set("àâäáãåçèéêëìíîïñòóôöõùúûüÿœæßÀÂÄÁÃÅÇÈÉÊËÌÍÎÏÑÒÓÔÖÕÙÚÛÜŸŒÆšžŠŽ¿¡«»“”‘’„–—…€°·©®§º ª")
 _ACCENTED = frozenset(
-    "à où là ça çà été être même après très déjà voilà près dès père mère frère élève élèves règle deuxième troisième première premières années année contrôle août noël île âge dû sûr coûte coûté coût œuvre cœur sœur œil hôtel tête fête forêt fenêtre requête théâtre château pâte goût bientôt plutôt français façade façon leçon reçu garçon à-côté naïve naïf maïs haïr"
-    " entrepôt marégraphe mètres mètre échantillons entités entrées étiquette équipe équipes étoffe étang écluse modèle référence sécurité qualité propriété société université général générale problème système siècle lumière manière rivière derrière arrière matière"
-    " ¿por ¿qué ¿cómo ¿quién ¿cuándo ¿dónde ¿cuál ¿cuánto año años niño niña español españa mañana señor señora pequeño tamaño montaña baño otoño enseñó compañía daño sueño también según más está están aquí allí así después según qué cómo quién cuándo dónde había sido días día número última último página páginas información sección presión revisión región nación"
+    "à où là ça çà été être même après très déjà voilà près dès père mère frère élève élèves règle deuxième troisième première premières années année contrôle août noël île âge dû sûr coûte coûté coût œuvre cœur sœur œil hôtel tête fête forêt fenêtre théâtre château bientôt plutôt français française façon leçon reçu garçon"
+    " mètres mètre équipe modèle référence sécurité qualité propriété société université général générale problème système siècle lumière manière rivière derrière arrière matière"
+    " qué cómo quién cuándo dónde cuál cuánto año años niño niña español españa mañana señor señora pequeño tamaño montaña baño otoño compañía daño sueño también según más está están aquí allí así después había días día número última último página páginas información sección región nación"
     " não são também até você então através às já português informação ação ções mãe irmão coração"
-    " über für größe größte straße weiß groß mädchen können müssen würde möchte schön früh später während führen gäbe tür brücke zurück natürlich überzähliger prüfung übergabe"
-    " città più perché però così già università può".split()
+    " über für größe größte straße weiß groß mädchen können müssen würde möchte schön früh später während führen gäbe tür brücke zurück natürlich prüfung"
+    " città più perché però già così università può".split()
 )
 _CHUNK = re.compile(r"\S*[^\x00-\x7f]\S*")
 _EDGES = " .,;:!?()[]{}<>\"'“”‘’«»|/*–—…-"
@@ -134,20 +133,21 @@ _ODD = (
 )
 
 
-def make_suspect() -> Callable[[str], bool]:
-    """A fast filter: whether a text can hold a hit at all.  Every span begins with a lead and a continuation character."""
+def suspect_pattern() -> str:
+    """Whether a text can hold a hit at all.  Every span begins with a lead and a continuation character."""
     leads, tails = set(), set()
     for page in CODE_PAGES:
         for char, byte in _byte_of(page).items():
             (tails if byte < 0xC0 else leads).add(char)
-    pair = re.compile(_for_python(_class(list(leads)) + _class(list(tails))))
-    mixed = re.compile(_for_python(f"{_SCRIPTS}(?<={_LATIN}{_SCRIPTS})|{_SCRIPTS}(?={_LATIN})"))
-    odd = re.compile(_for_python(_ODD))
+    return rf"\x{{fffd}}|{_class(list(leads))}{_class(list(tails))}|{MIXED}|{_ODD}"
 
-    def suspect(text: str) -> bool:
-        return not text.isascii() and bool("\ufffd" in text or pair.search(text) or mixed.search(text) or odd.search(text))
 
-    return suspect
+def make_suspect() -> Callable[[str], bool]:
+    """``suspect_pattern`` for texts that are in Python already."""
+    # a script's letter first, as Latin letters are everywhere
+    pattern = suspect_pattern().replace(MIXED, f"{_SCRIPTS}(?<={_LATIN}{_SCRIPTS})|{_SCRIPTS}(?={_LATIN})")
+    found = re.compile(_for_python(pattern))
+    return lambda text: not text.isascii() and bool(found.search(text))
 
 
 def make_restorer() -> Callable[[str], str]:
@@ -199,7 +199,8 @@ def make_restorer() -> Callable[[str], str]:
         return _CHUNK.sub(word, text)
 
     def restore(text: str) -> str:
-        for _ in range(MAX_PASSES):
+        before = None
+        while text != before:
             before = text
             for pattern, byte_of in automata:
 
@@ -210,8 +211,6 @@ def make_restorer() -> Callable[[str], str]:
                         return found[0]
 
                 text = pattern.sub(decode, text)
-            if text == before:
-                break
         return restore_page(text) if odd.search(text) or mixed.search(text) else text
 
     return restore
@@ -223,25 +222,26 @@ def restore_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", garb
     ``garbled`` also holds where bytes were lost, though ``restored`` then keeps U+FFFD.
     """
 
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    doubted = F.coalesce(F.rlike("text", F.lit(suspect_pattern())), F.lit(False))
+
     def make():
-        restore, suspect = make_restorer(), make_suspect()
+        restore = make_restorer()
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, restored, garbled = [], [], []
-            for key_, text_ in zip(*(c.to_pylist() for c in batch.columns)):
-                fixed = restore(text_) if text_ and suspect(text_) else text_
-                wrong = fixed != text_ or "\ufffd" in (text_ or "")
-                if wrong or not garbled_only:
-                    keys.append(key_)
-                    restored.append(fixed)
-                    garbled.append(wrong)
-            return pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), pa.array(restored, pa.string()), pa.array(garbled)], names=["key", "restored", "garbled"])
+            texts = batch.column(1).to_pylist()
+            restored = [restore(t) for t in texts]
+            garbled = pa.array([r != t or "\ufffd" in t for r, t in zip(restored, texts)], pa.bool_())
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(restored, pa.string()), garbled], names=["key", "restored", "garbled"])
+            return out.filter(garbled) if garbled_only else out
 
         return run
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return map_batches(rows, make, f"key {kind}, restored string, garbled boolean").withColumnRenamed("key", key)
+    judged = map_batches(rows.where(doubted), make, f"key {kind}, restored string, garbled boolean")
+    if not garbled_only:
+        judged = judged.unionByName(rows.where(~doubted).select("key", F.col("text").alias("restored"), F.lit(False).alias("garbled")))
+    return judged.withColumnRenamed("key", key)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

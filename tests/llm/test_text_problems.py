@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestrata.llm import answer_defects, eval_leaks, main_content, mojibake, scan_repair, split_oversized, token_ids
+from lodestrata.tables import table
 
 DOCS = "doc_id bigint, source string, text string, restored string, key string, scan boolean"
 
@@ -70,6 +71,22 @@ def test_twice_garbled_and_cyrillic():
     assert restore("йlиve coыte 99 Ђ, здоровье") == "élève coûte 99 €, здоровье"
 
 
+def test_garbled_many_times():
+    restore = mojibake.make_restorer()
+    text = garbled = "D’après l’élève, ça coûte 44 € – voilà"
+    page = {byte: char for char, byte in mojibake._byte_of("cp1252").items() if not "\x80" <= char <= "\x9f" or byte in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+    for _ in range(6):
+        garbled = "".join(page.get(b, chr(b)) for b in garbled.encode())
+    assert restore(garbled) == text
+
+
+def test_the_jvm_finds_the_same_suspects(spark, small, corpus):
+    suspect = mojibake.make_suspect()
+    pattern = F.lit(mojibake.suspect_pattern())
+    found = {r.doc_id for r in table(spark, small, "documents").where(F.rlike("text", pattern)).select("doc_id").collect()}
+    assert found == {d for d, _, text in corpus if text and suspect(text)}
+
+
 @pytest.mark.parametrize("page", ["cp1250", "iso8859_2", "cp1251", "koi8_r", "cp1254"])
 def test_other_single_byte_pages(page):
     restore, suspect = mojibake.make_restorer(), mojibake.make_suspect()
@@ -123,8 +140,9 @@ def test_leaks_with_changes(spark):
     changed = words[5:17]
     changed[3] = "other"
     texts = ["zz " + ", ".join(words[3:15]).upper() + " zz", " ".join(words[3:14]), " ".join(changed), " ".join(words[20:26] + ["x", "y"] + words[26:31]), *ODD, "zz " + ", ".join(words[3:15]).upper() + " zz"]
-    found = {(r.doc_id, r.item_id): (r.distance, r.run) for r in eval_leaks.find_leaks(docs(spark, *texts), items).collect()}
-    assert found == {(0, 7): (0, 12), (1, 7): (1, 11), (2, 7): (1, 8), (len(texts) - 1, 7): (0, 12)}
+    for held in (0, 100):  # joined by hash, held by the tasks
+        found = {(r.doc_id, r.item_id): r.distance for r in eval_leaks.find_leaks(docs(spark, *texts), items, held_items=held).collect()}
+        assert found == {(0, 7): 0, (1, 7): 1, (2, 7): 1, (len(texts) - 1, 7): 0}
     assert eval_leaks.find_leaks(docs(spark), items).count() == 0
     assert eval_leaks.find_leaks(docs(spark, item), items.limit(0)).count() == 0
 
@@ -143,12 +161,16 @@ def test_leaks_equal_brute_force(spark, small, corpus):
     assert truth == {(r.doc_id, r.item_id) for r in eval_leaks.p9_found(spark, small).collect()}
 
 
-def test_item_blocks(spark, monkeypatch):
-    items = spark.createDataFrame([(i, " ".join(f"w{i}_{j}" for j in range(15))) for i in range(9)], "item_id bigint, text string")
-    texts = [" ".join(f"w{i}_{j}" for j in range(13)) for i in range(9)]
-    monkeypatch.setattr(eval_leaks, "ITEMS_A_PASS", 4)
-    found = {(r.doc_id, r.item_id) for r in eval_leaks.find_leaks(docs(spark, *texts), items).collect()}
-    assert found == {(i, i) for i in range(9)}
+def test_joined_items_equal_held_ones(spark, small):
+    documents, items = table(spark, small, "documents"), table(spark, small, "eval_items")
+    held = {(r.doc_id, r.item_id, r.distance) for r in eval_leaks.find_leaks(documents, items).collect()}
+    assert held and held == {(r.doc_id, r.item_id, r.distance) for r in eval_leaks.find_leaks(documents, items, held_items=5).collect()}
+
+
+def test_leaks_need_the_distance(spark, small, monkeypatch):
+    monkeypatch.setattr(eval_leaks.LeakFinder, "_distance", lambda *_: eval_leaks.PASSAGE)
+    finder = eval_leaks.LeakFinder([" ".join(f"w{i}" for i in range(30))])
+    assert finder.find(" ".join(f"w{i}" for i in range(30))) == []
 
 
 # ---- splitting
