@@ -57,8 +57,11 @@ def _class(chars: list[str]) -> str:
     return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(chars)) + "]"
 
 
-def _units(page: str) -> list[str]:
-    """Patterns of the spans of bytes that decode to one likely character, over the characters of ``page``."""
+def _units(page: str, beside: bool = False) -> list[str]:
+    """Patterns of the spans of bytes that decode to one likely character, over the characters of ``page``.
+
+    ``beside`` gives those that are likely only beside others: capitals before quotation marks, as Æ’ of a text garbled again.
+    """
     chars: dict[int, list[str]] = {}
     for char, byte in _byte_of(page).items():
         chars.setdefault(byte, []).append(char)
@@ -70,6 +73,10 @@ def _units(page: str) -> list[str]:
         if lead in chars and all(parts):
             rests.setdefault(tuple(map(_class, parts)), []).extend(chars[lead])
 
+    for lead in range(0xC4, 0xE0) if beside else ():
+        add(lead, [c for tail in tails if ((lead & 0x1F) << 6 | tail & 0x3F) in _LIKELY_TWO for c in chars.get(tail, ()) if c in _AFTER_CAPITALS])
+    if beside:
+        return [_class(leads) + "".join(rest) for rest, leads in rests.items()]
     for lead in range(0xC2, 0xE0):
         allowed = []
         for tail in tails:
@@ -89,7 +96,8 @@ def _units(page: str) -> list[str]:
 
 def span_pattern(page: str) -> str:
     """The automaton of ``page``."""
-    return "(?:" + "|".join(_units(page)) + ")+"
+    sure, beside = "|".join(_units(page)), "|".join(_units(page, beside=True))
+    return f"(?:{beside})*(?:{sure})(?:{sure}|{beside})*" if beside else f"(?:{sure})+"
 
 
 def _for_python(pattern: str) -> str:
@@ -199,9 +207,10 @@ def make_restorer() -> Callable[[str], str]:
         return _CHUNK.sub(word, text)
 
     def restore(text: str) -> str:
-        before = None
-        while text != before:
-            before = text
+        start = None
+        while text != start:
+            start = text
+            # a page until it finds no more, as what it leaves in between can look like another's
             for pattern, byte_of in automata:
 
                 def decode(found: re.Match, byte_of=byte_of) -> str:
@@ -210,7 +219,9 @@ def make_restorer() -> Callable[[str], str]:
                     except UnicodeDecodeError:
                         return found[0]
 
-                text = pattern.sub(decode, text)
+                before = None
+                while text != before:
+                    before, text = text, pattern.sub(decode, text)
         return restore_page(text) if odd.search(text) or mixed.search(text) else text
 
     return restore
