@@ -3,8 +3,8 @@
 Characters are mapped back to the bytes of a legacy code page; an automaton over
 those bytes (states: lead byte seen, continuation bytes due) finds the maximal spans
 that are well-formed UTF-8, and only those spans are decoded.  The automaton of each
-code page is written as a regular expression over characters.  The JVM looks for the first two
-states of all of them (a lead character before a continuation), so that only suspects reach Python.  Text garbled several
+code page is written as a regular expression over characters; one for the first two
+states of all of them (a lead character before a continuation) settles most texts.  Text garbled several
 times is decoded until nothing is left to decode, as each pass shortens it.
 
 Western single-byte text read in another single-byte code page has no byte structure.  It shows as
@@ -54,7 +54,14 @@ def _byte_of(page: str) -> dict[str, int]:
 
 
 def _class(chars: list[str]) -> str:
-    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in sorted(chars)) + "]"
+    """A character class of ``chars``, neighbours as ranges."""
+    ranges: list[list[int]] = []
+    for code in sorted(set(map(ord, chars))):
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{a:x}}}" + (f"-\\x{{{b:x}}}" if b > a else "") for a, b in ranges) + "]"
 
 
 def _units(page: str, beside: bool = False) -> list[str]:
@@ -134,10 +141,10 @@ def _cores(word: str) -> list[str]:
     return [p for p in re.split(r"['’]", word.strip(_EDGES).lower()) if p]
 
 
-#: Letters that western texts lack, and signs within words.
+#: Letters that western texts lack, and signs within words; each begins with the sign, as do all parts of ``suspect_pattern``.
 _ODD = (
     r"[\x{100}-\x{151}\x{154}-\x{15f}\x{162}-\x{177}\x{179}-\x{17c}\x{192}-\x{24f}\x{370}-\x{6ff}\x{2c6}-\x{2dd}\x{2020}\x{2021}\x{2030}\x{fb01}\x{fb02}\x{207f}]"
-    r"|[a-z][\x{b1}\x{b3}\x{b7}\x{b8}\x{be}\x{f7}\x{de}\x{fe}\x{da}\x{db}\x{d3}\x{c8}\x{cb}\x{cd}\x{d2}\x{cc}][a-z]"
+    r"|[\x{b1}\x{b3}\x{b7}\x{b8}\x{be}\x{f7}\x{de}\x{fe}\x{da}\x{db}\x{d3}\x{c8}\x{cb}\x{cd}\x{d2}\x{cc}](?=[a-z])(?<=[a-z].)"
 )
 
 
@@ -147,14 +154,13 @@ def suspect_pattern() -> str:
     for page in CODE_PAGES:
         for char, byte in _byte_of(page).items():
             (tails if byte < 0xC0 else leads).add(char)
-    return rf"\x{{fffd}}|{_class(list(leads))}{_class(list(tails))}|{MIXED}|{_ODD}"
+    # most characters are ASCII, and settled by the first look ahead
+    return rf"(?=[^\x00-\x7f])(?:{_class(list(leads))}{_class(list(tails))}|{_ODD}|\x{{fffd}}|{_SCRIPTS}(?:(?<={_LATIN}.)|(?={_LATIN})))"
 
 
 def make_suspect() -> Callable[[str], bool]:
     """``suspect_pattern`` for texts that are in Python already."""
-    # a script's letter first, as Latin letters are everywhere
-    pattern = suspect_pattern().replace(MIXED, f"{_SCRIPTS}(?<={_LATIN}{_SCRIPTS})|{_SCRIPTS}(?={_LATIN})")
-    found = re.compile(_for_python(pattern))
+    found = re.compile(_for_python(suspect_pattern()))
     return lambda text: not text.isascii() and bool(found.search(text))
 
 
@@ -233,26 +239,22 @@ def restore_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", garb
     ``garbled`` also holds where bytes were lost, though ``restored`` then keeps U+FFFD.
     """
 
-    kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    doubted = F.coalesce(F.rlike("text", F.lit(suspect_pattern())), F.lit(False))
 
     def make():
-        restore = make_restorer()
+        restore, suspect = make_restorer(), make_suspect()
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = batch.column(1).to_pylist()
-            restored = [restore(t) for t in texts]
-            garbled = pa.array([r != t or "\ufffd" in t for r, t in zip(restored, texts)], pa.bool_())
+            restored = [restore(t) if t and suspect(t) else t for t in texts]
+            garbled = pa.array([r != t or "\ufffd" in (t or "") for r, t in zip(restored, texts)], pa.bool_())
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(restored, pa.string()), garbled], names=["key", "restored", "garbled"])
             return out.filter(garbled) if garbled_only else out
 
         return run
 
-    judged = map_batches(rows.where(doubted), make, f"key {kind}, restored string, garbled boolean")
-    if not garbled_only:
-        judged = judged.unionByName(rows.where(~doubted).select("key", F.col("text").alias("restored"), F.lit(False).alias("garbled")))
-    return judged.withColumnRenamed("key", key)
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    return map_batches(rows, make, f"key {kind}, restored string, garbled boolean").withColumnRenamed("key", key)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,13 +80,6 @@ def test_garbled_many_times():
     assert restore(garbled) == text
 
 
-def test_the_jvm_finds_the_same_suspects(spark, small, corpus):
-    suspect = mojibake.make_suspect()
-    pattern = F.lit(mojibake.suspect_pattern())
-    found = {r.doc_id for r in table(spark, small, "documents").where(F.rlike("text", pattern)).select("doc_id").collect()}
-    assert found == {d for d, _, text in corpus if text and suspect(text)}
-
-
 @pytest.mark.parametrize("page", ["cp1250", "iso8859_2", "cp1251", "koi8_r", "cp1254"])
 def test_other_single_byte_pages(page):
     restore, suspect = mojibake.make_restorer(), mojibake.make_suspect()
