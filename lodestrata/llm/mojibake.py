@@ -122,7 +122,7 @@ _WESTERN = set("àâäáãåçèéêëìíîïñòóôöõùúûüÿœæßÀÂÄ
 _ACCENTED = frozenset(
     "à où là ça çà été être même après très déjà voilà près dès père mère frère élève élèves règle deuxième troisième première premières années année contrôle août noël île âge dû sûr coûte coûté coût œuvre cœur sœur œil hôtel tête fête forêt fenêtre théâtre château bientôt plutôt français française façon leçon reçu garçon"
     " mètres mètre équipe modèle référence sécurité qualité propriété société université général générale problème système siècle lumière manière rivière derrière arrière matière"
-    " qué cómo quién cuándo dónde cuál cuánto año años niño niña español españa mañana señor señora pequeño tamaño montaña baño otoño compañía daño sueño también según más está están aquí allí así después había días día número última último página páginas información sección región nación"
+    " ¿por ¿qué ¿cómo ¿quién ¿cuándo ¿dónde ¿cuál ¿cuánto qué cómo quién cuándo dónde cuál cuánto año años niño niña español españa mañana señor señora pequeño tamaño montaña baño otoño compañía daño sueño también según más está están aquí allí así después había días día número última último página páginas información sección región nación"
     " não são também até você então através às já português informação ação ções mãe irmão coração"
     " über für größe größte straße weiß groß mädchen können müssen würde möchte schön früh später während führen gäbe tür brücke zurück natürlich prüfung"
     " città più perché però già così università può".split()

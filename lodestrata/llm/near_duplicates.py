@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import map_batches
@@ -131,9 +131,9 @@ def _disagree(one: str, other: str) -> Column:
 
 
 def signed_records(records: DataFrame, words: int = WORDS) -> DataFrame:
-    """(``rid``, ``space``, ``id``, ``copy``, ``s1``, ``s2``, ``symbols``) of the ``records`` (rid, space, id, text) that have a word sequence.
+    """(``rid``, ``space``, ``id``, ``copy``, ``copy2``, ``s1``, ``s2``, ``symbols``) of the ``records`` (rid, space, id, text) that have a word sequence.
 
-    ``copy`` is the same for texts with the same words in the same order within a space.
+    ``copy`` and ``copy2``, 128 bits in all, are the same for texts with the same words in the same order within a space.
     """
 
     def make():
@@ -149,11 +149,13 @@ def signed_records(records: DataFrame, words: int = WORDS) -> DataFrame:
             starts = np.cumsum(kept) - kept
             place = np.arange(len(values)) - np.repeat(starts, kept)
             space = batch.column(1).to_numpy(zero_copy_only=False)[has].astype(np.uint64)
-            copy = np.add.reduceat(_mix(values + _mix(place.astype(np.uint64))), starts) + space
+            placed = values + _mix(place.astype(np.uint64))
+            copy = np.add.reduceat(_mix(placed), starts) + space
+            copy2 = np.add.reduceat(_mix(placed ^ np.uint64(_SEED)), starts)
             offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1])
             symbols = pa.ListArray.from_arrays(offsets, pa.array(rows.astype(np.uint32).view(np.int32).ravel()))
             own = [c.filter(pa.array(has)) for c in batch.columns[:3]]
-            return pa.RecordBatch.from_arrays([*own, *map(pa.array, (copy.view(np.int64), *sketches(rows))), symbols], names=["rid", "space", "id", "copy", "s1", "s2", "symbols"])
+            return pa.RecordBatch.from_arrays([*own, *map(pa.array, (copy.view(np.int64), copy2.view(np.int64), *sketches(rows))), symbols], names=["rid", "space", "id", "copy", "copy2", "s1", "s2", "symbols"])
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             parts = [p for i in range(0, batch.num_rows, HASHED_TEXTS) if (p := part(batch.slice(i, HASHED_TEXTS))) is not None]
@@ -161,7 +163,7 @@ def signed_records(records: DataFrame, words: int = WORDS) -> DataFrame:
 
         return run
 
-    schema = "rid bigint, space int, id string, copy bigint, s1 bigint, s2 bigint, symbols array<int>"
+    schema = "rid bigint, space int, id string, copy bigint, copy2 bigint, s1 bigint, s2 bigint, symbols array<int>"
     return map_batches(records.select("rid", "space", "id", "text"), make, schema)
 
 
@@ -223,8 +225,9 @@ def revisions(records: DataFrame, words: int = WORDS, similarity: float = SIMILA
     """Members (``head``, ``id``) of all classes of copies, and pairs of class heads (``a``, ``b``, ``similarity``)."""
     signed = signed_records(records, words).persist(StorageLevel.DISK_ONLY)
     first = F.min_by(F.struct("rid", "space", "s1", "s2", "symbols"), "rid").alias("first")
-    heads = cut(signed.groupBy("copy").agg(first).select("first.*"))
-    members = signed.select("copy", "id", "rid").withColumn("head", F.min("rid").over(Window.partitionBy("copy"))).select("head", "id").distinct()
+    heads = cut(signed.groupBy("copy", "copy2").agg(first).select("copy", "copy2", "first.*"))
+    # a class may hold a third of all records: a join that can be split by rows, no window over a class
+    members = signed.select("copy", "copy2", "id").distinct().join(heads.select("copy", "copy2", F.col("rid").alias("head")), ["copy", "copy2"]).select("head", "id").distinct()
     return members, verified_pairs(candidate_pairs(heads), records, words, similarity)
 
 
@@ -232,7 +235,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     members, pairs = revisions(curation_records(spark, sf_dir))
     a, b = members.select(F.col("head").alias("a"), F.col("id").alias("x")), members.select(F.col("head").alias("b"), F.col("id").alias("y"))
     links = pairs.select("a", "b").join(a, "a").join(b, "b").select("x", "y")
-    repeated = members.withColumn("n", F.count("*").over(Window.partitionBy("head"))).where("n > 1")
+    repeated = members.join(members.groupBy("head").count().where("count > 1").select("head"), "head", "left_semi")
     twins = repeated.select("head", F.col("id").alias("x")).join(repeated.select("head", F.col("id").alias("y")), "head").where("x < y").select("x", "y")
     return links.unionByName(twins).where("x <> y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 

@@ -6,12 +6,12 @@ buckets, each sorted by one projection; a query's window on it holds the vectors
 projection lies within ``WINDOW`` radii.  In the window, collisions in ``COUNTED`` further single
 projections are counted, and pairs with at least ``COLLISIONS`` of them are verified by their exact cosine.
 
-All windows grow with the radius (virtual rehashing): the first level has a small radius, and
-a vector with ``k`` verified neighbours within it has its neighbours for certain and asks no more, so dense
-groups end there.  Windows on single projections alone hold a constant share of all vectors (random
+All windows grow with the radius (virtual rehashing): projections and offsets stay, cells and windows become three times as
+wide, each cell the union of three.  The first level has a small radius, and a vector with ``k`` verified neighbours
+within it has its neighbours for certain and asks no more, so dense groups end there.  Windows on single projections alone hold a constant share of all vectors (random
 directions tell little in 64 dimensions), which makes the self-join quadratic; so each
-table splits the vectors by a few more projections first, and there are enough tables to find neighbours with the
-recall stated in the README.
+table splits the vectors by a few more projections first.  Splits and tables follow from the number of vectors, so that
+buckets keep their size and the recall stated in the README stays.
 
 The last radius is that of ``COSINE``, the limit of ``p2_found``.  ``p2_neighbours`` has no limit: its last level takes in the
 whole space, so vectors with fewer than ``k`` verified neighbours are compared with every vector, tile by tile (quadratic in them).
@@ -22,6 +22,7 @@ a node counts once for each space (of different vectors, the least in order coun
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -39,8 +40,10 @@ NEIGHBOURS = 5
 WINDOW = 2.5
 BUCKET = 4.0
 COUNTED, COLLISIONS = 24, 18
-#: (radius, projections that split a table, tables), growing; the last radius is that of ``COSINE``.
-LEVELS = ((0.15, 5, 10), (0.4473, 12, 56))
+#: (projections that split a table, tables) of each level, for ``SPACE_ROWS`` vectors in a space.  The last radius is that of ``COSINE``, the others a third of the next.
+LEVELS = ((5, 10), (12, 72))
+SPACE_ROWS = 32_768
+GROWTH = 3
 _SEED = 77_003
 #: Pairs made at once within a bucket.
 BLOCK = 1_000_000
@@ -63,16 +66,33 @@ def usable_vectors(vectors: DataFrame, space: str = "space", node: str = "node_i
     return rows.withColumn("rep", F.xxhash64("space", "vec"))
 
 
-def _directions(dimensions: int, level: int) -> tuple[np.ndarray, np.ndarray]:
-    radius, splits, tables = LEVELS[level]
-    rng = np.random.default_rng(_SEED + 1000 * level + dimensions)
-    directions = rng.standard_normal((dimensions, tables * (splits + 1) + COUNTED)).astype(np.float32) / np.float32(radius)
-    return directions, rng.uniform(0, BUCKET, tables * splits).astype(np.float32)
+def radius(level: int) -> float:
+    return (2 - 2 * COSINE) ** 0.5 * 1.0002 / GROWTH ** (len(LEVELS) - 1 - level)
 
 
-def _table_rows(points: DataFrame, level: int) -> DataFrame:
-    """(``bucket``, ``rep``, ``asks``, ``at``, ``marks``) for each table: where a vector stands and its counted projections."""
-    _, splits, tables = LEVELS[level]
+def layout(rows: int) -> tuple[tuple[int, int], ...]:
+    """``LEVELS`` for so many vectors in a space.
+
+    A split leaves unrelated vectors together with 0.45, vectors at the radius with 0.8 (cells of four radii), so each
+    one more than halves buckets and asks for a quarter more tables.
+    """
+    more = max(0, math.ceil(math.log(max(1, rows) / SPACE_ROWS) / math.log(1 / 0.447)))
+    return tuple((splits + more, math.ceil(tables * 1.25**more)) for splits, tables in LEVELS)
+
+
+def _directions(dimensions: int, levels: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The projections of all levels: splits and the array of each table, the counted ones, and offsets of cells."""
+    splits, tables = levels[-1]
+    rng = np.random.default_rng(_SEED + dimensions)
+    ranks = rng.standard_normal((dimensions, tables, splits + 1)).astype(np.float32)
+    return ranks, rng.standard_normal((dimensions, COUNTED)).astype(np.float32), rng.uniform(0, BUCKET * radius(len(levels) - 1), (tables, splits)).astype(np.float32)
+
+
+def _table_rows(points: DataFrame, level: int, levels: tuple[tuple[int, int], ...]) -> DataFrame:
+    """(``bucket``, ``rep``, ``asks``, ``at``, ``marks``) for each table: where a vector stands and its counted projections, in radii."""
+    splits, tables = levels[level]
+    unit = np.float32(radius(0))
+    wider = GROWTH**level
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -82,11 +102,11 @@ def _table_rows(points: DataFrame, level: int) -> DataFrame:
             for n in np.unique(sizes):
                 rows = np.flatnonzero(sizes == n)
                 x = vecs.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), n)
-                directions, offsets = _directions(int(n), level)
-                seen = x @ directions
-                cells = np.floor((seen[:, : tables * splits] + offsets) / BUCKET).astype(np.int64).reshape(len(rows), tables, splits)
-                at = seen[:, tables * splits : tables * (splits + 1)]
-                marks = np.clip(np.rint(seen[:, -COUNTED:] * 8), -32767, 32767).astype(np.int16)
+                ranks, counted, offsets = _directions(int(n), levels)
+                seen = np.einsum("rd,dts->rts", x, np.concatenate([ranks[:, :tables, :splits], ranks[:, :tables, -1:]], axis=2), optimize=True)
+                cells = np.floor((seen[:, :, :splits] + offsets[:tables, :splits]) / (BUCKET * unit)).astype(np.int64) // wider
+                at = seen[:, :, splits] / (unit * wider)
+                marks = np.clip(np.rint(x @ counted / (unit * wider) * 8), -32767, 32767).astype(np.int16)
                 bucket = np.broadcast_to(np.arange(tables, dtype=np.int64), (len(rows), tables)) + salts.to_numpy()[rows][:, None]
                 bucket = bucket.astype(np.uint64)
                 for i in range(splits):
@@ -114,23 +134,25 @@ def _colliding(rows: DataFrame) -> DataFrame:
     """(``a``, ``b``) that stand in each other's window of a table, at least one asking, with enough collisions."""
 
     def pairs(batches):
-        # rows come sorted by bucket and place; a bucket may span batches, so the last one of a batch waits
+        # rows come sorted by bucket and place; those whose window may reach into the next batch wait, so no more than a window is held
         rest = None
         for batch in batches:
             part = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            bucket = part["bucket"].to_numpy()
-            split = int(np.searchsorted(bucket, bucket[-1])) if len(bucket) else 0
-            rest = part.slice(split)
-            if split:
-                yield from _window_pairs(part.slice(0, split))
+            if len(part):
+                bucket, at = part["bucket"].to_numpy(), part["at"].to_numpy()
+                last = int(np.searchsorted(bucket, bucket[-1]))
+                done = last + int(np.searchsorted(at[last:], at[-1] - WINDOW))
+                yield from _window_pairs(part, done)
+                rest = part.slice(done).combine_chunks()
         if rest is not None and len(rest):
-            yield from _window_pairs(rest)
+            yield from _window_pairs(rest, len(rest))
 
     placed = rows.repartition("bucket").sortWithinPartitions("bucket", "at")
     return placed.mapInArrow(pairs, "a bigint, b bigint").distinct()
 
 
-def _window_pairs(part: pa.Table):
+def _window_pairs(part: pa.Table, done: int):
+    """Pairs of each of the first ``done`` rows with those after it in its window."""
     bucket, rep, at = part["bucket"].to_numpy(), part["rep"].to_numpy(), part["at"].to_numpy()
     asks = part["asks"].to_numpy()
     n = len(bucket)
@@ -139,14 +161,14 @@ def _window_pairs(part: pa.Table):
     span = float(at.max() - at.min()) + 2 * WINDOW + 1 if n else 0
     line = at.astype(np.float64) - float(at.min()) + run_of * span
     ends = np.searchsorted(line, line + WINDOW, side="right")
-    width = ends - np.arange(n) - 1
+    width = (ends - np.arange(n) - 1)[:done]
     if not width.sum():
         return
     marks = np.frombuffer(b"".join(part["marks"].to_pylist()), dtype=np.int16).reshape(n, COUNTED)
     limit = np.int32(round(WINDOW * 8))
     total = np.cumsum(width)
     begin = 0
-    while begin < n:
+    while begin < done:
         stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + BLOCK, side="right")))
         w = width[begin:stop]
         i = np.repeat(np.arange(begin, stop), w)
@@ -183,10 +205,12 @@ def similar_pairs(vectors: DataFrame, k: int = NEIGHBOURS, cosine: float = COSIN
     points = usable.groupBy("rep").agg(F.first("space").alias("space"), F.first("vec").alias("vec"), F.count("*").alias("copies")).persist(StorageLevel.DISK_ONLY)
     done = None
     found = []
-    for level, (radius, _, _) in enumerate(LEVELS):
+    # one small row a space
+    levels = layout(points.groupBy("space").count().agg(F.max("count")).first()[0] or 0)
+    for level in range(len(levels)):
         asking = points.withColumn("asks", F.lit(True)) if done is None else points.join(done.withColumn("done", F.lit(True)), "rep", "left").withColumn("asks", F.col("done").isNull())
-        least = cosine if level == len(LEVELS) - 1 else max(cosine, 1 - radius * radius / 2)
-        pairs = cut(_cosines(_colliding(_table_rows(asking, level)), points, least))
+        least = cosine if level == len(LEVELS) - 1 else max(cosine, 1 - radius(level) ** 2 / 2)
+        pairs = cut(_cosines(_colliding(_table_rows(asking, level, levels)), points, least))
         found.append(pairs)
         sides = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
         done = sides.groupBy("rep").count().where(F.col("count") >= k).select("rep")
