@@ -27,8 +27,9 @@ def distinct_nodes(nodes: DataFrame) -> DataFrame:
 
 
 def distinct_edges(edges: DataFrame) -> DataFrame:
-    """Each (src, dst, relation) once, the relation in lower case, with its least sequence, provenance and similarity."""
-    return edges.groupBy("src", "dst", F.lower("relation").alias("relation")).agg(F.min("sequence").alias("sequence"), F.min("provenance").alias("provenance"), F.min("similarity").alias("similarity"))
+    """Each (src, dst, relation) once, the relation in lower case, with its least sequence, and its least provenance and similarity if the table has them."""
+    least = [F.min(c).alias(c) for c in ("sequence", "provenance", "similarity") if c in edges.columns]
+    return edges.groupBy("src", "dst", F.lower("relation").alias("relation")).agg(*least)
 
 
 def related(edges: DataFrame, relation: str) -> DataFrame:
