@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestrata.functions.text import stated_triplets
 from lodestrata.operators import building as B
 from lodestrata.operators.graph import related
 
@@ -49,9 +50,15 @@ def section_edges(lines: DataFrame) -> DataFrame:
     )
 
 
-def fact_edges(chunks: DataFrame) -> DataFrame:
-    """has_fact, subject and object edges of the facts stated in ``chunks`` (id, text)."""
-    return B.fact_edges(B.fact_rows(chunks)).where("relation IN ('has_fact', 'subject', 'object')").select("src", "dst", "relation", F.lit(None).cast("int").alias("sequence"))
+def triplet_facts(chunks: DataFrame) -> DataFrame:
+    """(``id``, ``chunk``, ``subject``, ``predicate``, ``object``) of the triplets stated in ``chunks`` (id, text)."""
+    rows = chunks.select(F.col("id").alias("chunk"), F.posexplode(stated_triplets(F.col("text"))).alias("n", "t"))
+    return rows.select(F.concat("chunk", F.lit("_fact_"), "n").alias("id"), "chunk", "t.subject", "t.predicate", "t.object")
+
+
+def fact_edges(facts: DataFrame) -> DataFrame:
+    """has_fact, subject and object edges of ``facts`` (id, chunk, subject, predicate, object)."""
+    return B.fact_edges(facts).where("relation IN ('has_fact', 'subject', 'object')").select("src", "dst", "relation", F.lit(None).cast("int").alias("sequence"))
 
 
 def image_rows(payloads: DataFrame) -> DataFrame:

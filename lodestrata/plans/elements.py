@@ -8,7 +8,7 @@ from lodestrata.functions.text import clean_text
 from lodestrata.operators import building as B
 from lodestrata.operators import elements as L
 from lodestrata.operators import graph as G
-from lodestrata.plans.building import _A, _P1, _P2
+from lodestrata.plans.building import _A
 from lodestrata.plans.graph import _DATE
 from lodestrata.plans.sqltext import clean
 from lodestrata.tables import chunk_nodes, table
@@ -25,7 +25,7 @@ def _sections(spark, sf_dir):
 
 
 def _facts(spark, sf_dir):
-    return L.fact_edges(L.line_chunks(_lines(spark, sf_dir))).unionByName(_sections(spark, sf_dir))
+    return L.fact_edges(L.triplet_facts(L.line_chunks(_lines(spark, sf_dir)))).unionByName(_sections(spark, sf_dir))
 
 
 def walk_document_sections(spark, sf_dir):
@@ -137,15 +137,15 @@ def walk_entity_chunks(spark, sf_dir):
 
 
 def graph_linked_sections_by_entity(spark, sf_dir):
-    """Sections whose facts share an entity."""
+    """Sections that state something about the same subject."""
     edges = _facts(spark, sf_dir)
-    held = L.fact_sections(edges).join(L.entity_facts(edges), "fact").select("section", "entity").distinct()
-    return G.co_mentions(held, "section", "entity")
+    about = G.related(edges, "subject").select(F.col("src").alias("fact"), F.col("dst").alias("entity"))
+    return G.co_mentions(L.fact_sections(edges).join(about, "fact"), "section", "entity")
 
 
 def graph_found_facts(spark, sf_dir):
     """Facts by what they say, whatever their subject and object."""
-    return L.matching_facts(B.fact_rows(L.line_chunks(_lines(spark, sf_dir))), predicate="is").select("id", "subject", "object")
+    return L.matching_facts(L.triplet_facts(L.line_chunks(_lines(spark, sf_dir))), predicate="is").select("id", "subject", "object")
 
 
 def graph_labels(spark, sf_dir):
@@ -225,10 +225,9 @@ QUERIES = {
 _S = rf"""{_A}, s AS (SELECT document, sequence, kind, text, n, CASE WHEN n > 0 THEN document || '_section_' || n END AS section, (floor(sequence / 40) + 1)::INT AS page
   FROM (SELECT *, sum((kind = 'Title')::INT) OVER (PARTITION BY document ORDER BY sequence)::BIGINT AS n FROM k)),
 t AS (SELECT * FROM s WHERE kind = 'Title'), lc AS (SELECT *, document || '_line_' || sequence AS id FROM s WHERE kind <> 'Title')"""
-_LF = rf"""{_S}, fl AS (SELECT id AS chunk, document, section, page, list_concat(
-  list_transform(list_zip(regexp_extract_all(text, '{_P1}', 1), regexp_extract_all(text, '{_P1}', 2)), lambda p: {{'s': trim(p[1]), 'p': 'is', 'o': trim(p[2])}}),
-  list_transform(list_zip(regexp_extract_all(text, '{_P2}', 1), regexp_extract_all(text, '{_P2}', 2)), lambda p: {{'s': trim(p[1]), 'p': 'born_in', 'o': trim(p[2])}})) AS fs FROM lc),
-f AS (SELECT chunk || '_fact_' || (n - 1) AS fact, chunk, document, section, page, fs[n].s AS subject, fs[n].p AS predicate, fs[n].o AS object FROM (SELECT *, unnest(range(1, len(fs) + 1)) AS n FROM fl))"""
+_T = r"(?i)([A-Za-z_]+)\s+(is|likes|has|eats|knows|located_in|capital_of)\s+([A-Za-z_]+)"
+_LF = rf"""{_S}, fl AS (SELECT id AS chunk, document, section, page, regexp_extract_all(lower(text), '{_T}', 1) AS su, regexp_extract_all(lower(text), '{_T}', 2) AS pr, regexp_extract_all(lower(text), '{_T}', 3) AS ob FROM lc),
+f AS (SELECT chunk || '_fact_' || (n - 1) AS fact, chunk, document, section, page, su[n] AS subject, pr[n] AS predicate, ob[n] AS object FROM (SELECT *, unnest(range(1, len(su) + 1)) AS n FROM fl))"""
 _I = "p AS (SELECT doc_id, min({'path': path, 'n': n_pages}) AS p FROM pdf WHERE n_pages > 0 GROUP BY 1), im AS (SELECT 'd' || doc_id AS document, p.path AS path, unnest(range(0, p.n)) AS n FROM p)"
 _DN = "dn AS (SELECT id, min(pos) AS pos, arg_min({'v': lower(type)}, pos).v AS type, arg_min({'v': text}, pos).v AS text, arg_min({'v': source}, pos).v AS source, arg_min({'v': author}, pos).v AS author, arg_min({'v': page}, pos).v AS page, arg_min({'v': birth_date}, pos).v AS birth_date, arg_min({'v': entities}, pos).v AS entities FROM nodes GROUP BY id)"
 _HC = "hc AS (SELECT src, dst, min(sequence) AS sequence FROM edges WHERE lower(relation) = 'has_chunk' GROUP BY 1, 2)"
@@ -267,7 +266,7 @@ ORACLES = {
     "walk_document_facts": f"WITH {_LF} SELECT document, count(*) AS facts, min(fact) AS first FROM f GROUP BY 1",
     "walk_fact_pages": f"WITH {_LF} SELECT fact, page FROM f",
     "walk_entity_chunks": f"WITH {_DN} SELECT dst AS entity, count(DISTINCT src) AS chunks, min(src) AS first, max(src) AS last FROM edges WHERE lower(relation) = 'mentions' AND src IN (SELECT id FROM dn WHERE type = 'chunk') AND dst IN (SELECT id FROM dn WHERE type = 'entity') GROUP BY 1",
-    "graph_linked_sections_by_entity": f"WITH {_LF}, se AS (SELECT section, subject AS entity FROM f WHERE section IS NOT NULL UNION SELECT section, object FROM f WHERE section IS NOT NULL) SELECT a.section AS src, b.section AS dst, count(*) AS shared FROM se a JOIN se b ON a.entity = b.entity AND a.section < b.section GROUP BY 1, 2",
+    "graph_linked_sections_by_entity": f"WITH {_LF}, se AS (SELECT DISTINCT section, subject AS entity FROM f WHERE section IS NOT NULL) SELECT a.section AS src, b.section AS dst, count(*) AS shared FROM se a JOIN se b ON a.entity = b.entity AND a.section < b.section GROUP BY 1, 2",
     "graph_found_facts": f"WITH {_LF} SELECT fact AS id, subject, object FROM f WHERE predicate = 'is'",
     "graph_labels": "SELECT label, label IN (SELECT lower(type) FROM nodes WHERE type IS NOT NULL) AS known FROM (VALUES ('chunk'), ('document'), ('entity'), ('image')) v(label)",
     "graph_removed_chunks": f"WITH {_HC} SELECT src, dst, (row_number() OVER (PARTITION BY src ORDER BY sequence NULLS LAST, dst) - 1)::INT AS n FROM hc WHERE dst NOT IN (SELECT id FROM nodes WHERE lower(type) = 'chunk' AND coalesce(length(text), 0) < 200)",
