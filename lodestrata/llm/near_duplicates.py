@@ -227,7 +227,7 @@ def revisions(records: DataFrame, words: int = WORDS, similarity: float = SIMILA
     first = F.min_by(F.struct("rid", "space", "s1", "s2", "symbols"), "rid").alias("first")
     heads = cut(signed.groupBy("copy", "copy2").agg(first).select("copy", "copy2", "first.*"))
     # a class may hold a third of all records: a join that can be split by rows, no window over a class
-    members = signed.select("copy", "copy2", "id").distinct().join(heads.select("copy", "copy2", F.col("rid").alias("head")), ["copy", "copy2"]).select("head", "id").distinct()
+    members = signed.select("copy", "copy2", "id").join(heads.select("copy", "copy2", F.col("rid").alias("head")), ["copy", "copy2"]).select("head", "id").distinct()
     return members, verified_pairs(candidate_pairs(heads), records, words, similarity)
 
 
