@@ -130,7 +130,22 @@ def best_subset(items: list[tuple[str, float, int]], budget: int) -> tuple[list[
 
 
 def random_graph(spark, nodes: int, edges: int, seed: int = 0) -> DataFrame:
-    """(``src``, ``dst``): ``edges`` different pairs of ``nodes``, the same for the same seed."""
-    drawn = spark.range(edges * 3).select(F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(0)), F.lit(nodes)).alias("a"), F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(1)), F.lit(nodes)).alias("b"), "id")
-    pairs = drawn.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "id").groupBy("src", "dst").agg(F.min("id").alias("id"))
-    return pairs.orderBy("id").limit(edges).select("src", "dst")
+    """(``src``, ``dst``): ``edges`` different pairs of ``nodes``, the same for the same seed.
+
+    Pairs are taken in the order of a hash: all of them where many are asked for, drawn ones (until there are enough) where few are.
+    """
+    every = nodes * (nodes - 1) // 2
+    if edges > every:
+        raise ValueError(f"{nodes} nodes have {every} pairs only")
+    order = F.xxhash64(F.lit(seed), "src", "dst")
+    if edges * 4 > every:
+        ids = spark.range(nodes)
+        pairs = ids.withColumnRenamed("id", "src").join(ids.withColumnRenamed("id", "dst"), F.col("src") < F.col("dst"))
+        return pairs.orderBy(order, "src", "dst").limit(edges)
+    draws = edges * 2
+    while True:
+        drawn = spark.range(draws).select(F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(0)), F.lit(nodes)).alias("a"), F.pmod(F.xxhash64(F.lit(seed), "id", F.lit(1)), F.lit(nodes)).alias("b"), "id")
+        pairs = drawn.where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "id").groupBy("src", "dst").agg(F.min("id").alias("id"))
+        if pairs.count() >= edges:
+            return pairs.orderBy("id").limit(edges).select("src", "dst")
+        draws *= 2

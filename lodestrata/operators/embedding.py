@@ -29,9 +29,11 @@ def random_walks(edges: DataFrame, length: int, walks: int, seed: int = 0) -> Da
     return current.select("walk", "path")
 
 
-def node2vec(edges: DataFrame, dimensions: int = 16, length: int = 8, walks: int = 4, seed: int = 0) -> DataFrame:
-    """(``node``, ``vec``) of Word2Vec over random walks."""
-    model = Word2Vec(vectorSize=dimensions, minCount=1, seed=seed, inputCol="path", windowSize=4, maxIter=1, numPartitions=1).fit(random_walks(edges, length, walks, seed))
+def node2vec(edges: DataFrame, dimensions: int = 16, length: int = 8, walks: int = 4, seed: int = 0, part: int = 1_000_000) -> DataFrame:
+    """(``node``, ``vec``) of Word2Vec over random walks, trained on a partition for each ``part`` walks."""
+    paths = cut(random_walks(edges, length, walks, seed))
+    partitions = max(1, -(-paths.count() // part))
+    model = Word2Vec(vectorSize=dimensions, minCount=1, seed=seed, inputCol="path", windowSize=4, maxIter=1, numPartitions=partitions).fit(paths)
     return model.getVectors().select(F.col("word").alias("node"), vector_to_array("vector").alias("vec"))
 
 

@@ -13,6 +13,8 @@ from lodestrata.tables import share_package
 
 #: Queries that tasks may hold, and vectors of a part where there are more.
 BROADCAST_QUERIES, TILE_VECTORS = 20_000, 100_000
+#: Words of two letters, digits or marks and more.
+TERM = r"[\p{L}\p{N}\p{M}_]{2,}"
 #: Scores computed at once.
 SCORES = 4_000_000
 
@@ -20,7 +22,7 @@ SCORES = 4_000_000
 def tfidf(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(``key``, ``term``, ``weight``): words of two letters and more, smooth idf, unit length."""
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    terms = texts.select(F.col(key).alias("k"), F.explode(F.regexp_extract_all(low, F.lit(r"(?U)\b(\w\w+)\b"), F.lit(1))).alias("term"))
+    terms = texts.select(F.col(key).alias("k"), F.explode(F.regexp_extract_all(low, F.lit(TERM), F.lit(0))).alias("term"))
     counts = terms.groupBy("k", "term").agg(F.count("*").alias("tf"))
     frequency = counts.groupBy("term").agg(F.count("*").alias("df"))
     total = texts.select(key).distinct().agg(F.count("*").alias("n"))
@@ -32,7 +34,7 @@ def tfidf(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 def lexical_scores(index: DataFrame, queries: DataFrame, key: str) -> DataFrame:
     """(``query``, ``key``, ``score``): cosine of query texts (query, text) with the rows of a tf-idf ``index``."""
-    terms = queries.select("query", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\b(\w\w+)\b"), F.lit(1))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("tf"))
+    terms = queries.select("query", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("tf"))
     hits = index.join(terms, "term").groupBy("query", key).agg(F.sum(F.col("weight") * F.col("tf")).alias("score"))
     return hits
 

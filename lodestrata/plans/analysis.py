@@ -56,7 +56,7 @@ def analysis_reweighted(spark, sf_dir):
 
 def analysis_paths(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform(V.as_double(F.col("embedding")), lambda x: x / 4).alias("v"))
-    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("start"), (F.col("vec_id") + 1).alias("goal"))
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("start"), (F.col("vec_id") + 1).alias("goal"))
     return A.greedy_paths(rows, "vec_id", "v", asked).select("start", "goal", "hop", F.round("total", 6).alias("total"))
 
 
@@ -147,7 +147,7 @@ ORACLES = {
     "analysis_value_bias": f"WITH v AS (SELECT event_type AS g, value AS x FROM events WHERE value IS NOT NULL), {_W}",
     "analysis_loglog_fit": "WITH r AS (SELECT o_orderpriority, ln(floor(o_totalprice / 20000) + 1) AS a, ln(count(*)) AS b FROM orders GROUP BY o_orderpriority, floor(o_totalprice / 20000) + 1), f AS (SELECT o_orderpriority, count(*) AS n, regr_slope(b, a) AS s, regr_syy(b, a) AS syy, regr_sxy(b, a) AS sxy FROM r GROUP BY 1) SELECT o_orderpriority, n, round(s, 6) AS slope, round(n * ln(greatest(syy - s * sxy, 0) / n + 1e-12) + 2 * ln(n), 4) AS length FROM f",
     "analysis_reweighted": "WITH w AS (SELECT c_mktsegment, count(*) / (SELECT count(*) FROM customer) AS w FROM customer GROUP BY 1), l AS (SELECT c_mktsegment, count(*) / (SELECT count(*) FROM customer WHERE c_acctbal < 0) AS l FROM customer WHERE c_acctbal < 0 GROUP BY 1), b AS (SELECT w.c_mktsegment, w, coalesce(l, 0) AS l FROM w LEFT JOIN l ON l.c_mktsegment = w.c_mktsegment), d AS (SELECT avg(abs(x.l - y.w)) AS d FROM (SELECT l, row_number() OVER (ORDER BY l) AS i FROM b) x JOIN (SELECT w, row_number() OVER (ORDER BY w) AS i FROM b) y ON x.i = y.i) SELECT c_mktsegment, CASE WHEN d > 0.001 AND l < w THEN 1.2 ELSE 1.0 END::DOUBLE AS weight FROM b, d",
-    "analysis_paths": f"WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / 4) AS v FROM embeddings), m AS (SELECT s.vec_id AS start, g.vec_id AS goal, k.vec_id AS hop, {_dist('s.v', 'k.v')} + {_dist('k.v', 'g.v')} AS total FROM v s JOIN v g ON s.vec_id % 100 = 0 AND g.vec_id = s.vec_id + 1 JOIN v k ON k.vec_id NOT IN (s.vec_id, g.vec_id)) SELECT start, goal, hop, round(total, 6) AS total FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY total, hop) AS n FROM m) WHERE n = 1",
+    "analysis_paths": f"WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x / 4) AS v FROM embeddings), m AS (SELECT s.vec_id AS start, g.vec_id AS goal, k.vec_id AS hop, {_dist('s.v', 'k.v')} + {_dist('k.v', 'g.v')} AS total FROM v s JOIN v g ON s.vec_id % 50 = 0 AND g.vec_id = s.vec_id + 1 JOIN v k ON k.vec_id NOT IN (s.vec_id, g.vec_id)) SELECT start, goal, hop, round(total, 6) AS total FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY total, hop) AS n FROM m) WHERE n = 1",
     "analysis_quotient": "WITH k AS (SELECT id, arg_min(lower(type), pos) AS t FROM nodes GROUP BY id) SELECT DISTINCT least(a.t, b.t) AS u, greatest(a.t, b.t) AS v FROM edges JOIN k a ON a.id = src JOIN k b ON b.id = dst WHERE a.t <> b.t",
     "analysis_multiplex": f"SELECT i, j, round(sum(v), 6) AS v FROM ({_layer('has_chunk', 0.25)} UNION ALL {_layer('next_chunk', 0.5)} UNION ALL {_layer('similar_to', 0.25)}) GROUP BY 1, 2",
     "analysis_regressions": "WITH h AS (SELECT event_type, avg(value) FILTER (event_id > m) AS now, avg(value) FILTER (event_id <= m) AS before FROM events, (SELECT floor(max(event_id) / 2) AS m FROM events WHERE value IS NOT NULL) WHERE value IS NOT NULL GROUP BY 1) SELECT event_type, CASE WHEN now > before * 1.05 THEN 'worse' WHEN now < before * 0.95 THEN 'better' ELSE 'same' END AS status FROM h",

@@ -8,6 +8,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -30,11 +31,13 @@ def local_session(cpus: int = 8, app: str = "lodestrata", **conf: str) -> SparkS
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder in ``spark.checkpoint.dir``; a folder of our own only where none is set (local runs)."""
+    """Use the folder in ``spark.checkpoint.dir``; a folder of our own only in local sessions where none is set, as a node's folder is lost with it."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     configured = context.getConf().get("spark.checkpoint.dir", "")
+    if not configured and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "lodestrata-checkpoints"))
 
 

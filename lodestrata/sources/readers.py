@@ -112,19 +112,25 @@ def register_parser(kind: str, extensions: tuple[str, ...], parse: Callable[[byt
 
 
 def read_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    """(``path``, ``checksum``, ``parser``, ``text``) of the files below ``path``; ``text`` is null where no parser is registered or it fails."""
+    """(``path``, ``checksum``, ``parser``, ``text``, ``error``) of the files below ``path``.
+
+    ``text`` is null where no parser is registered or it fails; ``error`` says how it failed.
+    """
     share_package(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     parsers = dict(PARSERS)
 
     def run(batches):
         for batch in batches:
-            texts = []
+            texts, errors = [], []
             for kind, content in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                text = error = None
                 try:
-                    texts.append(parsers[kind](content) if kind in parsers else None)
-                except Exception:  # noqa: BLE001  a broken file is a row without text
-                    texts.append(None)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string())], names=["path", "checksum", "parser", "text"])
-
-    return files.select("path", F.md5("content").alias("checksum"), parser_of(F.col("path")).alias("parser"), "content").mapInArrow(run, "path string, checksum string, parser string, text string")
+                    text = parsers[kind](content) if kind in parsers else None
+                except Exception as wrong:  # noqa: BLE001  a broken file is a row that says so
+                    error = f"{type(wrong).__name__}: {wrong}"
+                texts.append(text)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["path", "checksum", "parser", "text", "error"])
+
+    return files.select("path", F.md5("content").alias("checksum"), parser_of(F.col("path")).alias("parser"), "content").mapInArrow(run, "path string, checksum string, parser string, text string, error string")

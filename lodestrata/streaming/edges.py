@@ -42,28 +42,26 @@ def windowed_edges(events: DataFrame, width: str = "30 seconds", ts: str = "ts")
 def route_stream(stream: DataFrame, hot: str, late: str, checkpoint: str, lateness: str = LATENESS) -> StreamingQuery:
     """Writes a stream (arrival, src, dst, ts) to ``hot`` and late events to ``late`` as parquet.
 
-    The watermark advances by event within a batch, as in the batch form; across batches it goes on from the greatest time in
-    what was written, so a restart needs no state of its own.  Batches are written under their id: a batch that is run again replaces itself.
+    The watermark advances by event within a batch, as in the batch form.  Across batches it goes on from the greatest time of
+    earlier ones, which stands in one small file a batch under ``checkpoint``, so no batch reads what was written before.
+    Batches are written under their id: a batch that is run again replaces itself, and looks at earlier ids only.
     """
+    log = os.path.join(checkpoint, "greatest")
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-
-        def greatest(path: str):
-            try:
-                return spark.read.parquet(path).where(F.col("batch") != number).agg(F.max("ts")).first()[0]
-            except Exception:  # noqa: BLE001  nothing written yet
-                return None
-
-        before = max((t for t in (greatest(hot), greatest(late)) if t is not None), default=None)
+        path = spark._jvm.org.apache.hadoop.fs.Path(log)
+        written = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        before = spark.read.schema("ts timestamp, batch bigint").parquet(log).where(F.col("batch") < number).agg(F.max("ts")).first()[0] if written else None
         seen = running_maximum(batch, "arrival", "ts")
         top = F.greatest("seen", F.lit(before).cast("timestamp")) if before is not None else F.col("seen")
         marked = seen.withColumn("late", F.coalesce(F.col("ts") < top - F.expr(f"INTERVAL {lateness}"), F.lit(True))).drop("seen").persist()
-        for path, rows in ((hot, marked.where(~F.col("late"))), (late, marked.where("late"))):
-            rows.drop("late").write.mode("overwrite").parquet(os.path.join(path, f"batch={number}"))
+        for root, rows in ((hot, marked.where(~F.col("late"))), (late, marked.where("late"))):
+            rows.drop("late").write.mode("overwrite").parquet(os.path.join(root, f"batch={number}"))
+        marked.agg(F.max("ts").alias("ts")).write.mode("overwrite").parquet(os.path.join(log, f"batch={number}"))
         marked.unpersist()
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", os.path.join(checkpoint, "stream")).trigger(availableNow=True).start()
 
 
 def deduplicated_stream(stream: DataFrame, lateness: str = LATENESS) -> DataFrame:
