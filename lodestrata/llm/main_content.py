@@ -1,19 +1,18 @@
 """Problem 7: the main body of web pages, line by line.
 
-The text of a page is a flat list of lines; each line is a node of the page's tree, with
-its characters, its tags (itself, and each item between separators or after a bullet),
-and the characters and tags that are links: short items without a sentence, and lines
-that the pages of the same site repeat.  Every node has a composite text density, its
-characters for each tag adjusted by its links; the stretch of nodes with the greatest sum of densities over
-the density of the whole page (the threshold of the body's path) is the core of the article.
-
-Before the core stands the title, unless the line there is furniture; lines before it are furniture.  After it the article
-goes on until the first line that is furniture; within it, only lines that are furniture themselves are taken out.
-A line is furniture if ``SITE_SHARE`` of the site's pages (and ``SITE_PAGES`` of them) have it, numbers aside, or
-if it is worded as menus, notices, counters and the like are.  Garbled pages are restored before they are judged.
-
-Line numbers count from 0 over the text split at newlines; blank lines are never furniture.  Null and
-empty texts have no lines.  Repeated rows give one result.
+The text of a page has no markup, so its tree is read off its lines: the body holds blocks, a block is a stretch of lines between
+walls, and lines are the leaves.  Walls are what pages show again and again, trails (``News > Maps > A title``) and
+menus in one line.  What is shown again is learned from the collection: lines, numbers aside, that ``SITE_SHARE`` of a site's
+pages have (and ``SITE_PAGES`` of them), or that several sites show on several pages each.
+
+Every node has a composite text density: its characters for each tag (a line, each item between separators, a bullet), adjusted
+by the characters and tags that are links: short lines and items without a sentence.  The densities of a block's
+lines are summed; the block with the greatest sum is the core of the article, and the least density on the path from it to
+the body is the threshold: blocks that reach it, or hold a line that does, are the article.  The title is the last line
+before it that the trail names, or the line right before it.  All other lines are furniture.
+
+Garbled pages are restored before they are judged.  Line numbers count from 0 over the text split at newlines; blank lines
+are never furniture.  Null and empty texts have no lines.  Repeated rows give one result.
 """
 
 from __future__ import annotations
@@ -23,7 +22,6 @@ import re
 import unicodedata
 from functools import cache
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -31,32 +29,26 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.common import map_batches
 from lodestrata.llm.mojibake import make_restorer, make_suspect
+from lodestrata.session import cut
 from lodestrata.tables import table
 
 SITE_SHARE, SITE_PAGES = 0.15, 4
-#: Characters from which a line is text whatever its site repeats.
+#: Sites that show a line, and on how many pages each in the mean, for it to be furniture everywhere.
+SITES, PAGES_A_SITE = 3, 3
+#: Characters from which a line is text whatever pages repeat.
 LONG_LINE = 160
+#: Characters below which a line without a sentence is a link, and the same for each of its items.
+SHORT_LINE, SHORT_ITEM = 80, 60
 #: Repeated lines of all sites that may be broadcast (8 bytes each); more are joined by site, salted.
 BROADCAST_LINES, SALTS = 500_000, 32
 
-# How furniture is worded in the languages of the corpus, without accents.
-_WORDING = {
-    "notice": r"\bcookies\b.*\b(?:use|help|remember|measure|utilis\w*|usamos|verwend\w*|nutz\w*|accept\w*)\b|\b(?:use|uses|utilis\w*|usamos|verwende\w*)\b.{0,20}\bcookies?|stores small files|depose des traceurs|speichert daten|guarda datos|by browsing on|en poursuivant|al continuar|durch weiteres|"
-    r"^(?:ok|accept(?: all)?|reject(?: all)?|settings|manage (?:choices|settings)|only necessary|necessary only|got it|i agree|agree|tout (?:accepter|refuser)|parametrer|accepter|refuser|continuer sans accepter|j'ai compris|gerer (?:mes|les) choix|alle (?:akzeptieren|ablehnen)|ablehnen|akzeptieren|einstellungen|verstanden|nur notwendige|zustimmen|aceptar(?: todo)?|rechazar(?: todo)?|configurar|entendido|solo necesarias|de acuerdo|personalizar)(?:\s*\|.*)?[.]?$",
-    "skip": r"^(?:skip to|jump to|aller au|zum inhalt|direkt zum|saltar al|ir al contenido|toggle navigation|navigation|main menu|menu|men|navegacion|ouvrir le menu)\b.{0,20}$",
-    "share": r"^(?:share|print|email|copy link|tweet|follow us|partager|imprimer|envoyer|suivez|drucken|weiterleiten|teilen|folgen sie|compartir|imprimir|enviar|siganos|siguenos)\b.{0,40}$",
-    "count": r"^(?:viewed|views?:?|read)\s+[#\d]|^[#\d.,]+\s+(?:comments?|views?|likes?|shares?|commentaires?|vues?|kommentare?|aufrufe|mal gelesen|comentarios?|vistas|lecturas|reactions?)\b|^(?:lu|leido|vu)\s+[#\d]|^reading time|^temps de lecture|^lesezeit|^lesedauer|^tiempo de lectura|^last updated|^updated [#\d]|^mis a jour|^aktualisiert|^vor [#\d]+ (?:tag|stund|minut)|^actualizado|^hace [#\d]|^(?:comments?|commentaires?|kommentare?|comentarios?)\s*[:(]?\s*[#\d]*\)?$",
-    "related": r"^(?:you may also|most read|most popular|popular now|trending|related|recommended|more from|more in|more on|read (?:also|next|more)|see also|also read|latest news|a lire aussi|les plus lus|sur le meme|articles? (?:lies|similaires|recents)|voir aussi|dans la meme|lire aussi|plus d'articles|meistgelesen|auch interessant|das konnte|mehr (?:aus|zum|zu)|weitere|ahnliche|verwandte|lesen sie auch|neueste|tambien le|lo mas|mas (?:de|sobre|en)|relacionad|articulos relacionados|le puede interesar|lea tambien|otras noticias)\b.{0,40}$",
-    "promotion": r"^(?:advertisement|advertising|sponsored|ad|anzeige|werbung|publicit\w*|annonce|publicidad|anuncio|patrocinado|sponsorise)\W*$|^(?:subscribe|sign up|get updates|join our|our newsletter|support (?:our|us)|donate (?:now|today|to)|become a|abonnez|inscrivez|soutenez|recevez|faites un don|abonnieren|unterstutzen sie|melden sie|spenden|jetzt abonnieren|suscr\w*|apoye|apoyen|reciba|haga un donativo|registrese)\b.{0,60}$|^newsletter\W*$",
-    "footer": r"^\W{0,2}(?:c\W{0,2}\s*)?(?:©|\(c\)|copyright)|^©|^all rights|^tous droits|^alle rechte|^todos los derechos|^(?:terms|privacy|imprint|legal notice|contact us|cookie policy|accessibility|site ?map|back to top|to top|top|mentions? leg|mentions? l\w{0,3}gales|confidentialit|conditions|plan du site|haut de page|retour en haut|impressum|datenschutz|agb|barrierefrei|inhaltsverzeichnis|nach oben|seitenanfang|ubersicht|aviso legal|privacidad|terminos|mapa del sitio|volver arriba|arriba|accesibilidad|politica de|erklarung zur barriere|declaration d'accessib|declaracion de acces)\b.{0,60}$",
-}
-_FURNITURE = {kind: re.compile(pattern) for kind, pattern in _WORDING.items()}
 _SEPARATOR = re.compile(r"\s*[|·•»›>]\s*|\s+/\s+|\s{2,}|\s+[–—]\s+(?=\S+$)")
 _BULLET = re.compile(r"^\s*(?:[-*•·‣]|\d+[.)])\s+")
 _SENTENCE = re.compile(r"[.!?…:;][\"'”’»)]*\s*$")
-_CRUMBS = re.compile(r"\s+(?:>|»|›|/)\s+")
+_TRAIL = re.compile(r"\s+(?:>|»|›|/|\ufffd)\s+")
 _DIGITS = re.compile(r"[0-9]+")
-_LOST = re.compile("[�\u0080-\u009f]")
+_PLAIN = re.compile(r"[^\x20-\x7e]+")
+_LOST = re.compile("[\ufffd\u0080-\u009f]")
 
 
 @cache
@@ -66,55 +58,59 @@ def folded(line: str) -> str:
     return "".join(c for c in plain if not unicodedata.combining(c)).replace("ß", "ss").strip()
 
 
-def wording(line: str) -> str | None:
-    """The kind of furniture that a line is worded as."""
-    if len(line) > LONG_LINE:
-        return None
-    text = folded(_BULLET.sub("", line))
-    text = re.sub(r"^\W*(?=©)", "", text)
-    for kind, pattern in _FURNITURE.items():
-        if pattern.search(text):
-            return kind
-    # a line of several items is furniture if one of its first is, as "Print | Email"
-    items = [i for i in re.split(r"\s*[|·]\s*", text) if i]
-    if len(items) > 1 and any(_FURNITURE[k].search(i) for i in items[:3] for k in ("share", "footer", "skip")):
-        return "share"
-    return None
-
-
 def line_key(line: str) -> int:
-    """As Spark's ``xxhash64`` of the line with numbers made alike."""
-    value = xxhash.xxh64_intdigest(_DIGITS.sub("#", line.strip(" ")).encode("utf-8", "replace"), 42)
+    """As Spark's ``xxhash64`` of the line with numbers made alike and, where most of it is ASCII, other characters left out, as they may be lost."""
+    line = _DIGITS.sub("#", line.strip(" "))
+    plain = _PLAIN.sub("", line)
+    value = xxhash.xxh64_intdigest((plain if 2 * len(plain) >= len(line) else line).encode("utf-8", "replace"), 42)
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def densities(lines: list[str], furniture: list[bool]) -> tuple[np.ndarray, float]:
-    """Composite text density of each line, and of the page."""
-    c = np.array([len(s.strip()) for s in lines], dtype=float)
-    items = [[x for x in _SEPARATOR.split(_BULLET.sub("", s.strip())) if x] for s in lines]
-    tags = np.array([max(1, len(x)) + bool(_BULLET.match(s)) for x, s in zip(items, lines)], dtype=float)
-    link = np.array([f or (len(s.strip()) < 80 and not _SENTENCE.search(s)) or (len(x) > 2 and len(s) < 60 * len(x) and not _SENTENCE.search(s)) for s, x, f in zip(lines, items, furniture)])
-    lc, lt = np.where(link, c, 0), np.where(link, tags, 0)
-    total, linked, all_tags, link_tags = c.sum(), lc.sum(), tags.sum(), lt.sum()
+def _template(line):
+    numbered = F.regexp_replace(F.trim(line), "[0-9]+", "#")
+    plain = F.regexp_replace(numbered, r"[^\x20-\x7e]+", "")
+    return F.xxhash64(F.when(2 * F.length(plain) >= F.length(numbered), plain).otherwise(numbered))
+
+
+class Leaf:
+    """A line: its characters, tags, and whether it is a link."""
+
+    def __init__(self, line: str, repeated: bool):
+        text = line.strip()
+        items = [x for x in _SEPARATOR.split(_BULLET.sub("", text)) if x]
+        said = bool(_SENTENCE.search(text))
+        self.chars, self.tags = len(text), max(1, len(items)) + bool(_BULLET.match(line))
+        looks = not said and (len(text) < SHORT_LINE or (len(items) > 2 and len(text) < SHORT_ITEM * len(items)))
+        self.link = looks or repeated
+        self.trail = looks and len(text) < LONG_LINE and len(_TRAIL.split(line)) > 1
+        self.wall = repeated or self.trail or (looks and len(items) > 2)
 
-    def density(chars, tag, link_chars, link_tag):
-        if not chars:
-            return 0.0
-        base = math.log(chars / max(1.0, chars - link_chars) * link_chars + linked / max(1.0, total) * chars + math.e)
-        return chars / tag * math.log(max(1.0, chars / max(1.0, link_chars) * tag / max(1.0, link_tag))) / max(1e-9, math.log(max(base, 1.01)) + 1)
 
-    return np.array([density(*x) for x in zip(c, tags, lc, lt)]), density(total, max(1.0, all_tags), linked, link_tags)
+class Densities:
+    """Composite text density of the nodes of one page."""
 
+    def __init__(self, leaves: list[Leaf]):
+        self.all = sum(x.chars for x in leaves)
+        self.linked = sum(x.chars for x in leaves if x.link)
 
-def core(values: np.ndarray, threshold: float) -> tuple[int, int] | None:
-    """First and last index of the stretch with the greatest sum over the threshold."""
-    best, found, run, start = 0.0, None, 0.0, 0
-    for i, v in enumerate(values):
-        if run <= 0:
-            run, start = 0.0, i
-        run += v - threshold
-        if run > best:
-            best, found = run, (start, i)
+    def of(self, leaves: list[Leaf]) -> float:
+        chars, tags = sum(x.chars for x in leaves), sum(x.tags for x in leaves)
+        link_chars, link_tags = sum(x.chars for x in leaves if x.link), sum(x.tags for x in leaves if x.link)
+        if not chars:
+            return 0.0
+        base = math.log(chars / max(1, chars - link_chars) * link_chars + self.linked / max(1, self.all) * chars + math.e)
+        adjusted = math.log(max(1.0, chars / max(1, link_chars) * tags / max(1, link_tags)))
+        return chars / tags * adjusted / (math.log(max(base, 1.01)) + 1)
+
+
+def blocks(leaves: list[Leaf]) -> list[list[int]]:
+    """Stretches of lines between walls."""
+    found: list[list[int]] = []
+    for i, leaf in enumerate(leaves):
+        if not leaf.wall:
+            if not found or found[-1][-1] != i - 1:
+                found.append([])
+            found[-1].append(i)
     return found
 
 
@@ -125,58 +121,48 @@ def furniture_lines(text: str | None, repeated: frozenset[int] | set[int] = froz
     lines = [s.rstrip("\r") for s in text.split("\n")]
     at = [i for i, s in enumerate(lines) if s.strip()]
     rows = [lines[i] for i in at]
-    kinds = [wording(s) for s in rows]
-    common = [len(s) <= LONG_LINE and line_key(s) in repeated for s in rows]
-    marked = [bool(k) or c for k, c in zip(kinds, common)]
-    values, page = densities(rows, marked)
-    span = core(values, min(page, 20.0))
-    if span is None:
-        # a page without an article: what is worded as furniture, or repeated beside such lines
-        return [at[i] for i in range(len(rows)) if kinds[i] or (common[i] and any(kinds))]
-    first, last = span
-    out = [m if first <= i <= last else False for i, m in enumerate(marked)]
-    title = first - 1
-    crumbs = [folded(_CRUMBS.split(s)[-1]) for s in rows[:first] if _CRUMBS.search(s)]
-    is_crumb = lambda i: len(_CRUMBS.split(rows[i])) > 1 and len(rows[i]) < LONG_LINE
-    same = [i for i in range(first) if not is_crumb(i) and folded(rows[i]) in crumbs]
-    if same:
-        title = same[-1]
-    elif title >= 0 and (marked[title] or is_crumb(title) or len(_SEPARATOR.split(rows[title].strip())) > 2):
-        title = first
-    for i in range(min(max(title, 0), first)):
-        out[i] = True
-    for i in range(max(title, 0), first):
-        out[i] = marked[i] and i != title
-    # after the core: short lines of the article, such as the rest of a list, until furniture begins for good
-    foot = listing = False
-    for i in range(last + 1, len(rows)):
-        kind = kinds[i]
-        if kind == "related":
-            listing = True
-        if kind in ("share", "count", "footer", "notice", "skip") or listing or (common[i] and kind != "promotion"):
-            foot = True
-        out[i] = foot or marked[i]
-    return [at[i] for i, furniture in enumerate(out) if furniture]
-
-
-def _template(line):
-    return F.xxhash64(F.regexp_replace(F.trim(line), "[0-9]+", "#"))
+    leaves = [Leaf(s, len(s) <= LONG_LINE and line_key(s) in repeated) for s in rows]
+    density = Densities(leaves)
+    parts = blocks(leaves)
+    own = [density.of([leaf]) for leaf in leaves]
+    sums = [sum(own[i] for i in part) for part in parts]
+    if not parts or max(sums) <= 0:  # a page without an article
+        return [at[i] for i, leaf in enumerate(leaves) if leaf.wall]
+    core = sums.index(max(sums))
+    threshold = min(density.of(leaves), density.of([leaves[i] for i in parts[core]]))
+    article = {i for part in parts if density.of([leaves[i] for i in part]) >= threshold or any(own[i] >= threshold for i in part) for i in part}
+    first = min(article)
+    # the trail names the title; else it is the line before the article, if only furniture stands between
+    named = {folded(_TRAIL.split(s)[-1]) for s, leaf in zip(rows, leaves) if leaf.trail}
+    titles = [i for i in range(first + 1) if not leaves[i].trail and folded(rows[i]) in named]
+    if titles:
+        article.add(titles[-1])
+    else:
+        before = next((i for i in range(first - 1, -1, -1) if not leaves[i].wall or leaves[i].trail), None)
+        if before is not None and not leaves[before].wall and not leaves[first].link:
+            article.add(before)
+    return [at[i] for i in range(len(rows)) if i not in article]
 
 
 def repeated_lines(pages: DataFrame, site: str = "source", text: str = "text") -> DataFrame:
-    """(``site``, ``lines``): keys of the lines that a site's pages repeat.  A site has at most its mean lines a page over ``SITE_SHARE``."""
+    """(``site``, ``lines``): keys of the lines on a site's pages that it repeats itself, or that several sites do.
+
+    A site repeats at most its mean lines a page over ``SITE_SHARE`` of its own.
+    """
     rows = pages.select(F.col(site).alias("site"), F.col(text).alias("text")).where("length(text) > 0")
     lines = F.array_distinct(F.transform(F.filter(F.split("text", "\r?\n"), lambda s: (F.length(s) <= LONG_LINE) & (F.trim(s) != "")), _template))
     counts = rows.select("site", F.explode(lines).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n"))
     sizes = rows.groupBy("site").agg(F.count("*").alias("pages"))
-    kept = counts.where(F.col("n") >= SITE_PAGES).join(F.broadcast(sizes), "site").where(F.col("n") >= F.col("pages") * SITE_SHARE)
-    return kept.groupBy("site").agg(F.collect_set("line").alias("lines"))
+    own = counts.where(F.col("n") >= SITE_PAGES).join(sizes, "site").where(F.col("n") >= F.col("pages") * SITE_SHARE).select("site", "line")
+    spread = counts.groupBy("line").agg(F.count("*").alias("sites"), F.sum("n").alias("pages")).where((F.col("sites") >= SITES) & (F.col("pages") >= F.col("sites") * PAGES_A_SITE))
+    everywhere = counts.select("site", "line").join(spread.select("line"), "line", "left_semi").select("site", "line")
+    return own.unionByName(everywhere).groupBy("site").agg(F.collect_set("line").alias("lines"))
 
 
 def page_furniture(pages: DataFrame, key: str = "doc_id", site: str = "source", text: str = "text") -> DataFrame:
     """(``key``, ``furniture``, ``main``) of every page: numbers of its furniture lines, and its text without them."""
     rows = pages.select(F.col(key).alias("key"), F.col(site).alias("site"), F.col(text).alias("text"))
-    known = repeated_lines(pages, site, text).persist()
+    known = cut(repeated_lines(pages, site, text))
     if known.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0] <= BROADCAST_LINES:
         joined = rows.join(F.broadcast(known), "site", "left")
     else:
