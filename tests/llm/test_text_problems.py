@@ -288,8 +288,9 @@ def test_page():
 def test_furniture_is_learned_from_repetition(spark):
     """Lines that a site repeats, and lines that several sites repeat, are furniture in whatever wording; each page here has its own article."""
     rng = random.Random(4)
-    body = lambda: "\n".join(" ".join(f"w{rng.randrange(9999)}" for _ in range(18)) + "." for _ in range(4))
-    rows = [(10 * site + page, f"https://s{site}.example", f"Zork {site}\nGlorp\nStory {site}-{page} of it\n{body()}\nFnord {page}\nxyzzy things") for site in range(4) for page in range(5)]
+    body = lambda: "\n".join(" ".join("".join(rng.choice("klmnop") for _ in range(6)) for _ in range(18)) + "." for _ in range(4))
+    title = lambda: "A story of " + "".join(rng.choice("abcdefgh") for _ in range(8))
+    rows = [(10 * site + page, f"https://s{site}.example", f"Zork {site}\nGlorp\n{title()}\n{body()}\nFnord {page}\nxyzzy things") for site in range(4) for page in range(5)]
     rows += [(100, "https://lone.example", f"Glorp\nA lone story\n{body()}\nFnord 8")]
     pages = spark.createDataFrame(rows, "doc_id bigint, source string, text string")
     for r in main_content.page_furniture(pages).collect():
