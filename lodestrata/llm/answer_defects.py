@@ -4,7 +4,8 @@ An answer is cut into clauses; a linear-chain conditional random field tags each
 answer, refusal, echo (of the question), foreign (another language) or unfinished.  The
 share of the answer that each tag covers gives the defect of the pair.
 
-The field is trained where the operator is called, on a bounded sample of the pairs
+The common words of each language are those of a fixed list and those that a bounded sample of documents with a stated
+language teaches.  The field is trained where the operator is called, on a bounded sample of the pairs
 (``TRAINING_PAIRS``, the least by hash): sound-looking answers as they are, and with
 known damage: cut off, replaced by the question, taken from a pair in another
 language, replaced by a refusal.  Features count over whole answers of all rows.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -35,18 +37,20 @@ STEPS = 110
 #: Clauses of a training answer beyond which the rest is one more clause; answers are tagged clause by clause, however long.
 LONGEST = 12
 
-# Common words by language.
+#: Documents whose language is stated, the least by hash, from which the words of each language are learned;
+#: how many of them a language needs, and the share of its documents that must have a word, so many times that of the others.
+PROFILE_DOCS, LEAST_DOCS, LEAST_SHARE, LEAST_RATIO = 2_000, 30, 0.08, 4
+
+# Common words by language; the words learned come beside them.
 FUNCTION_WORDS = {
     "en": "the a an of and to in is was were are that for on with as by at from this be have has had not but they which or one you it he she his her their its what when how why who did does do than so because before after into under its been would could should will can no yes there where about only nobody per each every",
-    "fr": "le la les l un une des du de d et à au aux en dans est était fut sont que qu qui pour sur avec par pas ne n ce cette ces il elle ils son sa ses leur se s mais ou où plus comme a ont été sous sans quand comment pourquoi quel quelle afin car avait après avant chez entre personne non oui je vous nous moi que quoi cité",
-    "de": "der die das den dem des ein eine einen einem einer und in zu ist war sind wurde wurden nicht mit von für auf im am an als auch es er sie sich aus bei nach wie dass oder aber um so wenn nur noch über unter vor zum zur durch was wer wo warum wann weil denn hat hatte kam nein ja ich wir ihr ihre bis zwischen niemand laut viele viel wieviel fassen berichten erklären",
-    "es": "el la los las un una unos de del y en que es fue era son por para con no se su sus al lo como más pero o si sobre este esta entre cuando ya muy sin también hasta desde qué quién cómo por cuándo cuánto dónde porque durante había sido según nadie yo me le menciona cantidad",
+    "fr": "le la les l un une des du de d et à au aux en dans est était fut sont que qu qui pour sur avec par pas ne n ce cette ces il elle ils son sa ses leur se s mais ou où plus comme a ont été sous sans quand comment pourquoi quel quelle afin car avait après avant chez entre personne non oui je vous nous moi que quoi",
+    "de": "der die das den dem des ein eine einen einem einer und in zu ist war sind wurde wurden nicht mit von für auf im am an als auch es er sie sich aus bei nach wie dass oder aber um so wenn nur noch über unter vor zum zur durch was wer wo warum wann weil denn hat hatte kam nein ja ich wir ihr ihre bis zwischen niemand laut viele viel",
+    "es": "el la los las un una unos de del y en que es fue era son por para con no se su sus al lo como más pero o si sobre este esta entre cuando ya muy sin también hasta desde qué quién cómo por cuándo cuánto dónde porque durante había sido según nadie yo me le",
     "it": "il lo la gli le un una di del della dei e in che è era sono per con non si su da al alla come più ma o anche quando perché nel nella questo questa ho ha",
     "pt": "o a os as um uma de do da dos das e em que é foi era são por para com não se no na ao como mais mas ou também quando porque pelo pela isso este esta",
     "nl": "de het een van en in is was zijn dat die voor op met als niet aan er door naar bij om ook maar of uit over dan wat wie waar waarom omdat nog heeft had",
 }
-_LEXICON: dict[str, set[str]] = {lang: set(words.split()) for lang, words in FUNCTION_WORDS.items()}
-
 # Answers that only hold a place.
 _PLACEHOLDER = re.compile(
     r"(?:n\s*/?\s*a|none|null|nil|nan|tbd|tba|todo|undefined|empty|blank|missing|unknown|no (?:answer|response|data)|not (?:available|applicable|provided)|sans réponse|pas de réponse|keine (?:antwort|angabe)|sin respuesta|ninguna?|aucune?|leer|vacío|vide|xxx+)"
@@ -84,17 +88,36 @@ def words_of(text: str) -> list[str]:
     return [w.rstrip("'’").lower() for w in _WORD.findall(text)]
 
 
-_WEIGHT = {w: 1 / sum(w in other for other in _LEXICON.values()) for lexicon in _LEXICON.values() for w in lexicon}
+class Languages:
+    """Tells languages by their common words; words of several languages count less."""
+
+    def __init__(self, learned: dict[str, set[str]] | None = None):
+        self.lexicon = {lang: set(listed.split()) for lang, listed in FUNCTION_WORDS.items()}
+        for lang, more in (learned or {}).items():
+            self.lexicon.setdefault(lang, set()).update(more)
+        self.weight = Counter(w for lexicon in self.lexicon.values() for w in lexicon)
+        self.of = lru_cache(maxsize=50_000)(self._of)
 
+    def _of(self, text: str) -> tuple[str, float, frozenset[str]]:
+        """The language with most common words, its lead over the next, and all that tie with it."""
+        words = words_of(text)
+        counts = sorted(((sum(1 / self.weight[w] for w in words if w in lexicon), lang) for lang, lexicon in self.lexicon.items()), reverse=True)
+        if not counts[0][0]:
+            return "", 0.0, frozenset()
+        return counts[0][1], counts[0][0] - counts[1][0], frozenset(lang for n, lang in counts if n > counts[0][0] - 0.01)
 
-@lru_cache(maxsize=50_000)
-def language(text: str) -> tuple[str, float, frozenset[str]]:
-    """The language with most common words (shared words count less), its lead over the next, and all that tie with it."""
-    words = words_of(text)
-    counts = sorted(((sum(_WEIGHT[w] for w in words if w in lexicon), lang) for lang, lexicon in _LEXICON.items()), reverse=True)
-    if not counts[0][0]:
-        return "", 0.0, frozenset()
-    return counts[0][1], counts[0][0] - counts[1][0], frozenset(lang for n, lang in counts if n > counts[0][0] - 0.01)
+
+def language_profiles(texts: list[tuple[str, str]]) -> dict[str, set[str]]:
+    """Words of each language of the ``texts`` (language, text) that are common in it and rare in the others."""
+    docs: Counter = Counter()
+    words: dict[str, Counter] = {}
+    for lang, text in texts:
+        docs[lang] += 1
+        words.setdefault(lang, Counter()).update({w for w in words_of(text) if w.isalpha()})
+    known = [lang for lang in docs if docs[lang] >= LEAST_DOCS]
+    share = {lang: {w: n / docs[lang] for w, n in words[lang].items()} for lang in known}
+    others = lambda lang, w: sum(share[o].get(w, 0.0) for o in known if o != lang) / max(1, len(known) - 1)
+    return {lang: {w for w, p in share[lang].items() if p >= LEAST_SHARE and p >= LEAST_RATIO * others(lang, w)} for lang in known}
 
 
 def clauses(answer: str) -> list[str]:
@@ -119,12 +142,12 @@ def training_clauses(answer: str) -> list[str]:
 FEATURES = 34
 
 
-def features(question: str, parts: list[str], answer: str) -> np.ndarray:
+def features(question: str, parts: list[str], answer: str, tongues: Languages) -> np.ndarray:
     """One row for each clause."""
     asked = words_of(question)
     asked_set = set(asked)
-    home = language(question)[2]
-    whole, whole_lead, _ = language(answer)
+    home = tongues.of(question)[2]
+    whole, whole_lead, _ = tongues.of(answer)
     rows = np.zeros((len(parts), FEATURES), dtype=np.float32)
     for i, part in enumerate(parts):
         last = i == len(parts) - 1
@@ -136,7 +159,7 @@ def features(question: str, parts: list[str], answer: str) -> np.ndarray:
         new = n - sum(near) if words else 0
         full = sum(len(w) > 1 for w in words)  # without elided articles
         cover = len(asked_set & set(words)) / max(1, len(asked_set))
-        tongue, tongue_lead, _ = language(part)
+        tongue, tongue_lead, _ = tongues.of(part)
         differs = bool(home and tongue and tongue not in home and tongue_lead >= 0.5)
         plain_end = bool(_END.search(part)) and not _ELLIPSIS.search(part) and not _MARKER.fullmatch(part)
         lower = sum(w[:1].islower() for w in _WORD.findall(part))
@@ -151,7 +174,7 @@ def features(question: str, parts: list[str], answer: str) -> np.ndarray:
             decline and first, decline and first and service, apology and (service or first), apology, service and first and not specific, first, decline,
             min(specific, 4) / 4, bool(home and tongue in home), differs, differs and tongue_lead >= 1.5, not tongue,
             bool(home and whole and whole not in home and whole_lead >= 1.5), last, last and not plain_end,
-            last and not plain_end and lower >= 3 and full >= 6, last and bool(_ELLIPSIS.search(part)) and n >= 2, last and not plain_end and final.lower() in (_LEXICON.get(tongue) or ()),
+            last and not plain_end and lower >= 3 and full >= 6, last and bool(_ELLIPSIS.search(part)) and n >= 2, last and not plain_end and final.lower() in (tongues.lexicon.get(tongue) or ()),
             last and part.rstrip()[-1:] in ",-–—:;(", last and not plain_end and final[:1].islower() and full >= 5, last and not plain_end and len(parts) > 1,
             part.rstrip().endswith("?"), i == 0, n <= 4, n >= 12, overlap >= 0.8 and cover >= 0.8, part.count("(") > part.count(")") or part.count("“") > part.count("”"), last and not plain_end and lower <= 2,
         )
@@ -215,24 +238,24 @@ class ChainField:
         return tags[::-1]
 
 
-def training_set(pairs: list[tuple[str, str]], seed: int = 5) -> tuple[list[np.ndarray], list[list[int]]]:
+def training_set(pairs: list[tuple[str, str]], tongues: Languages, seed: int = 5) -> tuple[list[np.ndarray], list[list[int]]]:
     rng = random.Random(seed)
     pairs = [(q, a) for q, a in pairs if q and a and not is_empty(a)]
     by_language: dict[str, list[str]] = {}
     for q, a in pairs:
-        tongue, lead, _ = language(a)
+        tongue, lead, _ = tongues.of(a)
         if lead >= 2:
             by_language.setdefault(tongue, []).append(a)
     rows, tags = [], []
 
     def add(question: str, parts: list[str], labels: list[int]) -> None:
         if parts:
-            rows.append(features(question, parts, " ".join(parts)))
+            rows.append(features(question, parts, " ".join(parts), tongues))
             tags.append(labels)
 
     for q, a in pairs:
         parts = training_clauses(a)
-        whole = features(q, parts, a)
+        whole = features(q, parts, a, tongues)
         odd = whole[:, [2, 6, 8, 16, 21, 22]].any()  # the sample has its own defects; what looks sound teaches the sound
         if not odd:
             add(q, parts, [ANSWER] * len(parts))
@@ -249,7 +272,7 @@ def training_set(pairs: list[tuple[str, str]], seed: int = 5) -> tuple[list[np.n
         echo = [q, q.upper(), q.lower(), q.rstrip("?. "), " ".join(q.split()[rng.randrange(1, 3) :]), "A: " + q][form]
         parts = training_clauses(echo)
         add(q, parts, [ECHO] * len(parts))
-        home = language(q)[2]
+        home = tongues.of(q)[2]
         others = [t for t in by_language if t not in home]
         if home and others:
             parts = training_clauses(rng.choice(by_language[rng.choice(others)]))
@@ -267,12 +290,12 @@ def is_empty(answer: str | None) -> bool:
     return bool(_PLACEHOLDER.fullmatch(answer.strip().strip("[](){}<>\"'“”.-–—!?* ").lower()))
 
 
-def defect_of(field: ChainField, question: str | None, answer: str | None) -> tuple[str | None, list[tuple[str, str]]]:
+def defect_of(field: ChainField, tongues: Languages, question: str | None, answer: str | None) -> tuple[str | None, list[tuple[str, str]]]:
     """The defect, if any, and the tagged clauses."""
     if is_empty(answer):
         return "empty", []
     parts = clauses(answer)
-    rows = features(question or "", parts, answer)
+    rows = features(question or "", parts, answer, tongues)
     tags = field.tag(rows)
     sizes = np.array([len(p.strip()) for p in parts], dtype=float)
     share = np.array([sizes[[t == k for t in tags]].sum() for k in range(len(TAGS))]) / max(1.0, sizes.sum())
@@ -288,21 +311,30 @@ def defect_of(field: ChainField, question: str | None, answer: str | None) -> tu
     return None, tagged
 
 
-def answer_defects(pairs: DataFrame, key: str = "pos", question: str = "question", answer: str = "answer") -> DataFrame:
-    """(``key``, ``defect``, ``tags``) of every pair; ``defect`` is null for sound ones, ``tags`` are those of the clauses in order."""
+def answer_defects(pairs: DataFrame, docs: DataFrame | None = None, key: str = "pos", question: str = "question", answer: str = "answer") -> DataFrame:
+    """(``key``, ``defect``, ``tags``) of every pair; ``defect`` is null for sound ones, ``tags`` are those of the clauses in order.
+
+    ``docs`` (doc_id, lang, text) teach the words of languages; without them the fixed list stands alone.
+    """
+    learned = {}
+    if docs is not None:
+        lang = F.lower(F.substring("lang", 1, 2))
+        stated = docs.select("doc_id", lang.alias("lang"), "text").where(F.rlike("lang", F.lit("^[a-z]{2}$")) & (F.col("lang") != "un") & (F.length("text") > 200))
+        learned = language_profiles([(r.lang, r.text) for r in bounded_sample(stated, PROFILE_DOCS, "doc_id")])
+    tongues = Languages(learned)
     own = pairs.select(F.col(key).alias("key"), F.col(question).alias("question"), F.col(answer).alias("answer"))
     sample = bounded_sample(own.where("answer IS NOT NULL AND question IS NOT NULL"), TRAINING_PAIRS, "key")
-    rows, tags = training_set(sorted({(r.question, r.answer) for r in sample}))
+    rows, tags = training_set(sorted({(r.question, r.answer) for r in sample}), tongues)
     if not rows:
-        rows, tags = training_set([("What is known?", "The list of the year was found in the annex.")])
+        rows, tags = training_set([("What is known?", "The list of the year was found in the annex.")], tongues)
     fitted = ChainField.fit(rows, tags)
     weights = (fitted.weights, fitted.moves, fitted.start)
 
     def make():
-        field = ChainField(*weights)
+        field, tongues = ChainField(*weights), Languages(learned)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            judged = [defect_of(field, q, a) for q, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            judged = [defect_of(field, tongues, q, a) for q, a in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             return pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([d for d, _ in judged], pa.string()), pa.array([[t for _, t in x] for _, x in judged], pa.list_(pa.string()))], names=["key", "defect", "tags"]
             )
@@ -314,12 +346,12 @@ def answer_defects(pairs: DataFrame, key: str = "pos", question: str = "question
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answer_defects(table(spark, sf_dir, "qa")).where("defect IS NOT NULL").select("pos", "defect").distinct()
+    return answer_defects(table(spark, sf_dir, "qa"), table(spark, sf_dir, "documents")).where("defect IS NOT NULL").select("pos", "defect").distinct()
 
 
 def p3_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair with its defect, if any, and the tags of its clauses in order."""
-    return answer_defects(table(spark, sf_dir, "qa")).select("pos", "defect", F.array_join("tags", " ").alias("tags"))
+    return answer_defects(table(spark, sf_dir, "qa"), table(spark, sf_dir, "documents")).select("pos", "defect", F.array_join("tags", " ").alias("tags"))
 
 
 QUERIES = {"p3_found": p3_found, "p3_tagged": p3_tagged}

@@ -217,23 +217,26 @@ def test_split_rows(spark):
 # ---- answers
 
 
+TONGUES = answer_defects.Languages()
+
+
 @pytest.fixture(scope="module")
 def field(small):
     table = pq.read_table(f"{small}/qa.parquet", columns=["question", "answer"])
     pairs = sorted({(q, a) for q, a in zip(*(c.to_pylist() for c in table.columns)) if q and a})
-    return pairs, answer_defects.ChainField.fit(*answer_defects.training_set(pairs))
+    return pairs, answer_defects.ChainField.fit(*answer_defects.training_set(pairs, TONGUES))
 
 
 def test_held_out_defects(field):
     pairs, model = field
-    sound = [(q, a) for q, a in pairs if answer_defects.defect_of(model, q, a)[0] is None and len(a.split()) > 10]
+    sound = [(q, a) for q, a in pairs if answer_defects.defect_of(model, TONGUES, q, a)[0] is None and len(a.split()) > 10]
     rng = random.Random(2)
     right = total = 0
     for q, a in sound:
         cases = [(q, "truncated", " ".join(a.split()[: rng.randrange(7, len(a.split()) - 1)]).rstrip(".,;!?")), (q, "copy", q), (q, "refusal", rng.choice(answer_defects.REFUSALS)), (q, "empty", rng.choice(["", " ", "N/A", "null", "-", None])), (q, None, q + " " + a)]
         for question, defect, answer in cases:
             total += 1
-            right += answer_defects.defect_of(model, question, answer)[0] == defect
+            right += answer_defects.defect_of(model, TONGUES, question, answer)[0] == defect
     assert total > 50 and right / total >= 0.93
 
 
@@ -245,18 +248,18 @@ def test_fresh_wordings(field):
         ("What is it?", "I am sorry, but I cannot answer that.", "refusal"), ("Qui a signé le plan ?", "Je suis désolé, mais je ne peux pas répondre à cette question.", "refusal"), ("¿Quién firmó?", "Lo siento, no puedo ayudar con eso.", "refusal"),
         ("Who signed the plan of the northern gate?", "WHO SIGNED THE PLAN OF THE NORTHERN GATE?", "copy"), (None, "[no answer]", "empty"),
     ]:
-        assert answer_defects.defect_of(model, q, a)[0] == defect, (q, a)
+        assert answer_defects.defect_of(model, TONGUES, q, a)[0] == defect, (q, a)
 
 
 def test_defect_in_the_tail_of_a_long_answer(field):
     model = field[1]
     sound = [f"The clerk of the mill noted {n} sheets in the ledger before noon." for n in range(2, 42)]
-    defect, tagged = answer_defects.defect_of(model, "What did the clerk do?", " ".join(sound))
+    defect, tagged = answer_defects.defect_of(model, TONGUES, "What did the clerk do?", " ".join(sound))
     assert defect is None and [t for _, t in tagged] == ["answer"] * 40
     foreign = [f"Der Müller hat {n} Blätter in der Kammer gefunden und nicht gelesen." for n in range(2, 29)]
-    defect, tagged = answer_defects.defect_of(model, "What did the clerk do?", " ".join(sound[:13] + foreign))
+    defect, tagged = answer_defects.defect_of(model, TONGUES, "What did the clerk do?", " ".join(sound[:13] + foreign))
     assert defect == "language" and [t for _, t in tagged] == ["answer"] * 13 + ["foreign"] * 27
-    tags = [t for _, t in answer_defects.defect_of(model, "What did the clerk do?", " ".join(sound[:30] + foreign[:10]))[1]]
+    tags = [t for _, t in answer_defects.defect_of(model, TONGUES, "What did the clerk do?", " ".join(sound[:30] + foreign[:10]))[1]]
     assert tags == ["answer"] * 30 + ["foreign"] * 10
 
 
@@ -268,6 +271,16 @@ def test_defects_of_odd_rows(spark, small):
     assert answer_defects.answer_defects(pairs.limit(0)).count() == 0
 
 
+def test_profiles_teach_a_language():
+    rng = random.Random(3)
+    words = {"xa": ["qolo", "vintu", "baraz"], "xb": ["tumi", "sarok", "peldu"]}
+    texts = [(lang, " ".join(rng.choice(words[lang]) if rng.random() < 0.6 else f"n{'abcdefgh'[rng.randrange(8)]}{'klmnop'[rng.randrange(6)]}" for _ in range(40))) for lang in words for _ in range(60)]
+    found = answer_defects.language_profiles([*texts, ("xc", "one alone")])
+    assert {lang: set(w) <= found[lang] for lang, w in words.items()} == {"xa": True, "xb": True} and "xc" not in found
+    tongues = answer_defects.Languages(found)
+    assert tongues.of("baraz qolo vintu nak")[0] == "xa" and tongues.of("tumi nak sarok")[0] == "xb" and tongues.of("")[0] == ""
+
+
 # ---- pages
 
 PAGE = "Menu\nHome | News | Help\nHome > News > A find at Lofield\nA find at Lofield\n" + "\n".join(
