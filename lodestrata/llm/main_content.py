@@ -151,7 +151,7 @@ def repeated_lines(pages: DataFrame, site: str = "source", text: str = "text") -
     """
     rows = pages.select(F.col(site).alias("site"), F.col(text).alias("text")).where("length(text) > 0")
     lines = F.array_distinct(F.transform(F.filter(F.split("text", "\r?\n"), lambda s: (F.length(s) <= LONG_LINE) & (F.trim(s) != "")), _template))
-    counts = rows.select("site", F.explode(lines).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n"))
+    counts = cut(rows.select("site", F.explode(lines).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n")))
     sizes = rows.groupBy("site").agg(F.count("*").alias("pages"))
     own = counts.where(F.col("n") >= SITE_PAGES).join(sizes, "site").where(F.col("n") >= F.col("pages") * SITE_SHARE).select("site", "line")
     spread = counts.groupBy("line").agg(F.count("*").alias("sites"), F.sum("n").alias("pages")).where((F.col("sites") >= SITES) & (F.col("pages") >= F.col("sites") * PAGES_A_SITE))

@@ -5,8 +5,9 @@ width, repetition, what the lines around do) as body, running header or page num
 Body lines are joined: a character editor, an averaged perceptron too, decides for each line end between
 join, join without the hyphen, and paragraph; and for each doubtful word between keeping it and editing its
 characters by replace, delete and insert operations.  A word is doubtful if sound texts don't have it; the edits weighed are
-those that lead to a word which texts do have, so the counts of words over all documents decide with
-the perceptron's features of the operations.
+those that lead to a word which texts do have: one or two places of usual confusions, any number of them (words with the same
+skeleton), or one letter put in, left out or replaced whatever it is (a symmetric-delete index).  The operations of each are
+found by aligning the two words, and the perceptron weighs them with the counts of words over all documents.
 
 Both perceptrons are trained here, on a bounded sample of sound documents (``TRAINING_DOCS``, the least by hash) to
 which the traces are added.  A document counts as scanned if its source says so; where there is no source, if the payload
@@ -29,17 +30,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import bounded_sample, map_batches
+from lodestrata.session import cut
 from lodestrata.tables import table
 
 TRAINING_DOCS = 300
-#: Words that sound texts have, most common first, that tasks hold to pass most words by; the others are looked up by join.
+#: Words that sound texts have, most common first, that tasks hold to pass most words by; the others are looked up by join, with the same result.
 HELD_WORDS = 200_000
 #: Sound documents that must have a word before it passes unlooked.
 HELD_DOCS = 3
 FLUSH = 200_000
 FEWEST_LETTERS = 4
-#: Longer runs of letters are no words, so there is nothing to look up.
-LONGEST_WORD = 40
+#: Letters from which a word is compared by its skeleton and by any one edit; shorter ones are like too many others.
+LONG_WORD = 7
+#: Words, compounds and damaged words that the editor is trained on, of those in the sample.
+TRAINING_WORDS, TRAINING_COMPOUNDS, TRAINING_DAMAGE = 6_000, 2_000, 5_000
 MOSTLY_SCANNED = 3
 
 BODY, HEADER, PAGE_NUMBER = "body", "header", "page_number"
@@ -206,9 +210,10 @@ def judge_lines(model: Perceptron, text: str) -> list[str]:
 # ---------------------------------------------------------------- line ends and characters
 
 
-def break_features(left: str, mark: str, right: str, joined: bool, parts: bool, compound: bool) -> list:
-    """Of a word divided at a line end."""
-    return ["bias", f"mark{mark}", f"joined{joined}", f"parts{parts}", f"compound{compound}", f"lower{right[:1].islower()}", f"jp{joined}{parts}", f"ml{mark}{right[:1].islower()}", f"short{min(len(left), len(right)) < 3}", f"digit{left[-1:].isdigit() or right[:1].isdigit()}"]
+def break_features(left: str, mark: str, right: str) -> list:
+    """Of a word divided at a line end; by what stands there, so that it is the same whatever words the collection has."""
+    low = right[:1].islower()
+    return ["bias", f"mark{mark}", f"lower{low}", f"ml{mark}{low}", f"short{min(len(left), len(right)) < 3}", f"digit{left[-1:].isdigit() or right[:1].isdigit()}", f"caps{left.isupper() and right.isupper()}", f"both{left[:1].isupper()}{right[:1].isupper()}"]
 
 
 BREAKS = ("divided", "compound")
@@ -225,7 +230,8 @@ def edit_features(word: str, fixed: str | None, ops: tuple[str, ...], sound: int
     if fixed is None:
         return ["keep", f"k_sound{_bucket(sound)}", f"k_inner{inner}", f"k_size{size}", f"k_none{sound == 0}{inner}"]
     ratio = _bucket((sound_fixed + scanned_fixed) // max(1, sound + scanned))
-    return ["edit", *(f"op{o}" for o in ops), f"n{len(ops)}", f"e_sound{_bucket(sound_fixed)}", f"e_ratio{ratio}", f"e_inner{inner}", f"e_size{size}", f"e_none{sound == 0}{ratio > 3}", f"e_in_r{inner}{ratio > 1}"]
+    other = sum(o in ("replace", "delete", "insert") for o in ops)
+    return ["edit", f"other{other}", f"other{other}r{ratio}", f"other{other}size{size}sound{sound + scanned > 1}", *(f"op{o}" for o in ops), f"n{len(ops)}", f"e_sound{_bucket(sound_fixed)}", f"e_ratio{ratio}", f"e_inner{inner}", f"e_size{size}", f"e_none{sound == 0}{ratio > 3}", f"e_in_r{inner}{ratio > 1}"]
 
 
 _BY_WRONG: dict[str, list[str]] = defaultdict(list)
@@ -236,8 +242,6 @@ for _right, _wrong in CONFUSIONS:
 def edits(word: str, most: int = 3) -> dict[str, tuple[str, ...]]:
     """What ``word`` may have been, and the operations that lead there: one or two places edited, and up to ``most`` where characters are strange to words."""
     steps = []
-    if len(word) > LONGEST_WORD:
-        return {}
     for i in range(len(word)):
         for size in (1, 2):
             part = word[i : i + size]
@@ -272,6 +276,72 @@ def edits(word: str, most: int = 3) -> dict[str, tuple[str, ...]]:
     return found
 
 
+def _classes() -> tuple[re.Pattern, dict[str, str], dict[int, str]]:
+    """Groups of letters that are read as one, what they are read as, and for each single sign the least of those it is confused with."""
+    groups = {wrong: right for right, wrong in CONFUSIONS if len(wrong) > len(right) == 1}
+    least: dict[str, str] = {}
+
+    def root(c: str) -> str:
+        while least.get(c, c) != c:
+            c = least[c]
+        return c
+
+    for right, wrong in CONFUSIONS:
+        if len(right) == len(wrong) == 1:
+            a, b = sorted((root(right.lower()), root(wrong.lower())))
+            least[b] = a
+    return re.compile("|".join(map(re.escape, groups))), groups, {ord(c): root(c) for c in least}
+
+
+_GROUPS, _GROUP_OF, _LEAST = _classes()
+
+
+def skeleton(word: str) -> str:
+    """What is left of a word when all that scanning confuses is the same; a doubled sign is one."""
+    plain = _GROUPS.sub(lambda m: _GROUP_OF[m[0]], word.lower()).translate(_LEAST)
+    return re.sub(r"(.)\1+", r"\1", plain)
+
+
+def shortened(word: str) -> set[str]:
+    """A word and what is left when one letter is left out; two words one edit apart share one of these."""
+    return {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))}
+
+
+def operations(word: str, fixed: str) -> tuple[str, ...] | None:
+    """The cheapest edits that make ``fixed`` of ``word``: usual confusions by name, others by kind; None beyond one edit of another kind.
+
+    Cases count as equal.
+    """
+    low, goal = word.lower(), fixed.lower()
+    n, m = len(low), len(goal)
+    best: list[list[tuple[float, tuple[str, ...]] | None]] = [[None] * (m + 1) for _ in range(n + 1)]
+    best[0][0] = (0.0, ())
+
+    def reach(i, j, cost, ops):
+        if best[i][j] is None or best[i][j][0] > cost:
+            best[i][j] = (cost, ops)
+
+    for i in range(n + 1):
+        for j in range(max(0, i - 6), min(m, i + 6) + 1):
+            if best[i][j] is None:
+                continue
+            cost, ops = best[i][j]
+            if i < n and j < m and low[i] == goal[j]:
+                reach(i + 1, j + 1, cost, ops)
+            for size in (1, 2, 3):
+                for right in _BY_WRONG.get(word[i : i + size], ()) if i + size <= n else ():
+                    if goal.startswith(right.lower(), j):
+                        reach(i + size, j + len(right), cost + 1, (*ops, f"{word[i : i + size]}>{right}"))
+            if cost < 100:
+                if i < n and j < m:
+                    reach(i + 1, j + 1, cost + 100, (*ops, "replace"))
+                if i < n:
+                    reach(i + 1, j, cost + 100, (*ops, "delete"))
+                if j < m:
+                    reach(i, j + 1, cost + 100, (*ops, "insert"))
+    return best[n][m][1] if best[n][m] else None
+
+
 def words_to_judge(text: str, held: frozenset[str] = frozenset()) -> set[str]:
     """Words with letters that aren't ``held``, as they stand; marks of punctuation at their ends are not part of them."""
     out = set()
@@ -286,7 +356,7 @@ def words_to_judge(text: str, held: frozenset[str] = frozenset()) -> set[str]:
     return out
 
 
-def joined_text(text: str, kinds: list[str], models: tuple[Perceptron, ...], held: set[str] | frozenset[str]) -> tuple[str, int]:
+def joined_text(text: str, kinds: list[str], models: tuple[Perceptron, ...]) -> tuple[str, int]:
     """The body in paragraphs, and how many divided words were joined."""
     break_model = models[1]
     out: list[str] = []
@@ -309,9 +379,7 @@ def joined_text(text: str, kinds: list[str], models: tuple[Perceptron, ...], hel
             m = re.search(rf"([\w@!|]+)([{_BREAK}])$", last)
             r = re.match(r"[\w@!|]+", s)
             if m and r:
-                left, right = m[1], r[0]
-                low = (left + right).lower()
-                f = break_features(left, m[2], right, low in held, left.lower() in held and right.lower() in held, f"{left}-{right}".lower() in held)
+                f = break_features(m[1], m[2], r[0])
                 if break_model.best(f, BREAKS) == "divided":
                     divided += 1
                     out[-1] = last[:-1] + s
@@ -337,6 +405,12 @@ def _spoil_word(word: str, rng: random.Random) -> tuple[str, bool]:
     return word[:i] + wrong + word[i + len(right) :], True
 
 
+def _any_edit(word: str, rng: random.Random) -> tuple[str, bool]:
+    """A letter put in, left out or replaced by any other."""
+    i, letter = rng.randrange(1, len(word)), rng.choice("abcdefghijklmnopqrstuvwxyz")
+    return rng.choice((word[:i] + letter + word[i:], word[:i] + word[i + 1 :], word[:i] + letter + word[i + 1 :])), True
+
+
 def _wrap(paragraph: str, width: int) -> list[str]:
     lines, line = [], ""
     for word in paragraph.split():
@@ -421,28 +495,37 @@ def train(texts: list[str], seed: int = 11) -> tuple[Perceptron, Perceptron, Per
     lines = page_examples(texts, rng) or [([(k, ["bias"]) for k in LINE_KINDS], 0)]
     counts = Counter(w for t in texts for w in {x.lower() for x in words_to_judge(t)})
     compounds = Counter(c.lower() for t in texts for c in set(re.findall(r"[^\W\d_]+-[^\W\d_]+", t)))
-    known = {w for w, n in counts.items() if n > 1}
     ends, words = [], []
     pool = [w for w in counts if len(w) > 4 and w.isalpha()]
-    for w in pool[:6_000]:
+    for w in pool[:TRAINING_WORDS]:
         i = rng.randrange(2, len(w) - 1)
         mark = rng.choice(("-", "-", "¬", "­"))
-        f = break_features(w[:i], mark, w[i:], w in known, w[:i] in known and w[i:] in known, False)
+        f = break_features(w[:i], mark, w[i:])
         ends.append(([(b, f) for b in BREAKS], 0))
-    for c in list(compounds)[:2_000]:
+    for c in list(compounds)[:TRAINING_COMPOUNDS]:
         a, b = c.split("-", 1)
-        f = break_features(a, "-", b, a + b in known, a in known and b in known, compounds[c] > 1)
+        f = break_features(a, "-", b)
         ends.append(([(x, f) for x in BREAKS], 1))
     scale = 30  # the sample stands for many more documents
-    for w in pool[:5_000]:
+    under: dict[str, list[str]] = defaultdict(list)
+    for w in counts:
+        if len(w) >= LONG_WORD:
+            for part in shortened(w):
+                under[part].append(w)
+    for w in pool[:TRAINING_DAMAGE]:
         for spoil in (True, False):
-            shown, changed = _spoil_word(w, rng) if spoil else (w, False)
+            shown, changed = (_any_edit(w, rng) if len(w) >= LONG_WORD and rng.random() < 0.1 else _spoil_word(w, rng)) if spoil else (w, False)
             if spoil and (not changed or shown in counts):
                 continue
             sound = 0 if spoil or counts[w] < 2 else counts[w] * scale
             candidates: list[tuple[object, list]] = [("w", edit_features(shown, None, (), sound, 1, 0, 0))]
             right = 0
-            for fixed, ops in edits(shown).items():
+            options = dict(edits(shown))
+            if len(shown) >= LONG_WORD:
+                for fixed in {f for part in shortened(shown.lower()) for f in under.get(part, ()) if f != shown.lower()}:
+                    if fixed not in options and (ops := operations(shown, fixed)):
+                        options[fixed] = ops
+            for fixed, ops in options.items():
                 n = counts.get(fixed.lower(), 0)
                 if n:
                     if spoil and fixed.lower() == w:
@@ -521,7 +604,7 @@ def _traces(scans: DataFrame, trained: _Trained) -> DataFrame:
             ids, kinds, words = [], [], []
             for doc, text in zip(*(c.to_pylist() for c in batch.columns)):
                 judged = judge_lines(models[0], text)
-                body, divided = joined_text(text, judged, models, held)
+                body, divided = joined_text(text, judged, models)
                 found = {k for k in judged if k != BODY} | ({"hyphenation"} if divided else set())
                 heads = "\n".join(s for s, k in zip(text.split("\n"), judged) if k == HEADER)
                 doubtful = [w for w in words_to_judge(body + "\n" + heads, held) if w.lower() not in held and not w.isdigit()]
@@ -549,8 +632,36 @@ def word_repairs(words: DataFrame, trained: _Trained) -> DataFrame:
 
         return run
 
-    proposed = map_batches(words.select("word").distinct(), propose, "word string, fixed string, ops array<string>")
-    looked = proposed.withColumn("key", F.lower("fixed")).join(counts.withColumnRenamed("word", "key"), "key").select("word", F.struct("fixed", "ops", "sound", "scanned").alias("option"))
+    distinct = cut(words.select("word").distinct())
+    proposed = map_batches(distinct, propose, "word string, fixed string, ops array<string>")
+    known = counts.withColumnRenamed("word", "key")
+    looked = proposed.withColumn("key", F.lower("fixed")).join(known, "key").select("word", "fixed", "ops", "sound", "scanned")
+
+    def keyed():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            rows = [(i, k) for i, w in enumerate(batch.column(0).to_pylist()) if len(w) >= LONG_WORD for k in {"=" + skeleton(w), *("-" + x for x in shortened(w.lower()))}]
+            i, k = zip(*rows) if rows else ((), ())
+            which = pa.array(i, pa.int32())
+            return pa.RecordBatch.from_arrays([c.take(which) for c in batch.columns] + [pa.array(k, pa.string())], names=[*batch.schema.names, "under"])
+
+        return run
+
+    def aligned():
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            ops = [operations(w, f) for w, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            keep = pa.array([o is not None and len(o) > 0 for o in ops], pa.bool_())
+            return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(ops, pa.list_(pa.string())), *batch.columns[2:]], names=["word", "fixed", "ops", "sound", "scanned"]).filter(keep)
+
+        return run
+
+    # a word that texts do have: more common in sound texts than by chance
+    sure = known.where((F.col("sound") >= HELD_DOCS) & (F.length("key") >= LONG_WORD)).select(F.col("key").alias("fixed"), "sound", "scanned")
+    alike = map_batches(distinct, keyed, "word string, under string").join(map_batches(sure, keyed, "fixed string, sound bigint, scanned bigint, under string"), "under")
+    alike = alike.where(F.lower("word") != F.col("fixed")).select("word", "fixed", "sound", "scanned").distinct()
+    alike = map_batches(alike, aligned, "word string, fixed string, ops array<string>, sound bigint, scanned bigint")
+    # proposals of usual confusions keep their case and name their edits, so they stand before others of the same word
+    looked = looked.unionByName(alike.join(looked.select("word", F.lower("fixed").alias("fixed")).distinct(), ["word", "fixed"], "left_anti"))
+    looked = looked.select("word", F.struct("fixed", "ops", "sound", "scanned").alias("option"))
     # a word has a few dozen proposals at most, so its group is small
     grouped = looked.groupBy("word").agg(F.collect_list("option").alias("options"))
 
@@ -563,6 +674,8 @@ def word_repairs(words: DataFrame, trained: _Trained) -> DataFrame:
                 own = next(((o["sound"], o["scanned"]) for o in options if o["fixed"] == word), (0, 1))
                 if own[0] * odds < own[1]:  # a stray use in sound texts doesn't make a word of it
                     own = (0, own[1])
+                elif own[0] >= HELD_DOCS:  # a word of sound texts, whether tasks hold it or not
+                    continue
                 best, best_score = None, model.score(edit_features(word, None, (), *own, 0, 0), "w")
                 for o in sorted((o for o in options if o["fixed"] != word), key=lambda o: o["fixed"]):
                     if o["sound"] + o["scanned"] <= sum(own):
@@ -601,7 +714,7 @@ def _joined(scans: DataFrame, trained: _Trained) -> DataFrame:
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
             bodies, words = [], []
             for text in batch.column(1).to_pylist():
-                body = joined_text(text, judge_lines(models[0], text), models, held)[0] if text else text
+                body = joined_text(text, judge_lines(models[0], text), models)[0] if text else text
                 bodies.append(body)
                 words.append([w for w in words_to_judge(body or "", held) if not w.isdigit()])
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.string()), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "body", "words"])

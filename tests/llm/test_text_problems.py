@@ -344,6 +344,25 @@ def test_held_out_pages(models, corpus):
     assert right / len(examples) > 0.95
 
 
+def test_damage_of_any_kind(spark, corpus):
+    """Words with one edit of any letter, or many of the usual confusions, are repaired if texts have them; nothing becomes a wrong word."""
+    rows = [(d, s, t, t, "k", None) for d, s, t in corpus]
+    trained = scan_repair._Trained(docs(spark).unionByName(spark.createDataFrame(rows, DOCS)).withColumn("scan", F.coalesce(F.lower("source").startswith("scan:"), F.lit(False))))
+    words = [r.word for r in trained.counts.where("sound >= 20 AND length(word) >= 8 AND word RLIKE '^[a-z]+$'").orderBy("word").limit(150).collect()]
+    rng = random.Random(1)
+    cases = {scan_repair._any_edit(w, rng)[0]: w for w in words} | {scan_repair._spoil_word(scan_repair._spoil_word(w, rng)[0], rng)[0]: w for w in words}
+    cases = {x: w for x, w in cases.items() if x != w}
+    fixed = {r.word: r.fixed.lower() for r in scan_repair.word_repairs(spark.createDataFrame([(x,) for x in cases], "word string"), trained).collect()}
+    right = sum(fixed.get(x) == w for x, w in cases.items())
+    assert right >= 0.85 * len(cases) and len(fixed) - right <= 0.02 * len(cases)
+
+
+def test_operations():
+    assert scan_repair.operations("tkrough", "through") == ("replace",) and scan_repair.operations("leter", "letter") == ("insert",) and scan_repair.operations("houose", "house") == ("delete",)
+    assert scan_repair.operations("cornrnunicatiori", "communication") == ("rn>m", "rn>m", "ri>n") and scan_repair.operations("abcdef", "uvwxyz") is None
+    assert scan_repair.skeleton("cornrnunicatiori") == scan_repair.skeleton("communication")
+
+
 def test_repair(spark):
     sound = ["The clerk of the northern mill noted every sheet of the ledger, and the harbour crane stood idle through the winter months." + f" Room {i} was shut." + " The weaving hall and the finishing press were listed beside the dye recipe." * 8 for i in range(30)]
     scan = "The Northern Mill Society\nThe clerk of the northern mill noted every sheet of the led-\nger, and the harbour crane stood idle through the wintcr\n12\nmonths. The weaving hall and the finishing press were listed\nThe Northern Mill Society\nbeside the dye recipe.\n13"
