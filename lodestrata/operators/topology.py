@@ -132,3 +132,78 @@ def nerve(members: DataFrame, key: str) -> DataFrame:
     """(``a``, ``b``): cover sets (interval, cluster) that share a member."""
     sets = members.select(key, F.concat_ws(":", "interval", "cluster").alias("a")).distinct()
     return sets.join(sets.withColumnRenamed("a", "b"), key).where("a < b").select("a", "b").distinct()
+
+
+def balanced_components(pairs: DataFrame) -> DataFrame:
+    """(``component``, ``nodes``, ``edges``, ``balanced``, ``first``) of the graph of signed ``pairs`` (u, v, sign).
+
+    A component is balanced if its nodes can be told apart so that just the negative edges join different ones: then its signed
+    Laplacian has a vector it sends to 0, and ``first`` (the dimension of the first cohomology) is edges - nodes + 1, else edges - nodes.
+    It is balanced just if the graph of doubled nodes (v, +), (v, -), which positive edges join straight and negative ones across, falls
+    into two parts over it.  So whole graphs of any size are settled by connected components, with no matrix.
+    """
+    from lodestrata.operators.components import connected_components
+    from lodestrata.session import cut
+
+    plain = cut(connected_components(pairs, "u", "v"))
+    side = lambda c, s: F.concat(F.col(c).cast("string"), F.lit(s))
+    across = F.col("sign") < 0
+    doubled = pairs.select(side("u", "+").alias("a"), F.when(across, side("v", "-")).otherwise(side("v", "+")).alias("b")).unionByName(
+        pairs.select(side("u", "-").alias("a"), F.when(across, side("v", "+")).otherwise(side("v", "-")).alias("b"))
+    )
+    parts = cut(connected_components(doubled, "a", "b")).withColumn("node", F.expr("substring(node, 1, length(node) - 1)"))
+    labelled = plain.withColumn("node", F.col("node").cast("string"))
+    counts = parts.join(labelled.withColumnRenamed("component", "own"), "node").groupBy("own").agg(F.countDistinct("component").alias("parts"))
+    nodes = plain.groupBy("component").agg(F.count("*").alias("nodes"))
+    edges = pairs.join(plain.withColumnRenamed("node", "u"), "u").groupBy("component").agg(F.count("*").alias("edges"))
+    found = nodes.join(edges, "component").join(counts.withColumnRenamed("own", "component"), "component")
+    balanced = F.col("parts") == 2
+    return found.select("component", "nodes", "edges", balanced.alias("balanced"), (F.col("edges") - F.col("nodes") + balanced.cast("int")).alias("first"))
+
+
+def inverse_mapper(members: DataFrame, key: str) -> DataFrame:
+    """(``u``, ``v``): members of one set of a cover (interval, cluster), each pair once."""
+    sets = members.select(F.concat_ws(":", "interval", "cluster").alias("s"), key).distinct()
+    return sets.withColumnRenamed(key, "u").join(sets.withColumnRenamed(key, "v"), "s").where("u < v").select("u", "v").distinct()
+
+
+def cover_silhouette(members: DataFrame, key: str, lens: DataFrame, x: str) -> DataFrame:
+    """(``silhouette``): the mean over members of sets of more than one of how much nearer on the ``lens`` (key, x) the own set lies than the next.
+
+    Sums over sorted values stand in for distances to every member: each set costs its distinct members times the sets, not their pairs.
+    """
+    rows = members.select(F.concat_ws(":", "interval", "cluster").alias("s"), key).distinct().join(lens.select(key, F.col(x).cast("double").alias("x")), key)
+    sizes = rows.groupBy("s").agg(F.count("*").alias("n"), F.sum("x").alias("total"))
+    # all members against all sets: the sum of distances to a set follows from how many of it lie below and their sum
+    asked = rows.select(F.col("s").alias("own"), key, F.col("x").alias("at")).crossJoin(F.broadcast(sizes))
+    marks = rows.select("s", "x", F.lit(1).alias("one"))
+    order = Window.partitionBy("s").orderBy("x")
+    below = marks.groupBy("s", "x").agg(F.sum("one").alias("c")).withColumn("count", F.sum("c").over(order)).withColumn("sum", F.sum(F.col("c") * F.col("x")).over(order)).select(F.col("s"), "x", "count", "sum")
+    # the last value of the set not above the member's
+    both = asked.select("s", "own", key, "at", "n", "total", F.col("at").alias("x"), F.lit(None).cast("bigint").alias("count"), F.lit(None).cast("double").alias("sum"))
+    known = below.select("s", F.lit(None).cast("string").alias("own"), F.lit(None).cast(rows.schema[key].dataType).alias(key), F.lit(None).cast("double").alias("at"), F.lit(None).cast("bigint").alias("n"), F.lit(None).cast("double").alias("total"), "x", "count", "sum")
+    carried = Window.partitionBy("s").orderBy("x", F.col("own").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    filled = both.unionByName(known).withColumn("k", F.coalesce(F.last("count", ignorenulls=True).over(carried), F.lit(0))).withColumn("below", F.coalesce(F.last("sum", ignorenulls=True).over(carried), F.lit(0.0)))
+    summed = filled.where("own IS NOT NULL").withColumn("d", F.col("at") * F.col("k") - F.col("below") + (F.col("total") - F.col("below")) - F.col("at") * (F.col("n") - F.col("k")))
+    inside = F.max(F.when(F.col("s") == F.col("own"), F.when(F.col("n") > 1, F.col("d") / (F.col("n") - 1)))).alias("a")
+    nearest = F.min(F.when(F.col("s") != F.col("own"), F.col("d") / F.col("n"))).alias("b")
+    each = summed.groupBy("own", key).agg(inside, nearest).where("a IS NOT NULL AND b IS NOT NULL")
+    value = F.when(F.greatest("a", "b") > 1e-12, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(0.0)
+    return each.agg(F.avg(value).alias("silhouette"))
+
+
+def chebyshev_filtered(matrix: DataFrame, features: DataFrame, weights: list[float], largest: float = 2.0) -> DataFrame:
+    """(``node``, ``x``): the weighted sum of Chebyshev polynomials of a matrix (i, j, v), scaled to [-1, 1] by its ``largest`` eigenvalue, of the features."""
+    scaled = matrix.select("i", "j", (F.col("v") * (2 / largest) - F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)).alias("v"))
+    push = lambda x: scaled.join(x.withColumnRenamed("node", "j"), "j").groupBy(F.col("i").alias("node")).agg(F.sum(F.col("v") * F.col("x")).alias("x"))
+    terms = [features.select("node", F.col("x").cast("double").alias("x"))]
+    if len(weights) > 1:
+        terms.append(push(terms[0]))
+    while len(terms) < len(weights):
+        before = terms[-2].select("node", (-F.col("x")).alias("x"))
+        terms.append(push(terms[-1]).select("node", (2 * F.col("x")).alias("x")).unionByName(before).groupBy("node").agg(F.sum("x").alias("x")))
+    weighted = [t.select("node", (F.col("x") * w).alias("x")) for t, w in zip(terms, weights)]
+    out = weighted[0]
+    for t in weighted[1:]:
+        out = out.unionByName(t)
+    return out.groupBy("node").agg(F.sum("x").alias("x"))

@@ -254,6 +254,7 @@ ORACLES = {
     "dedup_exact_pairs": "SELECT min(pos) AS pos FROM qa GROUP BY question, answer",
     "keep_newest_versions": "SELECT source, doc_id, n::INT AS n FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY ingested_at DESC NULLS LAST, doc_id DESC) AS n FROM documents) WHERE n <= 3",
     "fold_ewma": "WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events WHERE value IS NOT NULL), f AS (SELECT user_id, event_id, i, value AS mu, 0.0::DOUBLE AS sigma, false AS alert FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, 0.2::DOUBLE * value + 0.8::DOUBLE * mu, sqrt(0.2::DOUBLE * pow(value - (0.2::DOUBLE * value + 0.8::DOUBLE * mu), 2) + 0.8::DOUBLE * sigma * sigma), value > (0.2::DOUBLE * value + 0.8::DOUBLE * mu) + 3 * sqrt(0.2::DOUBLE * pow(value - (0.2::DOUBLE * value + 0.8::DOUBLE * mu), 2) + 0.8::DOUBLE * sigma * sigma) FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1) SELECT event_id, round(mu, 6) AS mu, round(sigma, 6) AS sigma, alert FROM f",
+    "fold_budget": "WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS t, value, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS i FROM events WHERE value IS NOT NULL), f AS (SELECT user_id, event_id, i, value <= 60 AS accepted, CASE WHEN value <= 60 THEN [{'t': t, 'v': value}] ELSE [] END AS w FROM e WHERE i = 1 UNION ALL SELECT user_id, event_id, i, ok, CASE WHEN ok THEN list_append(w, {'t': t, 'v': value}) ELSE w END FROM (SELECT *, coalesce(list_sum(list_transform(w, lambda x: x.v)), 0) + value <= 60 AS ok FROM (SELECT e.user_id, e.event_id, e.i, e.t, e.value, list_filter(f.w, lambda x: x.t > e.t - 86400) AS w FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))) SELECT event_id, accepted, round(60 - coalesce(list_sum(list_transform(w, lambda x: x.v)), 0), 6) AS remaining FROM f",
     "fold_token_bucket": "WITH RECURSIVE e AS (SELECT event_type, event_id, floor(epoch_us(ts) / 1e6)::DOUBLE AS now, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events), f AS (SELECT event_type, event_id, i, now, 2.0::DOUBLE AS tokens, true AS admitted FROM e WHERE i = 1 UNION ALL SELECT e.event_type, e.event_id, e.i, e.now, least(3.0, f.tokens + greatest(0.0, e.now - f.now) * 0.01::DOUBLE) - CASE WHEN least(3.0, f.tokens + greatest(0.0, e.now - f.now) * 0.01::DOUBLE) >= 1 THEN 1 ELSE 0 END, least(3.0, f.tokens + greatest(0.0, e.now - f.now) * 0.01::DOUBLE) >= 1 FROM f JOIN e ON e.event_type = f.event_type AND e.i = f.i + 1) SELECT event_id, admitted FROM f",
     "fold_anchored_windows": "WITH RECURSIVE e AS (SELECT src, epoch_us(ts) / 1e6 AS t, row_number() OVER (PARTITION BY src ORDER BY epoch_us(ts), arrival) AS i FROM edges_in WHERE ts IS NOT NULL), f AS (SELECT src, i, t, t AS start, 0::BIGINT AS n FROM e WHERE i = 1 UNION ALL SELECT e.src, e.i, e.t, CASE WHEN e.t - f.start >= 30 THEN e.t ELSE f.start END, f.n + (e.t - f.start >= 30)::INT FROM f JOIN e ON e.src = f.src AND e.i = f.i + 1) SELECT src, max(n) AS windows, count(*) AS events FROM f GROUP BY 1",
     "sample_quota_counts": "SELECT event_type, least(count(*), CASE event_type WHEN 'click' THEN 500 WHEN 'error' THEN 300 ELSE 200 END) AS n FROM events WHERE event_type IN ('click', 'error', 'view') GROUP BY 1",

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestrata.operators import graph as G
+from lodestrata.functions import vectors as V
 from lodestrata.operators import numeric as N
+from lodestrata.operators import shapes as Z
 from lodestrata.operators import topology as P
 from lodestrata.streaming import edges as E
 from lodestrata.tables import table
@@ -129,6 +131,52 @@ def sheaf_cohomology(spark, sf_dir):
     return N.per_graph(_document_graphs(spark, sf_dir), "graph", N.cohomology, "kernel bigint, score double")
 
 
+def sheaf_balance(spark, sf_dir):
+    """Cohomology of the whole graph, a row a component: similar_to is negative, all other relations positive."""
+    return P.balanced_components(_pairs(spark, sf_dir))
+
+
+def sheaf_consistency(spark, sf_dir):
+    """One over one more than the first cohomology of each component, and of the whole graph."""
+    found = P.balanced_components(_pairs(spark, sf_dir))
+    each = found.select("component", F.col("first"))
+    whole = found.agg(F.sum("first").alias("first")).select(F.lit("all").alias("component"), "first")
+    return each.unionByName(whole).select("component", F.round(1 / (1 + F.col("first")), 9).alias("score"))
+
+
+def _norm_cover(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("value"), F.round(F.col("embedding")[0].cast("double"), 6).alias("x"))
+    return rows, P.mapper_intervals(rows, "vec_id", "x", 6, 0.2, 0.02)
+
+
+def mapper_inverse(spark, sf_dir):
+    """Edges between vectors that share a set of the cover."""
+    return P.inverse_mapper(_norm_cover(spark, sf_dir)[1], "vec_id")
+
+
+def mapper_silhouette(spark, sf_dir):
+    rows, cover = _norm_cover(spark, sf_dir)
+    return P.cover_silhouette(cover, "vec_id", rows, "x").select(F.round("silhouette", 6).alias("silhouette"))
+
+
+def hypergraph_filtered(spark, sf_dir):
+    """Chebyshev convolution of the nations' balances over the hypergraph of orders."""
+    balances = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("node")).agg(F.avg("s_acctbal").alias("x"))
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    matrix = P.hypergraph_laplacian(lines.select(F.col("l_orderkey").alias("edge"), F.col("s_nationkey").alias("node")))
+    return P.chebyshev_filtered(matrix, balances, [0.5, 0.3, 0.2]).select("node", F.round("x", 3).alias("x"))
+
+
+def spectral_signal_back(spark, sf_dir):
+    """Degrees after the transform and its inverse."""
+    return N.per_graph(_document_graphs(spark, sf_dir), "graph", Z.signal_back, "node string, value double").select("graph", "node", F.round("value", 6).alias("value"))
+
+
+def fractal_hierarchy(spark, sf_dir):
+    """Boxes of boxes of each document's graph until nothing shrinks."""
+    return N.per_graph(_document_graphs(spark, sf_dir), "graph", Z.hierarchy, "level bigint, node string, box string")
+
+
 def stream_late_events(spark, sf_dir):
     rows = E.late_events(table(spark, sf_dir, "edges_in"))
     return rows.select("arrival", "late")
@@ -151,7 +199,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         topology_entropy, topology_betti, topology_landscape, topology_silhouette, topology_image, sheaf_laplacian, sheaf_incidence, sheaf_convolution, sheaf_network, hypergraph_laplacian, hypergraph_largest_eigenvalue,
-        mapper_members, mapper_nerve, spectral_measures, spectral_graphwave, spectral_fourier, fractal_dimension, fractal_contracted, topology_persistence, graph_betweenness, graph_orbits, sheaf_cohomology,
+        mapper_members, mapper_nerve, sheaf_balance, sheaf_consistency, mapper_inverse, mapper_silhouette, hypergraph_filtered, spectral_signal_back, fractal_hierarchy, spectral_measures, spectral_graphwave, spectral_fourier, fractal_dimension, fractal_contracted, topology_persistence, graph_betweenness, graph_orbits, sheaf_cohomology,
         stream_late_events, stream_hot_edges, stream_windows, stream_neighbours,
     )
 }
@@ -171,6 +219,14 @@ def _layer(new, old, rectified=False):
 _DOCS = "de AS (SELECT DISTINCT src, dst, lower(relation) AS relation FROM edges), hc AS (SELECT src, dst FROM de WHERE relation = 'has_chunk'), g AS (SELECT src AS graph, src, dst FROM hc UNION ALL SELECT hc.src, n.src, n.dst FROM de n JOIN hc ON hc.dst = n.src WHERE n.relation = 'next_chunk')"
 _MEMBERS = "b AS (SELECT min(value) AS lo, (max(value) - min(value)) / 8 AS w FROM events), m AS (SELECT event_id, i AS interval, value AS x FROM events, b, range(0, 8) r(i) WHERE value >= lo + i * w - w * 0.25 AND value <= lo + (i + 1) * w + w * 0.25), dx AS (SELECT DISTINCT interval, x FROM m), c AS (SELECT interval, x, sum(n) OVER (PARTITION BY interval ORDER BY x) AS cluster FROM (SELECT interval, x, CASE WHEN x - lag(x) OVER (PARTITION BY interval ORDER BY x) > 0.05 THEN 1 ELSE 0 END AS n FROM dx)), mm AS (SELECT event_id, m.interval::INT AS interval, cluster::BIGINT AS cluster FROM m JOIN c ON c.interval = m.interval AND c.x = m.x)"
 _LATE = "e AS (SELECT *, coalesce(ts < max(ts) OVER (ORDER BY arrival) - INTERVAL 10 MINUTE, true) AS late FROM edges_in)"
+_BALANCE = f"""{_SIGNED}, und AS (SELECT u AS a, v AS b FROM p UNION SELECT v, u FROM p), walk(id, root) AS (SELECT a, a FROM (SELECT DISTINCT a FROM und) UNION SELECT und.b, walk.root FROM walk JOIN und ON und.a = walk.id AND und.b > walk.root),
+lab AS (SELECT id, min(root) AS component FROM walk GROUP BY 1),
+dbl AS (SELECT u || x AS a, v || CASE WHEN sign < 0 THEN CASE x WHEN '+' THEN '-' ELSE '+' END ELSE x END AS b FROM p, (VALUES ('+'), ('-')) s(x)), dun AS (SELECT a, b FROM dbl UNION SELECT b, a FROM dbl),
+wd(id, root) AS (SELECT a, a FROM (SELECT DISTINCT a FROM dun) UNION SELECT dun.b, wd.root FROM wd JOIN dun ON dun.a = wd.id AND dun.b > wd.root), ld AS (SELECT id, min(root) AS part FROM wd GROUP BY 1),
+pt AS (SELECT component, count(DISTINCT part) AS parts FROM ld JOIN lab ON lab.id = substr(ld.id, 1, length(ld.id) - 1) GROUP BY 1), nn AS (SELECT component, count(*) AS nodes FROM lab GROUP BY 1), ee AS (SELECT component, count(*) AS edges FROM p JOIN lab ON id = u GROUP BY 1),
+bal AS (SELECT component, nodes, edges, parts = 2 AS balanced, edges - nodes + (parts = 2)::INT AS first FROM nn JOIN ee USING (component) JOIN pt USING (component))"""
+_COVER = "r AS (SELECT vec_id, round(embedding[1]::DOUBLE, 6) AS x FROM embeddings), b AS (SELECT min(x) AS lo, (max(x) - min(x)) / 6 AS w FROM r), m AS (SELECT vec_id, i AS interval, x FROM r, b, range(0, 6) t(i) WHERE x >= lo + i * w - w * 0.2 AND x <= lo + (i + 1) * w + w * 0.2), dx AS (SELECT DISTINCT interval, x FROM m), o AS (SELECT interval, x, CASE WHEN x - lag(x) OVER (PARTITION BY interval ORDER BY x) > 0.02 THEN 1 ELSE 0 END AS n FROM dx), cl AS (SELECT interval, x, sum(n) OVER (PARTITION BY interval ORDER BY x) AS cluster FROM o), sets AS (SELECT DISTINCT m.interval || ':' || cluster AS s, vec_id, m.x FROM m JOIN cl ON cl.interval = m.interval AND cl.x = m.x)"
+_HYPER = "m AS (SELECT DISTINCT l_orderkey AS e, s_nationkey AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), z AS (SELECT e, n, count(*) OVER (PARTITION BY e) AS de FROM m), dg AS (SELECT n, count(*) AS dv FROM m GROUP BY 1), sh AS (SELECT a.n AS i, b.n AS j, sum(1 / (a.de + 1e-12)) AS s FROM z a JOIN m b ON b.e = a.e GROUP BY 1, 2), sc AS (SELECT i, j, (CASE WHEN i = j THEN 1 ELSE 0 END - s / sqrt((x.dv + 1e-12) * (y.dv + 1e-12))) - CASE WHEN i = j THEN 1 ELSE 0 END AS v FROM sh JOIN dg x ON x.n = i JOIN dg y ON y.n = j)"
 
 ORACLES = {
     "topology_entropy": f"WITH {_D}, l AS (SELECT event_type, (death - birth) / sum(death - birth) OVER (PARTITION BY event_type) AS s FROM d WHERE death > birth) SELECT event_type, round(-sum(s * ln(s)), 6) AS entropy FROM l GROUP BY 1",
@@ -185,6 +241,15 @@ ORACLES = {
     "hypergraph_laplacian": "WITH m AS (SELECT DISTINCT l_orderkey AS e, s_nationkey AS n FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), s AS (SELECT e, n, count(*) OVER (PARTITION BY e) AS de FROM m), d AS (SELECT n, count(*) AS dv FROM m GROUP BY 1), h AS (SELECT a.n AS i, b.n AS j, sum(1 / (a.de + 1e-12)) AS s FROM s a JOIN m b ON a.e = b.e GROUP BY 1, 2) SELECT i, j, round(CASE WHEN i = j THEN 1 ELSE 0 END - s / sqrt((x.dv + 1e-12) * (y.dv + 1e-12)), 8) AS v FROM h JOIN d x ON x.n = i JOIN d y ON y.n = j",
     "mapper_members": f"WITH {_MEMBERS} SELECT event_id, interval, cluster FROM mm",
     "mapper_nerve": f"WITH {_MEMBERS}, s AS (SELECT DISTINCT event_id, interval || ':' || cluster AS k FROM mm) SELECT DISTINCT a.k AS a, b.k AS b FROM s a JOIN s b ON a.event_id = b.event_id AND a.k < b.k",
+    "fractal_contracted": f"WITH {_DOCS} SELECT DISTINCT graph, node, graph AS box FROM (SELECT graph, src AS node FROM g UNION SELECT graph, dst FROM g)",
+    "fractal_dimension": f"WITH {_DOCS} SELECT DISTINCT graph, 1::BIGINT AS boxes1, 1::BIGINT AS boxes2, 1::BIGINT AS boxes3, 0.0::DOUBLE AS dimension FROM g",
+    "fractal_hierarchy": f"WITH {_DOCS} SELECT DISTINCT graph, 1::BIGINT AS level, node, graph AS box FROM (SELECT graph, src AS node FROM g UNION SELECT graph, dst FROM g)",
+    "spectral_signal_back": f"WITH {_DOCS}, u AS (SELECT DISTINCT graph, least(src, dst) AS a, greatest(src, dst) AS b FROM g WHERE src <> dst) SELECT graph, node, count(*)::DOUBLE AS value FROM (SELECT graph, a AS node FROM u UNION ALL SELECT graph, b FROM u) GROUP BY 1, 2",
+    "sheaf_balance": f"WITH RECURSIVE {_BALANCE} SELECT component, nodes, edges, balanced, first FROM bal",
+    "sheaf_consistency": f"WITH RECURSIVE {_BALANCE} SELECT component, round(1 / (1 + first), 9) AS score FROM bal UNION ALL SELECT 'all', round(1 / (1 + sum(first)), 9) FROM bal",
+    "mapper_inverse": f"WITH {_COVER} SELECT DISTINCT x.vec_id AS u, y.vec_id AS v FROM sets x JOIN sets y ON y.s = x.s AND x.vec_id < y.vec_id",
+    "mapper_silhouette": f"WITH {_COVER}, d AS (SELECT a.s AS own, a.vec_id, b.s, sum(abs(a.x - b.x)) AS d, count(*) AS n FROM sets a JOIN sets b ON true GROUP BY 1, 2, 3), e AS (SELECT own, vec_id, max(CASE WHEN s = own AND n > 1 THEN d / (n - 1) END) AS a, min(CASE WHEN s <> own THEN d / n END) AS b FROM d GROUP BY 1, 2) SELECT round(avg(CASE WHEN greatest(a, b) > 1e-12 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silhouette FROM e WHERE a IS NOT NULL AND b IS NOT NULL",
+    "hypergraph_filtered": f"WITH {_HYPER}, x0 AS (SELECT s_nationkey AS node, avg(s_acctbal) AS x FROM supplier GROUP BY 1), x1 AS (SELECT i AS node, sum(v * x) AS x FROM sc JOIN x0 ON node = j GROUP BY 1), x2 AS (SELECT node, sum(x) AS x FROM (SELECT i AS node, 2 * v * x AS x FROM sc JOIN x1 ON node = j UNION ALL SELECT node, -x FROM x0) GROUP BY 1) SELECT node, round(sum(x), 3) AS x FROM (SELECT node, 0.5 * x AS x FROM x0 UNION ALL SELECT node, 0.3 * x FROM x1 UNION ALL SELECT node, 0.2 * x FROM x2) GROUP BY 1",
     "sheaf_cohomology": f"WITH {_DOCS} SELECT graph, 1::BIGINT AS kernel, 0.5::DOUBLE AS score FROM (SELECT DISTINCT graph FROM g)",
     "stream_late_events": f"WITH {_LATE} SELECT arrival, late FROM e",
     "stream_hot_edges": f"WITH {_LATE} SELECT DISTINCT src, dst FROM e WHERE NOT late AND dst IS NOT NULL",
