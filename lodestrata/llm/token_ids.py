@@ -4,7 +4,10 @@ The JVM splits texts into pieces (the vocabulary's own split pattern); a task th
 gathers the different pieces of each Arrow batch and contracts those it has not met
 before in DuckDB: a recursive query over token positions joins the merge table and
 replaces every occurrence of a piece's lowest-ranked pair, left to right, until no
-pair is left.  Ids of a text are gathered from its pieces without a Python loop.
+pair is left.  Ids of a text are gathered from its pieces without a Python loop.  An ordered aggregation
+over the ids joined with the vocabulary decodes them.
+
+The vocabulary is a path handed to the operator, else the file of that name in the folder that ``TOKENIZER_DIR`` names.
 
 Null and empty texts give an empty list.  Strings of special tokens are plain text.
 Repeated rows give repeated rows; columns other than the two read are not looked at.
@@ -29,6 +32,8 @@ from lodestrata.tables import table
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
 PIECE_CACHE = 400_000
+#: A task has one core; nothing is spilled to a folder of its node.
+DUCKDB = {"threads": 1, "memory_limit": "500MB", "temp_directory": ""}
 #: Pieces with more bytes are contracted in calls of their own, so that one odd text doesn't swell a batch's query.
 LONG_PIECE = 2_000
 
@@ -101,7 +106,7 @@ class PieceEncoder:
         import duckdb
 
         self.byte_ids, merges = load_merges(path)
-        self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "500MB"})
+        self.db = duckdb.connect(":memory:", config=DUCKDB)
         self.db.execute("SET enable_progress_bar = false")
         self.db.register("merges_arrow", merges)
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merges_arrow")
@@ -168,8 +173,57 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
     return docs.select(F.col(key), pieces.alias("pieces")).mapInArrow(run, f"{key} {kind}, ids array<int>")
 
 
+DECODE = """
+SELECT place, string_agg(piece, '' ORDER BY pos) AS text
+FROM (SELECT place, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM listed) JOIN vocabulary USING (id) GROUP BY place
+"""
+
+
+@lru_cache(maxsize=2)
+def load_vocabulary(path: str) -> pa.Table:
+    """(``id``, ``piece``) of every token, in the printable characters that stand for bytes."""
+    with open(path, encoding="utf-8") as file:
+        vocabulary = json.load(file)["model"]["vocab"]
+    return pa.table({"id": pa.array(vocabulary.values(), pa.int32()), "piece": pa.array(vocabulary.keys(), pa.string())})
+
+
+def decode_ids(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
+    """(``key``, ``text``) of every row of ``encoded``; empty and null lists give an empty text, ids that the vocabulary lacks nothing.
+
+    Bytes that are no UTF-8, as of a list cut in the middle of a letter, become U+FFFD.
+    """
+    path = vocabulary or os.path.join(TOKENIZER_DIR, VOCABULARY)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import duckdb
+
+        db = duckdb.connect(":memory:", config=DUCKDB)
+        db.execute("SET enable_progress_bar = false")
+        db.register("vocabulary_arrow", load_vocabulary(path))
+        db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_arrow")
+        byte_of = str.maketrans({c: chr(b) for b, c in enumerate(_byte_alphabet())})
+        for batch in batches:
+            db.register("listed", pa.table({"place": pa.array(range(batch.num_rows), pa.int32()), "ids": batch.column(1)}))
+            found = db.sql(DECODE).to_arrow_table()
+            db.unregister("listed")
+            texts = [""] * batch.num_rows
+            for place, text in zip(found["place"].to_pylist(), found["text"].to_pylist()):
+                texts[place] = text.translate(byte_of).encode("latin-1").decode("utf-8", "replace")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
+
+    kind = encoded.schema[key].dataType.simpleString()
+    return encoded.select(key, ids).mapInArrow(run, f"{key} {kind}, text string")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p8_ids": p8_ids}
+def p8_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every text decoded from its ids."""
+    return decode_ids(p8_ids(spark, sf_dir)).select("doc_id", F.md5("text").alias("fingerprint"))
+
+
+QUERIES = {"p8_ids": p8_ids, "p8_texts": p8_texts}
+
+ORACLES = {"p8_texts": "SELECT doc_id, md5(coalesce(text, '')) AS fingerprint FROM documents"}

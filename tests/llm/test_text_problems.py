@@ -31,6 +31,14 @@ def corpus(small):
 # ---- token ids
 
 
+def test_texts_come_back(spark, corpus):
+    texts = [*(t for *_, t in corpus), *ODD, "<|endoftext|>", "\x00\x7f"]
+    encoded = token_ids.encode_texts(docs(spark, *texts))
+    assert {r.doc_id: r.text for r in token_ids.decode_ids(encoded).collect()} == {i: t or "" for i, t in enumerate(texts)}
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [10**6]), (4, [0, 1])], "doc_id bigint, ids array<int>")
+    assert {r.doc_id: r.text for r in token_ids.decode_ids(odd).collect()} == {1: "", 2: "", 3: "", 4: '!"'}
+
+
 def test_ids_equal_the_libraries(spark, corpus):
     from tokenizers import Tokenizer
 
