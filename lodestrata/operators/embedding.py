@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, Word2Vec
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -11,6 +13,9 @@ from pyspark.sql import functions as F
 from lodestrata.functions import vectors as V
 from lodestrata.operators.graph import undirected
 from lodestrata.session import cut
+from lodestrata.tables import share_package
+
+MOST_ANCHORS = 20_000
 
 
 def random_walks(edges: DataFrame, length: int, walks: int, seed: int = 0) -> DataFrame:
@@ -48,15 +53,37 @@ def principal(vectors: DataFrame, vec: str, k: int) -> DataFrame:
     return PCA(k=k, inputCol="_v", outputCol="_p").fit(rows).transform(rows).withColumn("reduced", vector_to_array("_p")).drop("_v", "_p")
 
 
-def contrastive_loss(one: DataFrame, other: DataFrame, key: str, vec: str, tau: float = 0.1, anchors: int = 100) -> DataFrame:
-    """(``loss``): InfoNCE of two views (key, vec), every ``anchors``-th key by hash against all of the other view.
+def contrastive_loss(one: DataFrame, other: DataFrame, key: str, vec: str, tau: float = 0.1) -> DataFrame:
+    """(``loss``): InfoNCE of the anchors in ``one`` (key, vec) against all of the ``other`` view, over the anchors that it has.
 
-    The anchors are the stated query set; with 1 every key is one.
+    Anchors are a stated set of ``MOST_ANCHORS`` rows at most (more is an error), which tasks hold; each task passes on one sum an anchor.
     """
-    a = one.where(F.pmod(F.xxhash64(key), F.lit(anchors)) == 0).select(F.col(key).alias("k"), F.col(vec).alias("x"))
-    scored = other.select(F.col(key).alias("o"), F.col(vec).alias("y")).crossJoin(F.broadcast(a)).withColumn("s", V.cosine(F.col("x"), F.col("y")) / tau)
-    rows = scored.groupBy("k").agg(F.log(F.sum(F.exp("s"))).alias("z"), F.max(F.when(F.col("k") == F.col("o"), F.col("s"))).alias("own"))
-    return rows.where("own IS NOT NULL").agg(F.avg(F.col("z") - F.col("own")).alias("loss"))
+    share_package(other.sparkSession)
+    held = one.select(F.col(key).alias("k"), V.as_double(F.col(vec)).alias("x")).limit(MOST_ANCHORS + 1).toArrow()
+    if held.num_rows > MOST_ANCHORS:
+        raise ValueError(f"more than {MOST_ANCHORS} anchors")
+    ids = held["k"].combine_chunks()
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    anchors = unit(np.array(held["x"].to_pylist(), dtype=float)) if len(ids) else np.zeros((0, 1))
+    place = {k: i for i, k in enumerate(ids.to_pylist())}
+    step = max(1, 4_000_000 // max(1, len(ids)))
+
+    def run(batches):
+        total, own = np.zeros(len(place)), np.full(len(place), np.nan)
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            for begin in range(0, len(keys), step):
+                part = unit(np.array(batch.column(1)[begin : begin + step].to_pylist(), dtype=float))
+                score = anchors @ part.T / tau
+                total += np.exp(score).sum(1)
+                for j, k in enumerate(keys[begin : begin + step]):
+                    if k in place:
+                        own[place[k]] = score[place[k], j]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(place)), pa.int64()), pa.array(total), pa.array(own, from_pandas=True)], names=["k", "total", "own"])
+
+    rows = other.select(F.col(key).alias("k"), V.as_double(F.col(vec)).alias("y")).mapInArrow(run, "k bigint, total double, own double")
+    summed = rows.groupBy("k").agg(F.log(F.sum("total")).alias("z"), F.max("own").alias("own"))
+    return summed.where("own IS NOT NULL").agg(F.avg(F.col("z") - F.col("own")).alias("loss"))
 
 
 def neighbour_means(edges: DataFrame, features: DataFrame, layers: int = 2) -> DataFrame:

@@ -156,9 +156,10 @@ def embed_principal(spark, sf_dir):
 
 
 def embed_contrastive_loss(spark, sf_dir):
+    """Every fiftieth vector as an anchor: its first half against the second half of all."""
     rows = table(spark, sf_dir, "embeddings")
-    one, other = rows.select("vec_id", F.slice("embedding", 1, 32).alias("v")), rows.select("vec_id", F.slice("embedding", 33, 32).alias("v"))
-    return M.contrastive_loss(one, other, "vec_id", "v", anchors=1).select(F.round("loss", 5).alias("loss"))
+    one, other = rows.where("vec_id % 50 = 0").select("vec_id", F.slice("embedding", 1, 32).alias("v")), rows.select("vec_id", F.slice("embedding", 33, 32).alias("v"))
+    return M.contrastive_loss(one, other, "vec_id", "v").select(F.round("loss", 5).alias("loss"))
 
 
 def embed_neighbour_means(spark, sf_dir):
@@ -210,6 +211,6 @@ ORACLES = {
     "conversation_turns": "WITH n AS (SELECT chunk, question, answer, row_number() OVER (PARTITION BY chunk ORDER BY pos) - 1 AS n FROM qa WHERE chunk IS NOT NULL) SELECT chunk, (n * 2)::INT AS turn, 'user' AS role, coalesce(question, '') AS content FROM n UNION ALL SELECT chunk, (n * 2 + 1)::INT, 'assistant', coalesce(answer, '') FROM n",
     "preference_pairs": f"WITH {_RATED.replace('max(rating) AS rating', 'max(rating) AS rating, min(rating) AS low')}, x AS (SELECT question, arg_max(answer, (rating, answer)) AS chosen, arg_max(answer, (-low, answer)) AS rejected FROM r GROUP BY 1) SELECT * FROM x WHERE chosen <> rejected",
     "ranked_answers": f"WITH {_RATED} SELECT question, answer, row_number() OVER (PARTITION BY question ORDER BY rating DESC, answer)::INT AS rank FROM r",
-    "embed_contrastive_loss": "WITH e AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS a, embedding[33:64]::DOUBLE[] AS b FROM embeddings), s AS (SELECT x.vec_id AS k, y.vec_id AS o, list_cosine_similarity(x.a, y.b) / 0.1 AS s FROM e x, e y) SELECT round(avg(z - own), 5) AS loss FROM (SELECT k, ln(sum(exp(s))) AS z, max(CASE WHEN k = o THEN s END) AS own FROM s GROUP BY 1)",
+    "embed_contrastive_loss": "WITH e AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS a, embedding[33:64]::DOUBLE[] AS b FROM embeddings), s AS (SELECT x.vec_id AS k, y.vec_id AS o, list_cosine_similarity(x.a, y.b) / 0.1 AS s FROM e x, e y WHERE x.vec_id % 50 = 0) SELECT round(avg(z - own), 5) AS loss FROM (SELECT k, ln(sum(exp(s))) AS z, max(CASE WHEN k = o THEN s END) AS own FROM s GROUP BY 1)",
     "embed_neighbour_means": "WITH p AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM edges WHERE src <> dst), b AS (SELECT u AS node, v AS near FROM p UNION ALL SELECT v, u FROM p), f AS (SELECT id AS node, coalesce(length(arg_min({'v': text}, pos).v), 0)::DOUBLE AS x FROM nodes GROUP BY id), m AS (SELECT b.node, avg(x) AS m FROM b JOIN f ON f.node = b.near GROUP BY 1) SELECT f.node, round((x + coalesce(m, x)) / 2, 6) AS x FROM f LEFT JOIN m ON m.node = f.node",
 }
