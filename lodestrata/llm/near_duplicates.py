@@ -259,14 +259,26 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups}
 
-ORACLES = {
-    "p1_found": r"""
-WITH t AS (
-  SELECT 'd' || doc_id AS id, 0 AS space, text FROM documents WHERE text IS NOT NULL
-  UNION ALL SELECT DISTINCT id, 1, text FROM nodes WHERE lower(type) = 'chunk' AND text IS NOT NULL),
-w AS (SELECT id, space, list_filter(regexp_split_to_array(lower(text), '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '') AS w FROM t),
+_SPACES = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_GRAMS = rf"""t AS (
+  SELECT 'd' || doc_id AS id, 0 AS space, doc_id * 2 AS rid, text FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT id, 1, min(pos) * 2 + 1, text FROM nodes WHERE lower(type) = 'chunk' AND text IS NOT NULL GROUP BY id, text),
+w AS (SELECT id, space, rid, list_filter(regexp_split_to_array(lower(text), '{_SPACES}'), lambda x: x <> '') AS w FROM t),
 g AS (SELECT DISTINCT id, space, hash(w[i], w[i + 1], w[i + 2]) AS h FROM (SELECT id, space, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)),
 n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
-s AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.h = b.h AND a.space = b.space AND a.id < b.id GROUP BY 1, 2)
-SELECT id_a, id_b FROM s JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.6 * (x.n + y.n - c)""",
+s AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM g a JOIN g b ON a.h = b.h AND a.space = b.space AND a.id < b.id GROUP BY 1, 2),
+pairs AS (SELECT id_a, id_b FROM s JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE c >= 0.6 * (x.n + y.n - c))"""
+
+ORACLES = {
+    "p1_found": f"WITH {_GRAMS} SELECT id_a, id_b FROM pairs",
+    "p1_groups": f"""WITH RECURSIVE {_GRAMS},
+c AS (SELECT space || ':' || array_to_string(w, ' ') AS class, id, rid FROM w WHERE len(w) > 2),
+h AS (SELECT class, min(rid) AS head, min(id) AS first_id FROM c GROUP BY 1),
+m AS (SELECT DISTINCT id, head, first_id FROM c JOIN h USING (class)),
+l AS (SELECT DISTINCT x.head AS a, y.head AS b FROM pairs JOIN m x ON x.id = id_a JOIN m y ON y.id = id_b WHERE x.head <> y.head),
+u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+walk(head, root) AS (SELECT a, a FROM (SELECT DISTINCT a FROM u) UNION SELECT u.b, walk.root FROM walk JOIN u ON u.a = walk.head),
+r AS (SELECT head, min(root) AS root FROM walk GROUP BY 1),
+k AS (SELECT a AS head, count(*) AS links FROM u GROUP BY 1)
+SELECT id, coalesce(root, m.head) AS "group", coalesce(root, m.head) = m.head AND id = first_id AS keep, coalesce(links, 0) AS links FROM m LEFT JOIN r ON r.head = m.head LEFT JOIN k ON k.head = m.head""",
 }

@@ -22,7 +22,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import map_batches
@@ -160,12 +160,30 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(sized_items(spark, sf_dir), table(spark, sf_dir, "chunk_limits")).select("id").distinct()
 
 
-QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces}
+def joined(pieces_: DataFrame) -> DataFrame:
+    """(``id``, ``text``): the texts of which pieces (id, start, text) are, each piece without what the one before it holds."""
+    order = Window.partitionBy("id").orderBy("start")
+    before = F.coalesce(F.lag(F.col("start") + F.length("text")).over(order), F.lit(0))
+    own = pieces_.withColumn("own", F.substr("text", before - F.col("start") + 1))
+    return own.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "own"))), lambda p: p["own"]), "").alias("text"))
+
+
+def p6_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every oversized text, put together again from its pieces."""
+    return joined(p6_pieces(spark, sf_dir)).select("id", F.md5("text").alias("fingerprint"))
+
+
+QUERIES = {"p6_found": p6_found, "p6_pieces": p6_pieces, "p6_joined": p6_joined}
 
 ORACLES = {
     "p6_found": """
 SELECT DISTINCT id FROM (
   SELECT 'd' || doc_id AS id, 'document' AS kind, text FROM documents
   UNION ALL SELECT id, 'chunk', text FROM nodes WHERE lower(type) = 'chunk') i
+JOIN chunk_limits l ON l.kind = i.kind WHERE length(text) > max_chars""",
+    "p6_joined": """
+SELECT DISTINCT id, md5(text) AS fingerprint FROM (
+  SELECT 'd' || doc_id AS id, 'document' AS kind, text FROM documents
+  UNION ALL SELECT id, 'chunk', text FROM nodes WHERE lower(type) = 'chunk') i
 JOIN chunk_limits l ON l.kind = i.kind WHERE length(text) > max_chars""",
 }
