@@ -1,7 +1,7 @@
 """Spectral and combinatorial measures of many small graphs, one group of edges at a time.
 
-``per_graph`` sorts edges by their graph and hands each graph to a numpy function, so only one graph is held;
-a graph of more than ``MOST_NODES`` nodes is refused with an error rather than cut.  Nodes are numbered in the order
+``per_graph`` sorts edges by their graph and hands each graph to a numpy function, so only one graph is held.
+A graph of more than ``most`` nodes is no small graph: it gives one row of nulls beside its name, and the others go on.  Nodes are numbered in the order
 of their names, so that results don't depend on the order of rows.
 """
 
@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 from lodestrata.tables import share_package
 
-MOST_NODES = 3_000
+#: Nodes of a graph whose matrix a task holds (200 MB of numbers).
+MOST_NODES = 5_000
 
 
-def per_graph(edges: DataFrame, graph: str, function: Callable[[np.ndarray, list[str]], list[tuple]], out: str) -> DataFrame:
+def per_graph(edges: DataFrame, graph: str, function: Callable[[np.ndarray, list[str]], list[tuple]], out: str, most: int = MOST_NODES) -> DataFrame:
     """Rows of ``function(adjacency, names)`` for each graph, after its name; edges are (graph, src, dst) without direction."""
     share_package(edges.sparkSession)
     names = [c.strip().split(" ")[0] for c in out.split(",")]
@@ -30,8 +31,8 @@ def per_graph(edges: DataFrame, graph: str, function: Callable[[np.ndarray, list
 
     def graph_rows(name, pairs):
         nodes = sorted({x for p in pairs for x in p})
-        if len(nodes) > MOST_NODES:
-            raise ValueError(f"graph {name!r} has {len(nodes)} nodes; {MOST_NODES} is the most")
+        if len(nodes) > most:
+            return [(name, *[None] * len(names))]
         at = {x: i for i, x in enumerate(nodes)}
         a = np.zeros((len(nodes), len(nodes)))
         for u, v in pairs:
@@ -244,12 +245,6 @@ def orbits(a: np.ndarray, names: list[str]) -> list[tuple]:
     return [(names[i], first[colour[i]]) for i in range(n)]
 
 
-def cohomology(a: np.ndarray, _names: list[str]) -> list[tuple]:
-    """(``kernel``, ``score``): eigenvalues of the unsigned Laplacian at 0, and 1 / (1 + their number)."""
-    kernel = int((spectrum(a, normed=False) < 1e-5).sum())
-    return [(kernel, 1 / (1 + kernel))]
-
-
 def fourier(a: np.ndarray, _names: list[str]) -> list[tuple]:
     """(``k``, ``energy``): squared coefficients of the degrees over the eigenvalues, which signs and orders of vectors don't change."""
     values, vectors = np.linalg.eigh(laplacian(a))

@@ -101,7 +101,8 @@ def graph_consolidated_schema(spark, sf_dir):
 def graph_pruned_sources(spark, sf_dir):
     large = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(3).select("source")
     nodes, edges = G.without_sources(_n(spark, sf_dir), _e(spark, sf_dir), large)
-    return nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges")))
+    listed = nodes.select(F.lit("node").alias("kind"), "id", F.lit(None).cast("string").alias("dst"))
+    return listed.unionByName(edges.select(F.lower("relation").alias("kind"), F.col("src").alias("id"), "dst")).distinct()
 
 
 def graph_small_components(spark, sf_dir):
@@ -142,12 +143,12 @@ def graph_verified_statements(spark, sf_dir):
 
 def graph_removed_documents(spark, sf_dir):
     gone = G.distinct_nodes(_n(spark, sf_dir)).where("type = 'document' AND source LIKE 'scan:%'").select("id")
-    return G.without_documents(_n(spark, sf_dir), _e(spark, sf_dir), gone).groupBy("type").agg(F.count("*").alias("n"))
+    return G.without_documents(_n(spark, sf_dir), _e(spark, sf_dir), gone).select("id", "type")
 
 
 def graph_cascade_removed_documents(spark, sf_dir):
     gone = G.distinct_nodes(_n(spark, sf_dir)).where("type = 'document' AND source LIKE 'file:%'").select("id")
-    return G.without_documents(_n(spark, sf_dir), _e(spark, sf_dir), gone, cascade=True).groupBy("type").agg(F.count("*").alias("n"))
+    return G.without_documents(_n(spark, sf_dir), _e(spark, sf_dir), gone, cascade=True).select("id", "type")
 
 
 def graph_triangles(spark, sf_dir):
@@ -256,7 +257,7 @@ ORACLES = {
 WITH big AS (SELECT source FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1) ORDER BY n DESC, source LIMIT 3),
 kn AS (SELECT * FROM nodes WHERE source IS NULL OR source NOT IN (SELECT source FROM big WHERE source IS NOT NULL)),
 ke AS (SELECT * FROM edges WHERE (provenance IS NULL OR provenance NOT IN (SELECT source FROM big WHERE source IS NOT NULL)) AND src IN (SELECT id FROM kn) AND dst IN (SELECT id FROM kn))
-SELECT (SELECT count(*) FROM kn) AS nodes, (SELECT count(*) FROM ke) AS edges""",
+SELECT DISTINCT 'node' AS kind, id, NULL AS dst FROM kn UNION SELECT DISTINCT lower(relation), src, dst FROM ke""",
     "graph_components": _sql("SELECT id, component, size FROM al JOIN sz USING (component)", _COMPONENTS, recursive=True),
     "graph_small_components": _sql("SELECT id, component, size FROM al JOIN sz USING (component) WHERE size < 3", _COMPONENTS, recursive=True),
     "graph_resolved_entities": _sql(r"SELECT id, first_value(id) OVER (PARTITION BY lower(regexp_replace(trim(text), '\s+', ' ', 'g')) ORDER BY pos) AS keeper FROM dn WHERE type = 'entity' AND text IS NOT NULL"),
@@ -268,9 +269,9 @@ SELECT (SELECT count(*) FROM kn) AS nodes, (SELECT count(*) FROM ke) AS edges"""
     ),
     "graph_fact_confidence": _sql("SELECT * FROM conf", _FACTS),
     "graph_verified_statements": _sql("SELECT round(avg(confidence), 6) AS confidence, count(*) AS statements FROM conf", _FACTS),
-    "graph_removed_documents": _sql("SELECT type, count(*) AS n FROM dn WHERE id NOT IN (SELECT id FROM gone) AND id NOT IN (SELECT dst FROM hc WHERE src IN (SELECT id FROM gone)) GROUP BY 1", "gone AS (SELECT id FROM dn WHERE type = 'document' AND source LIKE 'scan:%')"),
+    "graph_removed_documents": _sql("SELECT id, type FROM dn WHERE id NOT IN (SELECT id FROM gone) AND id NOT IN (SELECT dst FROM hc WHERE src IN (SELECT id FROM gone))", "gone AS (SELECT id FROM dn WHERE type = 'document' AND source LIKE 'scan:%')"),
     "graph_cascade_removed_documents": _sql(
-        "SELECT type, count(*) AS n FROM dn WHERE id NOT IN (SELECT id FROM gone) AND (id NOT IN (SELECT dst FROM de WHERE relation = 'mentions') OR id IN (SELECT dst FROM de WHERE relation = 'mentions' AND src NOT IN (SELECT id FROM gone))) GROUP BY 1",
+        "SELECT id, type FROM dn WHERE id NOT IN (SELECT id FROM gone) AND (id NOT IN (SELECT dst FROM de WHERE relation = 'mentions') OR id IN (SELECT dst FROM de WHERE relation = 'mentions' AND src NOT IN (SELECT id FROM gone)))",
         "g0 AS (SELECT id FROM dn WHERE type = 'document' AND source LIKE 'file:%'), gone AS (SELECT id FROM g0 UNION SELECT dst FROM hc WHERE src IN (SELECT id FROM g0))",
     ),
     "graph_triangles": "WITH p AS (SELECT DISTINCT least(src, dst) AS u, greatest(src, dst) AS v FROM edges WHERE src <> dst) SELECT x.u AS a, x.v AS b, y.v AS c FROM p x JOIN p y ON y.u = x.v JOIN p z ON z.u = x.u AND z.v = y.v",

@@ -10,7 +10,6 @@ from lodestrata.plans.sqltext import SPACE, WIDE, clean, words
 from lodestrata.tables import chunk_nodes, table
 
 
-
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text IS NOT NULL")
 
@@ -58,33 +57,43 @@ def text_entropy(spark, sf_dir):
 
 
 def text_language_gate(spark, sf_dir):
+    """Whether each document's stated language is processed; those without one are not."""
     lang = F.lower(F.substring("lang", 1, 2))
-    return table(spark, sf_dir, "documents").groupBy(F.coalesce(lang, F.lit("und")).alias("lang")).agg(F.count("*").alias("documents"), F.count_if(lang.isin("fr", "en")).alias("processed"), F.count_if(~F.coalesce(lang.isin("fr", "en"), F.lit(False))).alias("skipped"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(lang, F.lit("und")).alias("lang"), F.coalesce(lang.isin("fr", "en"), F.lit(False)).alias("processed"))
 
 
 def text_guessed_language(spark, sf_dir):
     return _documents(spark, sf_dir).select("doc_id", T.guessed_language(F.col("text")).alias("lang"))
 
 
+# Words that block a text.
 UNSAFE = r"\b(?:porn|xxx|sex)\b"
 
 
+def capitals(text):
+    """A stand-in for a model's toxicity: the share of capital letters."""
+    return F.length(F.regexp_replace(text, "[^A-Z]", "")) / F.greatest(F.length(text), F.lit(1))
+
+
+def safety_score(text, toxicity=capitals):
+    """Half of the ``toxicity`` (a function from a text column to a score) and of a hit of the pattern."""
+    return 0.5 * (toxicity(text) + F.rlike(text, F.lit("(?i)" + UNSAFE)).cast("int"))
+
+
 def text_safety_filter(spark, sf_dir):
-    """The score form: half of a toxicity (here: the share of capital letters) and of a hit of the pattern."""
-    toxicity = F.length(F.regexp_replace(F.col("text"), "[^A-Z]", "")) / F.greatest(F.length(F.col("text")), F.lit(1))
-    hit = F.rlike(F.col("text"), F.lit("(?i)" + UNSAFE)).cast("int")
-    return _documents(spark, sf_dir).select("doc_id", F.round(0.5 * (toxicity + hit), 6).alias("score"), (0.5 * (toxicity + hit) > 0.7).alias("blocked"))
+    """The score form."""
+    score = safety_score(F.col("text"))
+    return _documents(spark, sf_dir).select("doc_id", F.round(score, 6).alias("score"), (score > 0.7).alias("blocked"))
 
 
 def text_safety_guard(spark, sf_dir):
     """The guard form: a hit blocks at once."""
-    toxicity = F.length(F.regexp_replace(F.col("text"), "[^A-Z]", "")) / F.greatest(F.length(F.col("text")), F.lit(1))
-    return _documents(spark, sf_dir).where(F.rlike(F.col("text"), F.lit("(?i)" + UNSAFE)) | (0.5 * toxicity > 0.04)).select("doc_id")
+    return _documents(spark, sf_dir).where(F.rlike(F.col("text"), F.lit("(?i)" + UNSAFE)) | (0.5 * capitals(F.col("text")) > 0.04)).select("doc_id")
 
 
 def text_safe_ingest(spark, sf_dir):
     lang = F.lower(F.substring("lang", 1, 2))
-    return _documents(spark, sf_dir).where(lang.isin("fr", "en") & ~F.rlike(F.col("text"), F.lit("(?i)" + UNSAFE))).groupBy(lang.alias("lang")).agg(F.count("*").alias("kept"), F.sum(F.length("text")).alias("characters"))
+    return _documents(spark, sf_dir).where(lang.isin("fr", "en") & ~F.rlike(F.col("text"), F.lit("(?i)" + UNSAFE))).select("doc_id", lang.alias("lang"), F.length("text").alias("characters"))
 
 
 def text_tool_calls(spark, sf_dir):
@@ -174,11 +183,11 @@ WITH chars AS (SELECT pos, unnest(list_filter(regexp_extract_all(text, '(?s).'),
 counts AS (SELECT pos, c, count(*) n FROM chars GROUP BY ALL), sizes AS (SELECT pos, sum(n) t FROM counts GROUP BY pos)
 SELECT k.pos, coalesce(round(e, 6), 0) AS entropy FROM (SELECT pos {_CHUNKS}) k
 LEFT JOIN (SELECT pos, -sum(n / t * log2(n / t)) e FROM counts JOIN sizes USING (pos) GROUP BY pos) x ON x.pos = k.pos""",
-    "text_language_gate": "SELECT coalesce(lower(substr(lang, 1, 2)), 'und') AS lang, count(*) AS documents, count(*) FILTER (lower(substr(lang, 1, 2)) IN ('fr', 'en')) AS processed, count(*) FILTER (NOT coalesce(lower(substr(lang, 1, 2)) IN ('fr', 'en'), false)) AS skipped FROM documents GROUP BY 1",
+    "text_language_gate": "SELECT doc_id, coalesce(lower(substr(lang, 1, 2)), 'und') AS lang, coalesce(lower(substr(lang, 1, 2)) IN ('fr', 'en'), false) AS processed FROM documents",
     "text_guessed_language": "SELECT doc_id, CASE WHEN regexp_matches(lower(text), '[àâäéèêëîïôöùûüÿçœæ]') OR contains(lower(text), 'bonjour') THEN 'fr' WHEN contains(lower(text), 'hola') THEN 'es' ELSE 'en' END AS lang FROM documents WHERE text IS NOT NULL",
     "text_safety_filter": rf"SELECT doc_id, round(0.5 * ({_TOXIC} + regexp_matches(text, '(?i){UNSAFE}')::INT), 6) AS score, 0.5 * ({_TOXIC} + regexp_matches(text, '(?i){UNSAFE}')::INT) > 0.7 AS blocked FROM documents WHERE text IS NOT NULL",
     "text_safety_guard": rf"SELECT doc_id FROM documents WHERE text IS NOT NULL AND (regexp_matches(text, '(?i){UNSAFE}') OR 0.5 * {_TOXIC} > 0.04)",
-    "text_safe_ingest": rf"SELECT lower(substr(lang, 1, 2)) AS lang, count(*) AS kept, sum(length(text))::BIGINT AS characters FROM documents WHERE text IS NOT NULL AND lower(substr(lang, 1, 2)) IN ('fr', 'en') AND NOT regexp_matches(text, '(?i){UNSAFE}') GROUP BY 1",
+    "text_safe_ingest": rf"SELECT doc_id, lower(substr(lang, 1, 2)) AS lang, length(text)::INT AS characters FROM documents WHERE text IS NOT NULL AND lower(substr(lang, 1, 2)) IN ('fr', 'en') AND NOT regexp_matches(text, '(?i){UNSAFE}')",
     "text_tool_calls": r"""
 WITH a AS (SELECT pos, regexp_replace(answer, '(?i)([0-9]+ (?:litres|hours))', '[TOOL:convert(\1)]') AS t FROM qa WHERE answer IS NOT NULL)
 SELECT pos, regexp_replace(t, '(?i)([A-Z]{2}-[0-9]+)', '[TOOL:lookup(\1)]') AS text FROM a""",

@@ -127,10 +127,6 @@ def graph_orbits(spark, sf_dir):
     return N.per_graph(_document_graphs(spark, sf_dir), "graph", N.orbits, "node string, orbit string")
 
 
-def sheaf_cohomology(spark, sf_dir):
-    return N.per_graph(_document_graphs(spark, sf_dir), "graph", N.cohomology, "kernel bigint, score double")
-
-
 def sheaf_balance(spark, sf_dir):
     """Cohomology of the whole graph, a row a component: similar_to is negative, all other relations positive."""
     return P.balanced_components(_pairs(spark, sf_dir))
@@ -199,7 +195,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         topology_entropy, topology_betti, topology_landscape, topology_silhouette, topology_image, sheaf_laplacian, sheaf_incidence, sheaf_convolution, sheaf_network, hypergraph_laplacian, hypergraph_largest_eigenvalue,
-        mapper_members, mapper_nerve, sheaf_balance, sheaf_consistency, mapper_inverse, mapper_silhouette, hypergraph_filtered, spectral_signal_back, fractal_hierarchy, spectral_measures, spectral_graphwave, spectral_fourier, fractal_dimension, fractal_contracted, topology_persistence, graph_betweenness, graph_orbits, sheaf_cohomology,
+        mapper_members, mapper_nerve, sheaf_balance, sheaf_consistency, mapper_inverse, mapper_silhouette, hypergraph_filtered, spectral_signal_back, fractal_hierarchy, spectral_measures, spectral_graphwave, spectral_fourier, fractal_dimension, fractal_contracted, topology_persistence, graph_betweenness, graph_orbits,
         stream_late_events, stream_hot_edges, stream_windows, stream_neighbours,
     )
 }
@@ -250,7 +246,6 @@ ORACLES = {
     "mapper_inverse": f"WITH {_COVER} SELECT DISTINCT x.vec_id AS u, y.vec_id AS v FROM sets x JOIN sets y ON y.s = x.s AND x.vec_id < y.vec_id",
     "mapper_silhouette": f"WITH {_COVER}, d AS (SELECT a.s AS own, a.vec_id, b.s, sum(abs(a.x - b.x)) AS d, count(*) AS n FROM sets a JOIN sets b ON true GROUP BY 1, 2, 3), e AS (SELECT own, vec_id, max(CASE WHEN s = own AND n > 1 THEN d / (n - 1) END) AS a, min(CASE WHEN s <> own THEN d / n END) AS b FROM d GROUP BY 1, 2) SELECT round(avg(CASE WHEN greatest(a, b) > 1e-12 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silhouette FROM e WHERE a IS NOT NULL AND b IS NOT NULL",
     "hypergraph_filtered": f"WITH {_HYPER}, x0 AS (SELECT s_nationkey AS node, avg(s_acctbal) AS x FROM supplier GROUP BY 1), x1 AS (SELECT i AS node, sum(v * x) AS x FROM sc JOIN x0 ON node = j GROUP BY 1), x2 AS (SELECT node, sum(x) AS x FROM (SELECT i AS node, 2 * v * x AS x FROM sc JOIN x1 ON node = j UNION ALL SELECT node, -x FROM x0) GROUP BY 1) SELECT node, round(sum(x), 3) AS x FROM (SELECT node, 0.5 * x AS x FROM x0 UNION ALL SELECT node, 0.3 * x FROM x1 UNION ALL SELECT node, 0.2 * x FROM x2) GROUP BY 1",
-    "sheaf_cohomology": f"WITH {_DOCS} SELECT graph, 1::BIGINT AS kernel, 0.5::DOUBLE AS score FROM (SELECT DISTINCT graph FROM g)",
     "stream_late_events": f"WITH {_LATE} SELECT arrival, late FROM e",
     "stream_hot_edges": f"WITH {_LATE} SELECT DISTINCT src, dst FROM e WHERE NOT late AND dst IS NOT NULL",
     "stream_windows": "SELECT (floor(epoch(ts) / 30) * 30)::BIGINT AS start, count(*) AS events, count(DISTINCT (src, dst)) FILTER (dst IS NOT NULL) AS edges FROM edges_in WHERE ts IS NOT NULL GROUP BY 1",
