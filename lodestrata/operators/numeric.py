@@ -146,6 +146,19 @@ def box_cover(d: np.ndarray, radius: int) -> list[list[int]]:
     return boxes
 
 
+def overlapping_balls(a: np.ndarray, names: list[str], radius: int = 1) -> list[tuple]:
+    """(``ball``, ``node``): greedy balls around the first node not yet covered, with all within ``radius``, covered before or not."""
+    d = distances(a)
+    free = np.ones(len(d), dtype=bool)
+    out = []
+    while free.any():
+        seed = int(np.flatnonzero(free)[0])
+        inside = np.flatnonzero(d[seed] <= radius)
+        free[inside] = False
+        out += [(names[seed], names[i]) for i in inside]
+    return out
+
+
 def box_dimension(a: np.ndarray, _names: list[str], radii: tuple[int, ...] = (1, 2, 3)) -> list[tuple]:
     """Boxes at each radius and the slope of their logarithms; 0 where it can't be fitted."""
     d = distances(a)

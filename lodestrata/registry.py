@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
-PLANS = ("slice", "text", "graph", "measures", "search", "topology", "building", "analysis", "segments", "elements", "retrieval", "metrics")
+PLANS = ("slice", "text", "graph", "measures", "search", "topology", "building", "analysis", "segments", "elements", "retrieval", "metrics", "layers")
 
 
 def _plans() -> list:

@@ -7,8 +7,8 @@ from itertools import permutations
 import numpy as np
 import pytest
 
-from lodestrata.operators import metrics, shapes
-from lodestrata.operators.numeric import laplacian
+from lodestrata.operators import layers, metrics, shapes
+from lodestrata.operators.numeric import laplacian, overlapping_balls
 
 PATH4 = np.diag(np.ones(3), 1) + np.diag(np.ones(3), -1)
 STAR = np.zeros((5, 5))
@@ -103,3 +103,9 @@ def test_paths_code_units_and_pairs(tmp_path):
     assert metrics.lenient_pairs('broken {"question": "q", "answer": "a \\"x\\""') == [("q", 'a "x"')] and metrics.lenient_pairs(None) == []
     assert metrics.task_of(["prompt", "chosen", "rejected"]) == "rlhf" and metrics.task_of(["text", "label"]) == "classification" and metrics.task_of(["a"], "own") == "own"
     assert metrics.accumulation_steps(10, 4) == 3 and metrics.accumulation_steps(10, 0) == 10 and metrics.missing_fields("CURATE", ["question"]) == ["answer", "rating"]
+
+
+def test_balls_and_radii():
+    assert overlapping_balls(PATH4, list("abcd")) == [("a", "a"), ("a", "b"), ("c", "b"), ("c", "c"), ("c", "d")]
+    counts = {1.0: 100, 2.0: 90, 4.0: 30, 8.0: 5}
+    assert layers.steep_radius(counts, 0.8) == 4.0 and layers.steep_radius(counts, 9.0) is None and layers.steep_radius({1.0: 3}, 0.1) is None
