@@ -32,6 +32,8 @@ from lodestrata.tables import table
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.json"
 PIECE_CACHE = 400_000
+#: Ids that are decoded in one aggregation.
+DECODED_IDS = 200_000
 #: A task has one core; nothing is spilled to a folder of its node.
 DUCKDB = {"threads": 1, "memory_limit": "500MB", "temp_directory": ""}
 #: Pieces with more bytes are contracted in calls of their own, so that one odd text doesn't swell a batch's query.
@@ -175,7 +177,7 @@ def encode_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", vocab
 
 DECODE = """
 SELECT place, string_agg(piece, '' ORDER BY pos) AS text
-FROM (SELECT place, unnest(ids) AS id, generate_subscripts(ids, 1) AS pos FROM listed) JOIN vocabulary USING (id) GROUP BY place
+FROM listed JOIN vocabulary USING (id) GROUP BY place
 """
 
 
@@ -203,12 +205,18 @@ def decode_ids(encoded: DataFrame, key: str = "doc_id", ids: str = "ids", vocabu
         db.execute("CREATE TABLE vocabulary AS SELECT * FROM vocabulary_arrow")
         byte_of = str.maketrans({c: chr(b) for b, c in enumerate(_byte_alphabet())})
         for batch in batches:
-            db.register("listed", pa.table({"place": pa.array(range(batch.num_rows), pa.int32()), "ids": batch.column(1)}))
-            found = db.sql(DECODE).to_arrow_table()
-            db.unregister("listed")
-            texts = [""] * batch.num_rows
-            for place, text in zip(found["place"].to_pylist(), found["text"].to_pylist()):
-                texts[place] = text.translate(byte_of).encode("latin-1").decode("utf-8", "replace")
+            counts = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy()
+            flat, places = batch.column(1).flatten(), np.repeat(np.arange(batch.num_rows, dtype=np.int32), counts)
+            coded = [""] * batch.num_rows
+            # so many ids at once that the aggregation's memory is bounded; a text may go on in the next
+            for begin in range(0, len(flat), DECODED_IDS):
+                part = flat.slice(begin, DECODED_IDS)
+                db.register("listed", pa.table({"place": places[begin : begin + DECODED_IDS], "pos": np.arange(len(part), dtype=np.int32), "id": part}))
+                found = db.sql(DECODE).to_arrow_table()
+                db.unregister("listed")
+                for place, text in zip(found["place"].to_pylist(), found["text"].to_pylist()):
+                    coded[place] += text
+            texts = [text.translate(byte_of).encode("latin-1").decode("utf-8", "replace") for text in coded]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, "text"])
 
     kind = encoded.schema[key].dataType.simpleString()
