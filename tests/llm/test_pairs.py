@@ -158,6 +158,15 @@ def test_ambiguous_initials_stay_apart(spark):
     assert found == [["Jonathan Salvirvund", "Jonathan Salvirvunt"], ["Josephine Salvirvnd", "Josephine Salvirvund"]]
 
 
+def test_every_name_is_compared(spark):
+    # strings of chunks that lead to a known name only by others, names of two letters, an abbreviation with a wrong first letter, a name in either field
+    chunks = ["Paul Gifieldow", "P. Gifieldow", "Gifieldow, P.", "Wu, Li", "Upper Gilton", "Upper Gilten"]
+    found = grouped(names(spark, ["Paul Salvirvund", "Li Wu", "Kemnkendex Agronomy Laboratory", "Max Dusfirtell"], ["Kemnkendex Agron. Lab.", "Munichen University", "Munichen Nivers.", "Max Dusfirtell Institute"], chunks))
+    assert found == sorted(
+        [sorted(chunks[:3]), ["Li Wu", "Wu, Li"], ["Kemnkendex Agron. Lab.", "Kemnkendex Agronomy Laboratory"], ["Munichen Nivers.", "Munichen University"]]
+    )
+
+
 def test_names_of_no_rows(spark):
     table = names(spark, ["x"], [], []).limit(0)
     assert name_variants.same_names(table).count() == 0
