@@ -97,11 +97,14 @@ def linear_mmd(one: DataFrame, other: DataFrame, vec: str) -> DataFrame:
 
 def renyi_epsilon(budgets: DataFrame, key: str, epsilon: str, orders: range = range(2, 33)) -> DataFrame:
     """(``key``, ``epsilon``): least over the orders a of ln(sum exp((a - 1) e)) / (a - 1), by log-sum-exp."""
-    rows = budgets.select(F.col(key).alias("k"), F.col(epsilon).alias("e"), F.explode(F.sequence(F.lit(orders.start), F.lit(orders.stop - 1))).alias("a"))
-    rows = rows.withColumn("x", (F.col("a") - 1) * F.col("e"))
-    peak = rows.groupBy("k", "a").agg(F.max("x").alias("m"))
-    summed = rows.join(peak, ["k", "a"]).groupBy("k", "a", "m").agg(F.sum(F.exp(F.col("x") - F.col("m"))).alias("s"))
-    return summed.withColumn("v", (F.col("m") + F.log("s")) / (F.col("a") - 1)).groupBy(F.col("k").alias(key)).agg(F.min("v").alias("epsilon"))
+    rows = budgets.select(F.col(key).alias("k"), F.col(epsilon).cast("double").alias("e"))
+    # orders exceed 1, so the greatest e has the greatest exponent of every order: a row a key, and no row is repeated for each order
+    peak = rows.groupBy("k").agg(F.max("e").alias("m"))
+    x = lambda a, c: (a - 1) * F.col(c)
+    sums = [F.sum(F.exp(x(a, "e") - x(a, "m"))).alias(f"s{a}") for a in orders]
+    # sorted rather than hashed or broadcast: keys grow with the rows
+    summed = rows.join(peak.hint("merge"), "k").groupBy("k", "m").agg(*sums)
+    return summed.select(F.col("k").alias(key), F.array_min(F.array(*[(x(a, "m") + F.log(f"s{a}")) / (a - 1) for a in orders])).alias("epsilon"))
 
 
 def recall_at_k(found: DataFrame, truth: DataFrame, k: int) -> DataFrame:
