@@ -86,11 +86,14 @@ def capitalized_names(text: Column) -> Column:
 def stated_facts(text: Column) -> Column:
     """Facts (subject, predicate, object) in sentences such as ``X is the Y.`` and ``X was born in Y.``."""
 
-    def found(pattern: str, predicate: str) -> Column:
-        pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("s"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("o"))
+    def found(words: str, pattern: str, predicate: str) -> Column:
+        # texts without the words are not searched; a match begins where a run of letters and blanks does, so its middle is not tried
+        held = F.when(F.contains(text, F.lit(words)), text).otherwise(F.substr(text, F.lit(1), F.lit(0)))
+        part = lambda i: F.regexp_extract_all(held, F.lit(f"(?<![A-Za-z ]){pattern}"), F.lit(i))
+        pairs = F.arrays_zip(part(1).alias("s"), part(2).alias("o"))
         return F.transform(pairs, lambda p: F.struct(F.trim(p["s"]).alias("subject"), F.lit(predicate).alias("predicate"), F.trim(p["o"]).alias("object")))
 
-    return F.concat(found(r"([A-Za-z ]+) is (?:the )?([A-Za-z ]+)\.", "is"), found(r"([A-Za-z ]+) was born in ([A-Za-z ]+)\.", "born_in"))
+    return F.concat(found(" is ", r"([A-Za-z ]+) is (?:the )?([A-Za-z ]+)\.", "is"), found(" was born in ", r"([A-Za-z ]+) was born in ([A-Za-z ]+)\.", "born_in"))
 
 
 def stated_triplets(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
@@ -14,6 +15,7 @@ from lodestrata.functions import text as T
 from lodestrata.functions import vectors as V
 from lodestrata.operators import graph as G
 from lodestrata.operators import greedy, numeric, sampling, topology
+from lodestrata.operators.building import fact_edges, fact_rows
 from lodestrata.operators.components import connected_components
 from lodestrata.operators.measures import hyper_adamic_adar, indexed_percentile, renyi_epsilon
 from lodestrata.streaming import edges as E
@@ -322,3 +324,30 @@ def test_sounds(spark, tmp_path):
     (tmp_path / "b.wav").write_bytes(b"no sound")
     found = {r.path[-5:]: r for r in read_sounds(spark, str(tmp_path)).collect()}
     assert found["a.wav"].valid and found["a.wav"].seconds == 1.0 and not found["b.wav"].valid and found["b.wav"].rate is None
+
+
+def _operators(frame) -> str:
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_renyi_repeats_no_row_and_broadcasts_none(spark):
+    budgets = spark.createDataFrame([("t", 0.3), ("t", 1.2), ("t", None), ("u", None), (None, 1.0), ("v", 800.0), ("v", 800.0), ("w", -2.0)], "t string, e double")
+    frame = renyi_epsilon(budgets, "t", "e")
+    said = _operators(frame)
+    assert "Generate" not in said and "Broadcast" not in said
+    found = {r.t: r.epsilon for r in frame.collect()}
+    expected = min(math.log(math.exp((a - 1) * 0.3) + math.exp((a - 1) * 1.2)) / (a - 1) for a in range(2, 33))
+    assert set(found) == {"t", "u", "v", "w"} and found["u"] is None and math.isclose(found["t"], expected)
+    assert math.isclose(found["v"], 800 + math.log(2) / 31) and math.isclose(found["w"], -2.0)
+
+
+def test_facts_are_found_once_for_their_edges(spark):
+    texts = ["It is. Ada is the queen of France. x is y", "a is b is c. d is e.", "Bo was born in Rome. Bo is the  is z.", " is . q", "é is big. ok, he is the. Now it is the end.", "nothing", None]
+    chunks = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "id string, text string")
+    edges = fact_edges(fact_rows(chunks))
+    assert "regexp_extract_all" not in _operators(edges)
+    got = sorted((r.subject, r.predicate, r.object) for r in fact_rows(chunks).collect())
+    want = [(s.strip(" "), p, o.strip(" ")) for t in texts if t for r, p in ((r"([A-Za-z ]+) is (?:the )?([A-Za-z ]+)\.", "is"), (r"([A-Za-z ]+) was born in ([A-Za-z ]+)\.", "born_in")) for s, o in re.findall(r, t)]
+    assert got == sorted(want) and len(want) > 5
+    assert edges.count() == 3 * len(want) + len(set(want))
