@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lodestrata.functions import text as T
 from lodestrata.functions import vectors as V
 from lodestrata.operators import graph as G
-from lodestrata.operators import greedy, numeric, sampling, topology
+from lodestrata.operators import greedy, numeric, retrieval, sampling, search, topology
 from lodestrata.operators.building import fact_edges, fact_rows
 from lodestrata.operators.components import connected_components
 from lodestrata.operators.measures import hyper_adamic_adar, indexed_percentile, renyi_epsilon
@@ -351,3 +351,20 @@ def test_facts_are_found_once_for_their_edges(spark):
     want = [(s.strip(" "), p, o.strip(" ")) for t in texts if t for r, p in ((r"([A-Za-z ]+) is (?:the )?([A-Za-z ]+)\.", "is"), (r"([A-Za-z ]+) was born in ([A-Za-z ]+)\.", "born_in")) for s, o in re.findall(r, t)]
     assert got == sorted(want) and len(want) > 5
     assert edges.count() == 3 * len(want) + len(set(want))
+
+
+@pytest.mark.parametrize("terms, queries", ((2_000_000, 4_000), (3, 4)))
+def test_similar_texts_equal_the_join_and_shuffle_no_pair(spark, monkeypatch, terms, queries):
+    monkeypatch.setattr(retrieval, "HELD_TERMS", terms)
+    monkeypatch.setattr(retrieval, "HELD_QUERIES", queries)
+    rng = np.random.default_rng(3)
+    rows = [(f"k{i:03}", " ".join(f"w{x}" for x in rng.zipf(1.5, rng.integers(0, 12)) % 40)) for i in range(150)] + [("z1", None), ("z2", "w1 w1"), ("z3", "Ünik"), ("a0", "w1 W1")]
+    texts = spark.createDataFrame(rows, "key string, text string").repartition(3)
+    asked = texts.where("key LIKE '%0'").select(F.col("key").alias("query"))
+    frame = retrieval.similar_texts(texts, asked, "key", "text", 3)
+    assert "SortMergeJoin" not in (said := _operators(frame)) and "BroadcastHashJoin" not in said
+    index = search.tfidf(texts, "key", "text")
+    own = index.join(asked.withColumnRenamed("query", "key"), "key", "left_semi").select(F.col("key").alias("query"), "term", F.col("weight").alias("own"))
+    scores = own.join(index, "term").where("query <> key").groupBy("query", "key").agg(F.round(F.sum(F.col("own") * F.col("weight")), 9).alias("score"))
+    plain = lambda f: sorted((r.query, r["rank"], r.key, round(r.score, 7)) for r in f.collect())
+    assert plain(frame) == plain(search.top_k(scores, "query", 3, "score", "key"))
