@@ -98,7 +98,8 @@ def stated_facts(text: Column) -> Column:
 
 def stated_triplets(text: Column) -> Column:
     """Lower-cased (subject, predicate, object) with a verb of a small vocabulary."""
-    pattern = r"(?i)([A-Za-z_]+)\s+(is|likes|has|eats|knows|located_in|capital_of)\s+([A-Za-z_]+)"
+    # a match begins where a word does, so no middle of a word is tried
+    pattern = r"(?i)(?<![A-Za-z_])([A-Za-z_]+)\s+(is|likes|has|eats|knows|located_in|capital_of)\s+([A-Za-z_]+)"
     parts = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(f"g{i}") for i in (1, 2, 3)))
     return F.transform(parts, lambda p: F.struct(F.lower(p["g1"]).alias("subject"), F.lower(p["g2"]).alias("predicate"), F.lower(p["g3"]).alias("object")))
 

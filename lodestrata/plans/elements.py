@@ -138,9 +138,7 @@ def walk_entity_chunks(spark, sf_dir):
 
 def graph_linked_sections_by_entity(spark, sf_dir):
     """Sections that state something about the same subject."""
-    edges = _facts(spark, sf_dir)
-    about = G.related(edges, "subject").select(F.col("src").alias("fact"), F.col("dst").alias("entity"))
-    return G.co_mentions(L.fact_sections(edges).join(about, "fact"), "section", "entity")
+    return G.co_mentions(L.section_subjects(_lines(spark, sf_dir)), "section", "entity")
 
 
 def graph_found_facts(spark, sf_dir):

@@ -368,3 +368,16 @@ def test_similar_texts_equal_the_join_and_shuffle_no_pair(spark, monkeypatch, te
     scores = own.join(index, "term").where("query <> key").groupBy("query", "key").agg(F.round(F.sum(F.col("own") * F.col("weight")), 9).alias("score"))
     plain = lambda f: sorted((r.query, r["rank"], r.key, round(r.score, 7)) for r in f.collect())
     assert plain(frame) == plain(search.top_k(scores, "query", 3, "score", "key"))
+
+
+def test_linked_sections_join_subjects_only(spark, small):
+    from lodestrata.plans.elements import _facts, graph_linked_sections_by_entity
+    from lodestrata.operators.elements import fact_sections
+
+    frame = graph_linked_sections_by_entity(spark, small)
+    said = _operators(frame)
+    assert "regexp_extract_all" not in said and "under_section" not in said
+    walked = _facts(spark, small)
+    about = G.related(walked, "subject").select(F.col("src").alias("fact"), F.col("dst").alias("entity"))
+    expected = G.co_mentions(fact_sections(walked).join(about, "fact"), "section", "entity")
+    assert sorted(map(tuple, frame.collect())) == sorted(map(tuple, expected.collect()))
