@@ -1,20 +1,15 @@
 """Problem 2: for every vector the most similar ones of its space.
 
-Collision counting with virtual rehashing, on unit vectors (cosine and Euclidean distance
-agree there).  Every vector is projected on single random directions.  A table is an array of
-buckets, each sorted by one projection; a query's window on it holds the vectors whose
-projection lies within ``WINDOW`` radii.  In the window, collisions in ``COUNTED`` further single
-projections are counted, and pairs with at least ``COLLISIONS`` of them are verified by their exact cosine.
-
-All windows grow with the radius (virtual rehashing): projections and offsets stay, cells and windows become three times as
-wide, each cell the union of three.  The first level has a small radius, and a vector with ``k`` verified neighbours
-within it has its neighbours for certain and asks no more, so dense groups end there.  Windows on single projections alone hold a constant share of all vectors (random
-directions tell little in 64 dimensions), which makes the self-join quadratic; so each
-table splits the vectors by a few more projections first.  Splits and tables follow from the number of vectors, so that
-buckets keep their size and the recall stated in the README stays.
-
-The last radius is that of ``COSINE``, the limit of ``p2_found``.  ``p2_neighbours`` has no limit: its last level takes in the
-whole space, so vectors with fewer than ``k`` verified neighbours are compared with every vector, tile by tile (quadratic in them).
+Cells of random directions on unit vectors.  A table has two sets of signed axes of random rotations.  A vector is sent under
+the ``SENT`` axes of the first set that lie nearest to it, as a code of four bits a number; where it arrives it is entered under the
+``ENTERED`` nearest axes of the second set, at no further cost of shuffling.  So each table has it in ``SENT * ENTERED`` cells, and all vectors of a cell
+are compared by their codes, in one product of matrices.  Pairs whose codes come within ``MARGIN`` of the limit are verified by their exact cosine;
+only vectors that occur in such a pair (a bitmap of fixed size tells most others) are shuffled whole.
+
+The number of axes follows from the number of vectors in a space, so that a cell of evenly spread vectors keeps some ``CELL`` of them; a small space is one cell,
+which compares all of it.  Whether two vectors meet depends on their angle and the number of axes only, as rotations are random.
+
+``p2_neighbours`` has no limit: vectors with fewer than ``k`` verified neighbours are compared with every vector of their space, tile by tile (quadratic in them).
 
 Vectors that are null, empty, of another length than their space, not finite or all zero are left out;
 a node counts once for each space (of different vectors, the least in order counts); equal vectors share one representative.
@@ -22,8 +17,9 @@ a node counts once for each space (of different vectors, the least in order coun
 
 from __future__ import annotations
 
-import math
-from functools import reduce
+import gc
+import time
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,160 +28,254 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestrata.llm.common import map_batches
+from lodestrata.llm.eval_leaks import BITMAP_BITS, _bitmap
 from lodestrata.session import cut
 from lodestrata.tables import table
 
 COSINE = 0.9
 NEIGHBOURS = 5
-WINDOW = 2.5
-BUCKET = 4.0
-COUNTED, COLLISIONS = 24, 18
-#: (projections that split a table, tables) of each level, for ``SPACE_ROWS`` vectors in a space.  The last radius is that of ``COSINE``, the others a third of the next.
-LEVELS = ((5, 10), (12, 72))
-SPACE_ROWS = 32_768
-GROWTH = 3
+#: Tables, axes of the first set that a vector is sent under in each, and axes of the second that it is entered under.
+TABLES, SENT, ENTERED = 7, 2, 3
+#: Vectors in a cell, and fewest axes of a set; a space with fewer is one cell.
+CELL, LEAST_AXES = 1_250, 4
+#: What codes may take off a cosine: more than four times the standard error of four bits in 33 dimensions.  Shorter vectors have eight bits.
+MARGIN, EIGHT_BITS = 0.09, 32
+#: Rows that are placed at once, rows of a cell compared at once, and pairs held at once.
+PLACED, CELL_ROWS, HELD_PAIRS = 32_768, 512, 1_000_000
+#: Nodes with several vectors that tasks may hold; more are joined.
+HELD_NODES = 200_000
+#: Seconds after which the JVM has heard of what Python let go.
+RELEASE_S = 2
 _SEED = 77_003
-#: Pairs made at once within a bucket.
-BLOCK = 1_000_000
 #: Vectors on a side of a tile, rows of a tile compared at once, and how many more than k single precision may put in another order.
 TILE, TILE_ROWS, SPARE = 16_384, 512, 4
 
 
-def usable_vectors(vectors: DataFrame, space: str = "space", node: str = "node_id", vec: str = "vec") -> DataFrame:
-    """(``space``, ``node``, ``vec``, ``rep``): unit vectors, each node once a space; ``rep`` is shared by equal vectors."""
-    rows = vectors.select(F.col(space).alias("space"), F.col(node).alias("node"), F.col(vec).cast("array<double>").alias("vec")).where("space IS NOT NULL AND node IS NOT NULL AND size(vec) > 0")
-    # a space's length is that of most of its vectors; one small row a space and length
-    lengths = rows.groupBy("space", F.size("vec").alias("n")).agg(F.count("*").alias("rows"))
-    full = lengths.groupBy("space").agg(F.max_by("n", F.struct("rows", "n")).alias("n"))
-    rows = rows.join(F.broadcast(full), "space").where(F.size("vec") == F.col("n"))
-    rows = rows.where(~F.exists("vec", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
-    rows = rows.groupBy("space", "node").agg(F.min("vec").alias("vec")).withColumn("norm", norm).where("norm > 0")
-    unit = F.transform("vec", lambda x: x / F.col("norm")).cast("array<float>")
-    rows = rows.select("space", "node", unit.alias("vec"))
-    return rows.withColumn("rep", F.xxhash64("space", "vec"))
-
-
-def radius(level: int) -> float:
-    return (2 - 2 * COSINE) ** 0.5 * 1.0002 / GROWTH ** (len(LEVELS) - 1 - level)
-
-
-def layout(rows: int) -> tuple[tuple[int, int], ...]:
-    """``LEVELS`` for so many vectors in a space.
-
-    A split leaves unrelated vectors together with 0.45, vectors at the radius with 0.8 (cells of four radii), so each
-    one more than halves buckets and asks for a quarter more tables.
-    """
-    more = max(0, math.ceil(math.log(max(1, rows) / SPACE_ROWS) / math.log(1 / 0.447)))
-    return tuple((splits + more, math.ceil(tables * 1.25**more)) for splits, tables in LEVELS)
-
-
-def _directions(dimensions: int, levels: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The projections of all levels: splits and the array of each table, the counted ones, and offsets of cells."""
-    splits, tables = levels[-1]
-    rng = np.random.default_rng(_SEED + dimensions)
-    ranks = rng.standard_normal((dimensions, tables, splits + 1)).astype(np.float32)
-    return ranks, rng.standard_normal((dimensions, COUNTED)).astype(np.float32), rng.uniform(0, BUCKET * radius(len(levels) - 1), (tables, splits)).astype(np.float32)
-
-
-def _table_rows(points: DataFrame, level: int, levels: tuple[tuple[int, int], ...]) -> DataFrame:
-    """(``bucket``, ``rep``, ``asks``, ``at``, ``marks``) for each table: where a vector stands and its counted projections, in radii."""
-    splits, tables = levels[level]
-    unit = np.float32(radius(0))
-    wider = GROWTH**level
+def _units(rows: DataFrame, given: bool = False) -> DataFrame:
+    """(``space``, ``node``, ``vec``, ``many``, ``rep``): unit vectors of ``rows`` that are finite and not all zero, and with ``given`` the vectors as they were."""
 
     def make():
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            salts, reps, asks, vecs = batch.columns
+            vecs = batch.column(2)
             sizes = vecs.value_lengths().to_numpy()
-            out = []
+            which, units = [], []
             for n in np.unique(sizes):
-                rows = np.flatnonzero(sizes == n)
-                x = vecs.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), n)
-                ranks, counted, offsets = _directions(int(n), levels)
-                seen = np.einsum("rd,dts->rts", x, np.concatenate([ranks[:, :tables, :splits], ranks[:, :tables, -1:]], axis=2), optimize=True)
-                cells = np.floor((seen[:, :, :splits] + offsets[:tables, :splits]) / (BUCKET * unit)).astype(np.int64) // wider
-                at = seen[:, :, splits] / (unit * wider)
-                marks = np.clip(np.rint(x @ counted / (unit * wider) * 8), -32767, 32767).astype(np.int16)
-                bucket = np.broadcast_to(np.arange(tables, dtype=np.int64), (len(rows), tables)) + salts.to_numpy()[rows][:, None]
-                bucket = bucket.astype(np.uint64)
-                for i in range(splits):
-                    bucket = (bucket ^ (bucket >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + cells[:, :, i].astype(np.uint64)
-                    bucket = (bucket ^ (bucket >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-                coded = marks.tobytes()
-                width = COUNTED * 2
-                coded = pa.array([coded[i * width : (i + 1) * width] for i in range(len(rows))], pa.binary())
-                each = np.repeat(np.arange(len(rows)), tables)
-                out.append(
-                    pa.RecordBatch.from_arrays(
-                        [pa.array(bucket.view(np.int64).ravel()), pa.array(reps.to_numpy()[rows][each]), pa.array(asks.to_numpy(zero_copy_only=False)[rows][each]), pa.array(at.ravel()), coded.take(pa.array(each))],
-                        names=["bucket", "rep", "asks", "at", "marks"],
-                    )
-                )
-            return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
+                own = np.flatnonzero(sizes == n)
+                x = vecs.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), n).astype(np.float64)
+                most = np.abs(x).max(axis=1)
+                sound = np.isfinite(most) & (most > 0)
+                own, x = own[sound], x[sound] / most[sound, None]
+                which.append(own)
+                # no negative zeros: equal vectors have equal hashes
+                units.append((x / np.sqrt((x * x).sum(axis=1))[:, None]).astype(np.float32) + np.float32(0))
+            if not which:
+                return None
+            taken = pa.array(np.concatenate(which))
+            lengths = np.concatenate([np.full(len(u), u.shape[1]) for u in units])
+            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            unit = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([u.ravel() for u in units])))
+            columns = [batch.column(0).take(taken), batch.column(1).take(taken), unit, batch.column(3).take(taken)]
+            return pa.RecordBatch.from_arrays([*columns, vecs.take(taken)] if given else columns, names=["space", "node", "vec", "many", *["given"] * given])
 
         return run
 
-    rows = points.select(F.xxhash64("space").alias("salt"), "rep", "asks", "vec")
-    return map_batches(rows, make, "bucket bigint, rep bigint, asks boolean, at float, marks binary")
+    kinds = {name: rows.schema[name].dataType.simpleString() for name in ("space", "node", "vec")}
+    schema = f"space {kinds['space']}, node {kinds['node']}, vec array<float>, many bigint" + f", given {kinds['vec']}" * given
+    return map_batches(rows.select("space", "node", "vec", "many"), make, schema).withColumn("rep", F.xxhash64("space", "vec"))
+
 
+def usable_vectors(vectors: DataFrame, space: str = "space", node: str = "node_id", vec: str = "vec") -> tuple[DataFrame, DataFrame]:
+    """Rows (``space``, ``node``, ``vec``, ``many``, ``rep``) of unit vectors, in which a node and vector may be repeated, and (``space``, ``node``, ``rep``), each node once a space.
+
+    ``rep`` is shared by equal vectors; ``many`` is about how many vectors the space has.
+    """
+    rows = vectors.select(F.col(space).alias("space"), F.col(node).alias("node"), F.col(vec).alias("vec")).where("space IS NOT NULL AND node IS NOT NULL AND size(vec) > 0")
+    # a space's length is that of most of its vectors; one small row a space and length
+    lengths = rows.groupBy("space", F.size("vec").alias("n")).agg(F.count("*").alias("rows"))
+    full = lengths.groupBy("space").agg(F.max_by(F.struct("n", F.col("rows").alias("many")), F.struct("rows", "n")).alias("most")).select("space", "most.*")
+    full = rows.join(F.broadcast(full), "space").where(F.size("vec") == F.col("n"))
+    rows = _units(full)
+    nodes = rows.groupBy("space", "node").agg(F.min("rep").alias("rep"), F.max("rep").alias("last")).persist(StorageLevel.DISK_ONLY)
+    mixed = nodes.where("rep <> last").select("space", "node")
+    if count := mixed.count():
+        held = F.broadcast if count <= HELD_NODES else lambda df: df
+        given = _units(full.join(held(mixed), ["space", "node"]), given=True)
+        least = cut(given.groupBy("space", "node").agg(F.min_by("rep", "given").alias("least")))
+        rows = rows.join(held(least), ["space", "node"], "left").where("least IS NULL OR rep = least").drop("least")
+        if count > HELD_NODES:
+            rows = rows.persist(StorageLevel.DISK_ONLY)
+        nodes = nodes.join(held(least), ["space", "node"], "left").withColumn("rep", F.coalesce("least", "rep"))
+    return rows, nodes.select("space", "node", "rep")
+
+
+def axes_for(rows: int) -> int:
+    """Axes of each of the two sets of a table for so many vectors in a space: 1 where all are compared."""
+    axes = round((rows * SENT * ENTERED / CELL) ** 0.5)
+    return axes if axes >= LEAST_AXES else 1
+
+
+@lru_cache(maxsize=64)
+def _axes(dimensions: int, count: int, number: int) -> np.ndarray:
+    """``count`` signed axes of as many random rotations as that takes."""
+    rng = np.random.default_rng((_SEED, dimensions, number))
+    turns = [np.linalg.qr(rng.standard_normal((dimensions, dimensions)))[0].T for _ in range(-(-count // (2 * dimensions)))]
+    both = np.concatenate([part for turn in turns for part in (turn, -turn)]).astype(np.float32)
+    return np.ascontiguousarray(both[rng.permutation(len(both))[:count]])
+
+
+@lru_cache(maxsize=8)
+def _turn(dimensions: int) -> np.ndarray:
+    """A random rotation, so that numbers are of a size whatever the vectors."""
+    return np.linalg.qr(np.random.default_rng((_SEED, dimensions)).standard_normal((dimensions, dimensions)))[0].astype(np.float32)
+
+
+def _nearest_axes(x: np.ndarray, axes: np.ndarray, count: int) -> np.ndarray:
+    """The ``count`` of ``axes`` nearest to each vector, nearest first."""
+    seen = x @ axes.T
+    out = np.empty((len(x), min(count, len(axes))), dtype=np.int64)
+    for i in range(out.shape[1]):
+        out[:, i] = seen.argmax(axis=1)
+        seen[np.arange(len(x)), out[:, i]] = -np.inf
+    return out
+
+
+#: The two numbers of a byte.
+_FOUR_BITS = np.stack([np.arange(256) >> 4, np.arange(256) & 15], axis=1).astype(np.float32) - 8
+
+
+def _coded(x: np.ndarray) -> np.ndarray:
+    """Codes of turned vectors, in parts of their greatest number: fifteen values of four bits, or of eight where there are few dimensions."""
+    most = np.abs(x).max(axis=1, keepdims=True)
+    if x.shape[1] <= EIGHT_BITS:
+        return (np.rint(x / most * 127) + 128).astype(np.uint8)
+    codes = (np.rint(x / most * 7) + 8).astype(np.uint8)
+    if codes.shape[1] % 2:
+        codes = np.concatenate([codes, np.full((len(codes), 1), 8, dtype=np.uint8)], axis=1)
+    return codes[:, ::2] << 4 | codes[:, 1::2]
+
+
+def _decoded(codes: np.ndarray, dimensions: int) -> np.ndarray:
+    if dimensions <= EIGHT_BITS:
+        x = codes.astype(np.float32) - 128
+    else:
+        x = _FOUR_BITS[codes].reshape(len(codes), -1)[:, :dimensions]
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """(``place``, ``number``, ``wide``, ``axes``, ``reps``, ``codes``): the codes of vectors for each axis that they are sent under, packed."""
+
+    def place(salt: np.ndarray, number: np.ndarray, axis: np.ndarray) -> np.ndarray:
+        out = salt.astype(np.int64).view(np.uint64)
+        for part in (number, axis):
+            out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64)
+            out = (out ^ (out >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        return out.view(np.int64)
+
+    def packed(parts: list[pa.RecordBatch]):
+        part = pa.Table.from_batches(parts).combine_chunks()
+        salts, reps, vecs, many = (part.column(i).chunk(0) for i in range(4))
+        salts, reps, many, sizes = salts.to_numpy(), reps.to_numpy(), many.to_numpy(), vecs.value_lengths().to_numpy()
+        for salt in np.unique(salts):
+            own = np.flatnonzero(salts == salt)
+            # copies are sent once
+            own = own[np.unique(reps[own], return_index=True)[1]]
+            wide, axes = int(sizes[own[0]]), axes_for(int(many[own[0]]))
+            x = vecs.take(pa.array(own)).flatten().to_numpy().reshape(len(own), wide) @ _turn(wide)
+            codes, own_reps = _coded(x), reps[own]
+            for number in range(TABLES if axes > 1 else 1):
+                near = _nearest_axes(x, _axes(wide, axes, 2 * number + 1), SENT)
+                order = np.argsort(near.ravel(), kind="stable")
+                axis, which = near.ravel()[order], order // near.shape[1]
+                starts = np.flatnonzero(np.concatenate([[True], axis[1:] != axis[:-1]]))
+                ends = np.concatenate([starts, [len(axis)]]).astype(np.int64)
+                binary = lambda data, size: pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends * size), pa.py_buffer(np.ascontiguousarray(data))])  # noqa: B023, E731
+                same = lambda value: pa.array(np.full(len(starts), value, dtype=np.int32))  # noqa: B023, E731
+                places = place(np.full(len(starts), salt), np.full(len(starts), number), axis[starts])
+                columns = [pa.array(places), same(number), same(wide), same(axes), binary(own_reps[which], 8).cast(pa.binary()), binary(codes[which], codes.shape[1]).cast(pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["place", "number", "wide", "axes", "reps", "codes"])
 
-def _colliding(rows: DataFrame) -> DataFrame:
-    """(``a``, ``b``) that stand in each other's window of a table, at least one asking, with enough collisions."""
+    def run(batches):
+        parts = []
+        for batch in batches:
+            for begin in range(0, batch.num_rows, PLACED):
+                parts.append(batch.slice(begin, PLACED))
+                if sum(p.num_rows for p in parts) >= PLACED:
+                    yield from packed(parts)
+                    parts = []
+        if parts:
+            yield from packed(parts)
+
+    rows = rows.select(F.xxhash64("space").alias("salt"), "rep", "vec", "many")
+    return rows.mapInArrow(run, "place bigint, number int, wide int, axes int, reps binary, codes binary")
+
+
+def _close(sent: DataFrame, cosine: float) -> DataFrame:
+    """(``a``, ``b``) that are in a cell together and whose codes come within ``MARGIN`` of ``cosine``; a pair for each place that has it."""
+    limit = cosine - MARGIN
+
+    def cells(x: np.ndarray, number: int, axes: int):
+        """Pairs of rows of each cell."""
+        if axes == 1:
+            yield from within(x, np.arange(len(x)))
+            return
+        near = np.concatenate([_nearest_axes(x[begin : begin + PLACED], _axes(x.shape[1], axes, 2 * number + 2), ENTERED) for begin in range(0, len(x), PLACED)])
+        order = np.argsort(near.ravel(), kind="stable")
+        ends = np.concatenate([[0], np.cumsum(np.bincount(near.ravel(), minlength=axes))])
+        for begin, end in zip(ends[:-1], ends[1:]):
+            which = order[begin:end] // near.shape[1]
+            yield from within(x[which], which)
+
+    def within(x: np.ndarray, which: np.ndarray):
+        for begin in range(0, len(x) - 1, CELL_ROWS):
+            part = x[begin : begin + CELL_ROWS]
+            c = part @ x[begin:].T
+            np.fill_diagonal(c, -2)
+            some = np.flatnonzero(c.max(axis=1) >= limit)
+            if len(some):
+                i, j = np.nonzero(c[some] >= limit)
+                # each pair once
+                after = j > some[i]
+                yield which[begin + some[i[after]]], which[begin + j[after]]
+
+    def compared(number: int, wide: int, axes: int, reps: list[bytes], codes: list[bytes]):
+        reps, first = np.unique(np.frombuffer(b"".join(reps), dtype=np.int64), return_index=True)
+        if len(reps) < 2:
+            return
+        x = np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(-1, wide if wide <= EIGHT_BITS else (wide + 1) // 2)
+        x = _decoded(x[first], wide)
+        held, count = [], 0
+
+        def pairs():
+            # rows are in the order of their representatives
+            i, j = (np.concatenate(side) for side in zip(*held))
+            both = np.unique(np.minimum(i, j) * len(reps) + np.maximum(i, j))
+            return pa.RecordBatch.from_arrays([pa.array(reps[both // len(reps)]), pa.array(reps[both % len(reps)])], names=["a", "b"])
+
+        for pair in cells(x, number, axes):
+            held.append(pair)
+            count += len(pair[0])
+            if count >= HELD_PAIRS:
+                yield pairs()
+                held, count = [], 0
+        if held:
+            yield pairs()
 
-    def pairs(batches):
-        # rows come sorted by bucket and place; those whose window may reach into the next batch wait, so no more than a window is held
-        rest = None
+    def run(batches):
+        current, kind, reps, codes = None, None, [], []
         for batch in batches:
-            part = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            if len(part):
-                bucket, at = part["bucket"].to_numpy(), part["at"].to_numpy()
-                last = int(np.searchsorted(bucket, bucket[-1]))
-                done = last + int(np.searchsorted(at[last:], at[-1] - WINDOW))
-                yield from _window_pairs(part, done)
-                rest = part.slice(done).combine_chunks()
-        if rest is not None and len(rest):
-            yield from _window_pairs(rest, len(rest))
-
-    placed = rows.repartition("bucket").sortWithinPartitions("bucket", "at")
-    return placed.mapInArrow(pairs, "a bigint, b bigint").distinct()
-
-
-def _window_pairs(part: pa.Table, done: int):
-    """Pairs of each of the first ``done`` rows with those after it in its window."""
-    bucket, rep, at = part["bucket"].to_numpy(), part["rep"].to_numpy(), part["at"].to_numpy()
-    asks = part["asks"].to_numpy()
-    n = len(bucket)
-    run_of = np.concatenate([[0], np.cumsum(bucket[1:] != bucket[:-1])])
-    # place within one long line: buckets lie further apart than any window
-    span = float(at.max() - at.min()) + 2 * WINDOW + 1 if n else 0
-    line = at.astype(np.float64) - float(at.min()) + run_of * span
-    ends = np.searchsorted(line, line + WINDOW, side="right")
-    width = (ends - np.arange(n) - 1)[:done]
-    if not width.sum():
-        return
-    marks = np.frombuffer(b"".join(part["marks"].to_pylist()), dtype=np.int16).reshape(n, COUNTED)
-    limit = np.int32(round(WINDOW * 8))
-    total = np.cumsum(width)
-    begin = 0
-    while begin < done:
-        stop = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + BLOCK, side="right")))
-        w = width[begin:stop]
-        i = np.repeat(np.arange(begin, stop), w)
-        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(w) - w, w)
-        keep = (asks[i] | asks[j]) & (rep[i] != rep[j])
-        i, j = i[keep], j[keep]
-        # the first eight projections settle most pairs
-        few = (np.abs(marks[i, :8].astype(np.int32) - marks[j, :8]) <= limit).sum(axis=1)
-        some = few >= 8 - (COUNTED - COLLISIONS)
-        i, j, few = i[some], j[some], few[some]
-        many = few + (np.abs(marks[i, 8:].astype(np.int32) - marks[j, 8:]) <= limit).sum(axis=1)
-        i, j = i[many >= COLLISIONS], j[many >= COLLISIONS]
-        if len(i):
-            a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-            both = np.unique(np.stack([a, b], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
-        begin = stop
+            for at, number, wide, axes, own, code in zip(*(column.to_pylist() for column in batch.columns)):
+                if at != current:
+                    if reps:
+                        yield from compared(*kind, reps, codes)
+                    current, kind, reps, codes = at, (number, wide, axes), [], []
+                reps.append(own)
+                codes.append(code)
+        if reps:
+            yield from compared(*kind, reps, codes)
+
+    partitions = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sent.repartition(partitions, "place").sortWithinPartitions("place").mapInArrow(run, "a bigint, b bigint")
 
 
 def _cosines(pairs: DataFrame, points: DataFrame, least: float) -> DataFrame:
@@ -195,33 +285,39 @@ def _cosines(pairs: DataFrame, points: DataFrame, least: float) -> DataFrame:
     return both.select("space", "a", "b", dot.alias("cosine")).where(F.col("cosine") >= least)
 
 
-def similar_pairs(vectors: DataFrame, k: int = NEIGHBOURS, cosine: float = COSINE) -> tuple[DataFrame, DataFrame]:
-    """Usable rows, and verified pairs (``space``, ``a``, ``b``, ``cosine``) of different representatives.
+def _occurring(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(``rep``, ``space``, ``vec``) of ``rows`` that may occur in ``pairs``: all that do, and few others."""
+    ids = pairs.select(F.col("a").alias("hash")).unionByName(pairs.select(F.col("b").alias("hash")))
+    shared = rows.sparkSession.sparkContext.broadcast(_bitmap(ids))
 
-    The pairs hold every representative's ``k`` most similar ones of at least ``cosine``, with the tables' recall.
-    """
-    usable = usable_vectors(vectors).persist(StorageLevel.DISK_ONLY)
-    # a representative stands for all nodes with its vector; with copies it has some neighbours already
-    points = usable.groupBy("rep").agg(F.first("space").alias("space"), F.first("vec").alias("vec"), F.count("*").alias("copies")).persist(StorageLevel.DISK_ONLY)
-    done = None
-    found = []
-    # one small row a space
-    levels = layout(points.groupBy("space").count().agg(F.max("count")).first()[0] or 0)
-    for level in range(len(levels)):
-        asking = points.withColumn("asks", F.lit(True)) if done is None else points.join(done.withColumn("done", F.lit(True)), "rep", "left").withColumn("asks", F.col("done").isNull())
-        least = cosine if level == len(LEVELS) - 1 else max(cosine, 1 - radius(level) ** 2 / 2)
-        pairs = cut(_cosines(_colliding(_table_rows(asking, level, levels)), points, least))
-        found.append(pairs)
-        sides = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep")))
-        done = sides.groupBy("rep").count().where(F.col("count") >= k).select("rep")
-    every = reduce(DataFrame.unionByName, found).distinct()
-    return usable, every
+    def make():
+        bits = shared.value
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            place = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITMAP_BITS)
+            return batch.filter(pa.array((bits[place >> np.uint64(5)] >> (place & np.uint64(31)).astype(np.uint32) & np.uint32(1)).astype(bool)))
+
+        return run
+
+    return map_batches(rows.select("rep", "space", "vec"), make, f"rep bigint, space {rows.schema['space'].dataType.simpleString()}, vec array<float>")
+
+
+def similar_pairs(rows: DataFrame, cosine: float = COSINE) -> DataFrame:
+    """(``space``, ``a``, ``b``, ``cosine``): the pairs of different representatives of at least ``cosine``, with the recall of the cells."""
+    pairs = cut(_close(_sent(rows), cosine).distinct())
+    # nothing refers to the shuffled codes any more; their files would stay until the driver happens to collect its garbage
+    for _ in range(2):
+        gc.collect()
+        time.sleep(RELEASE_S)
+        rows.sparkSession.sparkContext._jvm.System.gc()
+    points = _occurring(rows, pairs).groupBy("rep").agg(F.first("space").alias("space"), F.first("vec").alias("vec")).persist(StorageLevel.DISK_ONLY)
+    return cut(_cosines(pairs, points, cosine))
 
 
 def neighbour_pairs(vectors: DataFrame, k: int = NEIGHBOURS, cosine: float = COSINE) -> DataFrame:
     """(``space``, ``id_a``, ``id_b``): pairs of nodes of at least ``cosine`` of which one is among the ``k`` most similar of the other."""
-    usable, pairs = similar_pairs(vectors, k, cosine)
-    nodes = usable.select("space", "rep", "node")
+    rows, nodes = usable_vectors(vectors)
+    pairs = similar_pairs(rows, cosine)
     both = pairs.select("space", F.col("a").alias("rep"), F.col("b").alias("other"), "cosine").unionByName(pairs.select("space", F.col("b").alias("rep"), F.col("a").alias("other"), "cosine"))
     # most similar first; copies of a vector (cosine 1) come before all, ties share a rank, so no tied node is lost
     copies = nodes.groupBy("rep").agg(F.count("*").alias("copies"))
@@ -303,15 +399,16 @@ def exact_neighbours(points: DataFrame, asking: DataFrame, k: int) -> DataFrame:
 
 def nearest(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
     """(``space``, ``id``, ``other``, ``cosine``, ``rank``): the ``k`` most similar vectors of each representative, copies aside, however far."""
-    usable, pairs = similar_pairs(vectors, k)
-    points = usable.groupBy("rep").agg(F.first("space").alias("space"), F.first("vec").alias("vec")).select("space", "rep", "vec").persist(StorageLevel.DISK_ONLY)
+    rows, nodes = usable_vectors(vectors)
+    pairs = similar_pairs(rows)
+    points = rows.groupBy("rep").agg(F.first("space").alias("space"), F.first("vec").alias("vec")).select("space", "rep", "vec").persist(StorageLevel.DISK_ONLY)
     both = pairs.select(F.col("a").alias("rep"), F.col("b").alias("near"), "cosine").unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("near"), "cosine"))
     both = both.groupBy("rep", "near").agg(F.max("cosine").alias("cosine"))
     done = both.groupBy("rep").count().where(F.col("count") >= k)
     rest = exact_neighbours(points, points.join(done, "rep", "left_anti"), k)
     every = both.unionByName(rest).groupBy("rep", "near").agg(F.max("cosine").alias("cosine"))
     ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("cosine"), "near"))).where(F.col("rank") <= k)
-    names = usable.groupBy("rep").agg(F.first("space").alias("space"), F.min("node").alias("name"))
+    names = nodes.groupBy("rep").agg(F.first("space").alias("space"), F.min("node").alias("name"))
     own = names.select("rep", "space", F.col("name").alias("id"))
     return ranked.join(own, "rep").join(names.select(F.col("rep").alias("near"), F.col("name").alias("other")), "near").select("space", "id", "other", F.round("cosine", 6).alias("cosine"), "rank")
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import random
+import time
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from lodestrata.llm import name_variants, near_duplicates, vector_neighbours
@@ -122,6 +125,55 @@ def test_a_dense_group(spark):
     assert len(found & truth) / len(truth) >= 0.9
 
 
+def written(spark) -> int:
+    """Bytes shuffled so far."""
+    time.sleep(1)
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+
+def test_many_vectors_are_shuffled_a_few_times_only(spark, tmp_path):
+    """Pairs near the limit among vectors of many cells: all found, and what is shuffled is no more than three times the input."""
+    rng = np.random.default_rng(21)
+    n, near = 20_000, 1_000
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    side = rng.standard_normal((near, 64))
+    side -= (side * x[:near]).sum(axis=1)[:, None] * x[:near]
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    cosine = rng.uniform(0.901, 0.95, near)[:, None]
+    x[-near:] = cosine * x[:near] + np.sqrt(1 - cosine**2) * side
+    names = [f"n{i}" for i in range(n)]
+    table = pa.table({"node_id": names, "space": ["s"] * n, "vec": pa.array(list(x.astype(np.float32)), pa.list_(pa.float32()))})
+    pq.write_table(table, tmp_path / "v.parquet")
+    before = written(spark)
+    found = {(r.id_a, r.id_b) for r in vector_neighbours.neighbour_pairs(spark.read.parquet(str(tmp_path / "v.parquet"))).collect()}
+    assert written(spark) - before <= 3 * (tmp_path / "v.parquet").stat().st_size
+    truth = {tuple(sorted((names[i], names[n - near + i]))) for i in range(near)}
+    assert found <= truth and len(found) >= 0.998 * len(truth)
+
+
+def test_a_node_with_several_vectors_keeps_the_least(spark, monkeypatch):
+    rows = [("a", "s", [1.0, 0.0, 0.5]), ("a", "s", [0.0, 1.0, 0.0]), ("a", "s", [0.0, 2.0, 0.0]), ("b", "s", [0.0, 3.0, 0.1]), ("c", "s", [2.0, 0.0, 1.0]), ("d", "s", [1.0, -0.0, 0.5])]
+    vectors = spark.createDataFrame(rows, "node_id string, space string, vec array<double>")
+    for held in (vector_neighbours.HELD_NODES, 0):
+        monkeypatch.setattr(vector_neighbours, "HELD_NODES", held)
+        assert {(r.id_a, r.id_b) for r in vector_neighbours.neighbour_pairs(vectors).collect()} == {("a", "b"), ("c", "d")}
+
+
+@pytest.mark.parametrize("dimensions", (1, 2, 7, 33, 64, 101))
+def test_codes_stay_within_the_margin(dimensions):
+    rng = np.random.default_rng(dimensions)
+    x = rng.standard_normal((20_000, dimensions))
+    y = x + 0.48 * rng.standard_normal(x.shape)
+    x, y = ((v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32) for v in (x, y))
+    turn = vector_neighbours._turn(dimensions)
+    p, q = (vector_neighbours._decoded(vector_neighbours._coded(v @ turn), dimensions) for v in (x, y))
+    true, seen = (x * y).sum(axis=1), (p * q).sum(axis=1)
+    close = true >= vector_neighbours.COSINE
+    assert close.any() and (seen[close] >= vector_neighbours.COSINE - vector_neighbours.MARGIN).all()
+
+
 # ---- names
 
 
