@@ -96,11 +96,18 @@ def stated_facts(text: Column) -> Column:
     return F.concat(found(" is ", r"([A-Za-z ]+) is (?:the )?([A-Za-z ]+)\.", "is"), found(" was born in ", r"([A-Za-z ]+) was born in ([A-Za-z ]+)\.", "born_in"))
 
 
+#: A match begins where a word does, so no middle of a word is tried.
+STATED = r"(?i)(?<![A-Za-z_])([A-Za-z_]+)\s+(is|likes|has|eats|knows|located_in|capital_of)\s+([A-Za-z_]+)"
+
+
+def stated_subjects(text: Column) -> Column:
+    """The subjects of stated_triplets alone."""
+    return F.transform(F.regexp_extract_all(text, F.lit(STATED), F.lit(1)), F.lower)
+
+
 def stated_triplets(text: Column) -> Column:
     """Lower-cased (subject, predicate, object) with a verb of a small vocabulary."""
-    # a match begins where a word does, so no middle of a word is tried
-    pattern = r"(?i)(?<![A-Za-z_])([A-Za-z_]+)\s+(is|likes|has|eats|knows|located_in|capital_of)\s+([A-Za-z_]+)"
-    parts = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(f"g{i}") for i in (1, 2, 3)))
+    parts = F.arrays_zip(*(F.regexp_extract_all(text, F.lit(STATED), F.lit(i)).alias(f"g{i}") for i in (1, 2, 3)))
     return F.transform(parts, lambda p: F.struct(F.lower(p["g1"]).alias("subject"), F.lower(p["g2"]).alias("predicate"), F.lower(p["g3"]).alias("object")))
 
 

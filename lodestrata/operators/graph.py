@@ -7,17 +7,27 @@ types and relations are compared in lower case.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from functools import reduce
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestrata.operators.components import connected_components
 from lodestrata.session import cut
+from lodestrata.tables import share_package
 
 #: Relations that don't state facts.
 STRUCTURAL = ("has_chunk", "next_chunk", "subject", "object", "has_fact", "mentions")
 
+#: Members of a block, about; blocks at least, where there are so many members for each; and names that a task passes on at once.
+MEMBERS_A_BLOCK, LEAST_BLOCKS, FEW_MEMBERS, NAMES_AT_ONCE = 12_000, 8, 500, 200_000
+#: Pairs that Spark makes of one row from Python, about: it holds them all at a time.
+PAIRS_A_ROW = 4_000
+
 
 def distinct_nodes(nodes: DataFrame) -> DataFrame:
     """Each id once, the first by pos, with its type in lower case."""
@@ -90,6 +100,111 @@ def co_mentions(pairs: DataFrame, member: str, group: str) -> DataFrame:
     return rows.withColumnRenamed("m", "src").join(other, "g").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("shared"))
 
 
+def _tiles(batches):
+    """Rows of one tile after another, as sorted."""
+    held, last = [], None
+    for batch in batches:
+        tile = batch.column("tile").to_numpy()
+        bounds = [0, *(np.flatnonzero(np.diff(tile)) + 1).tolist(), len(tile)]
+        for start, end in zip(bounds, bounds[1:]):
+            if end > start:
+                if held and tile[start] != last:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(start, end - start))
+                last = tile[start]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _later(tile: pa.Table):
+    """(sources, shared, others): members of a tile, and the later ones that share so many groups with each; of two blocks the first (side -1) is before the second (1), and either may be empty."""
+    names, listed = tile["m"].combine_chunks(), tile["groups"].combine_chunks()
+    side, lengths = tile["side"].to_numpy(), listed.value_lengths().to_numpy()
+    codes = listed.flatten().dictionary_encode()
+    group, owner = codes.indices.to_numpy().astype(np.intp), np.repeat(np.arange(len(names)), lengths)
+    group, ends = group[np.lexsort((group, owner))], np.cumsum(lengths)
+    alike = defaultdict(list)
+    split = int((side < 0).sum()) if (two := side[0] != 0) else len(names)
+    for i, (end, n) in enumerate(zip(ends[:split].tolist(), lengths[:split].tolist())):
+        alike[group[end - n : end].tobytes()].append(i)
+    target, first = (names.slice(split), split) if two else (names, 0)
+    mine = owner >= first
+    by_group = np.argsort(group[mine], kind="stable")
+    members = (owner[mine] - first)[by_group]
+    bounds = np.searchsorted(group[mine][by_group], np.arange(len(codes.dictionary) + 1)).tolist()
+    for key, sources in alike.items():  # members of the same groups share as many with any other
+        met = np.concatenate([members[bounds[g] : bounds[g + 1]] for g in np.frombuffer(key, np.intp).tolist()])
+        if 8 * len(met) < len(target):
+            hits, shared = np.unique(met, return_counts=True)
+        else:
+            shared = np.bincount(met, minlength=len(target))
+            hits = np.flatnonzero(shared)
+            shared = shared[hits]
+        if not len(hits):
+            continue
+        order = np.argsort(shared.astype(np.int16) if shared.max() < 2**15 else shared, kind="stable")
+        hits, shared = hits[order], shared[order]
+        taken, edges = target.take(pa.array(hits)), [0, *(np.flatnonzero(np.diff(shared)) + 1).tolist(), len(hits)]
+        for start, end in zip(edges, edges[1:]):
+            if two:
+                yield sources, shared[start], taken.slice(start, end - start)
+            else:  # those met are in the order of their names
+                for source, later in zip(sources, (start + np.searchsorted(hits[start:end], sources, side="right")).tolist()):
+                    if later < end:
+                        yield [source], shared[start], taken.slice(later, end - later)
+
+
+def _linked(at_once: int, a_row: int):
+    """Rows of _later of at most about ``a_row`` pairs each, so many names at a time."""
+
+    def lists(values, lengths):
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), values)
+
+    def batch(names, rows):
+        sources, shared, others = zip(*rows)
+        sources = lists(names.take(pa.array(list(chain.from_iterable(sources)))), map(len, sources))
+        return pa.RecordBatch.from_arrays([sources, pa.array(shared, pa.int64()), lists(pa.concat_arrays(others), map(len, others))], names=["sources", "shared", "others"])
+
+    def run(batches):
+        for tile in _tiles(batches):
+            names, rows, n = tile["m"].combine_chunks(), [], 0
+            for sources, shared, others in _later(tile):
+                step = max(1, a_row // len(others))
+                for i in range(0, len(sources), step):
+                    rows.append((sources[i : i + step], shared, others))
+                    n += len(rows[-1][0]) + len(others)
+                    if n >= at_once:
+                        yield batch(names, rows)
+                        rows, n = [], 0
+            if rows:
+                yield batch(names, rows)
+
+    return run
+
+
+def co_mentions_in_tiles(pairs: DataFrame, member: str, group: str) -> DataFrame:
+    """co_mentions where groups are large: no pair is shuffled.
+
+    Members are held with their groups, in blocks by name; a task has two of the blocks, or one, and counts what each member shares with later
+    ones.  A member is shuffled once for each block, so shuffles grow with the members times their blocks, not with the pairs.
+    """
+    share_package(pairs.sparkSession)
+    kind = pairs.schema[member].dataType.simpleString()
+    rows = pairs.select(F.col(member).alias("m"), F.col(group).alias("g")).where("m IS NOT NULL AND g IS NOT NULL")
+    held = cut(rows.groupBy("m").agg(F.collect_set("g").alias("groups")))
+    n = held.count()
+    blocks = max(1, -(-n // MEMBERS_A_BLOCK), min(LEAST_BLOCKS, n // FEW_MEMBERS))
+    # held again, as the bounds of blocks are drawn from samples
+    ranged = cut(held.repartitionByRange(blocks, "m").withColumn("block", F.spark_partition_id()))
+    met = ranged.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    met = met.select((high * (high + 1) / 2 + low).cast("int").alias("tile"), F.signum(F.col("block") - F.col("other")).cast("int").alias("side"), "m", "groups")
+    tiles = met.repartitionById(blocks * (blocks + 1) // 2, "tile").sortWithinPartitions("tile", "m")
+    linked = tiles.mapInArrow(_linked(NAMES_AT_ONCE, PAIRS_A_ROW), f"sources array<{kind}>, shared bigint, others array<{kind}>")
+    return linked.select(F.explode("sources").alias("src"), "shared", "others").select("src", F.explode("others").alias("dst"), "shared")
+
+
 def conflicting_facts(edges: DataFrame) -> DataFrame:
     """(``src``, ``relation``, ``objects``) of the statements that name several objects."""
     facts = distinct_edges(edges).where(~F.col("relation").isin(*STRUCTURAL))

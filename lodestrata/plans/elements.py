@@ -138,7 +138,7 @@ def walk_entity_chunks(spark, sf_dir):
 
 def graph_linked_sections_by_entity(spark, sf_dir):
     """Sections that state something about the same subject."""
-    return G.co_mentions(L.section_subjects(_lines(spark, sf_dir)), "section", "entity")
+    return G.co_mentions_in_tiles(L.section_subjects(table(spark, sf_dir, "documents")), "section", "entity")
 
 
 def graph_found_facts(spark, sf_dir):

@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from difflib import SequenceMatcher
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -381,3 +382,44 @@ def test_linked_sections_join_subjects_only(spark, small):
     about = G.related(walked, "subject").select(F.col("src").alias("fact"), F.col("dst").alias("entity"))
     expected = G.co_mentions(fact_sections(walked).join(about, "fact"), "section", "entity")
     assert sorted(map(tuple, frame.collect())) == sorted(map(tuple, expected.collect()))
+
+
+@pytest.mark.parametrize("block, least, few, names, a_row", ((12_000, 8, 500, 200_000, 4_000), (40, 8, 500, 50, 7), (500, 3, 10, 1, 1)))
+def test_co_mentions_in_tiles_equal_the_join_and_shuffle_no_pair(spark, monkeypatch, block, least, few, names, a_row):
+    for name, value in (("MEMBERS_A_BLOCK", block), ("LEAST_BLOCKS", least), ("FEW_MEMBERS", few), ("NAMES_AT_ONCE", names), ("PAIRS_A_ROW", a_row)):
+        monkeypatch.setattr(G, name, value)
+    rng = np.random.default_rng(5)
+    rows = [(f"m{i}{'é' * (i % 3)}", f"g{g}") for i in range(300) for g in rng.zipf(1.4, rng.integers(1, 5)) % 50]
+    rows += [("a", "g1"), ("a", "g1"), (None, "g1"), ("b", None), ("c", "alone"), ("", "g2"), ("z", ""), ("y", "")] + [(m, f"h{i}") for m in ("y", "z", "m7") for i in range(300)]
+    pairs = spark.createDataFrame(rows, "member string, g string").repartition(3)
+    frame = G.co_mentions_in_tiles(pairs, "member", "g")
+    assert not {"SortMergeJoin", "BroadcastHashJoin", "HashAggregate"} & set(re.findall(r"\w+", _operators(frame)))
+    expected = G.co_mentions(pairs, "member", "g")
+    assert frame.dtypes == expected.dtypes
+    assert sorted(map(tuple, frame.collect())) == sorted(map(tuple, expected.collect()))
+    assert G.co_mentions_in_tiles(pairs.where("g = 'none'"), "member", "g").count() == 0
+
+
+def test_tiles_of_few_members_and_of_empty_blocks_repeat_no_pair(spark, monkeypatch):
+    tile = lambda *sides: pa.table({"m": ["a", "b"], "groups": [["g"], ["g"]], "side": pa.array(sides, pa.int32())})
+    found = lambda t: [(sources, int(shared), others.to_pylist()) for sources, shared, others in G._later(t)]
+    assert found(tile(-1, -1)) == found(tile(1, 1)) == []
+    assert found(tile(0, 0)) == found(tile(-1, 1)) == [([0], 1, ["b"])]
+    monkeypatch.setattr(G, "MEMBERS_A_BLOCK", 1)
+    pairs = spark.createDataFrame([(f"m{i}", g) for i in range(9) for g in ("all", f"g{i % 3}")], "member string, g string")
+    rows = lambda f: sorted(map(tuple, f.collect()))
+    assert rows(G.co_mentions_in_tiles(pairs, "member", "g")) == rows(G.co_mentions(pairs, "member", "g"))
+
+
+def test_linked_sections_of_odd_documents_join_and_shuffle_no_pair(spark, tmp_path):
+    from compare import duck, rows_of
+    from lodestrata.plans.elements import ORACLES, graph_linked_sections_by_entity as linked
+
+    texts = ["Gate\nThe gate is red.\r\nA map is here. The Gate has bars\n\nMap\nmap IS old.", "before is here.\nTitle is this\n- gate is big.\nthe gate likes it.", None, "", "Gate\nis is is. gate  is x. MAP has gate.", "no titles here, but a map is known to them, says a line that is long enough."]
+    rows = [(i % 5, t) for i, t in enumerate(texts * 2)] + [(None, texts[0]), (1, texts[1]), (77, texts[0])]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    frame = linked(spark, str(tmp_path))
+    assert not {"SortMergeJoin", "BroadcastHashJoin", "HashAggregate"} & set(re.findall(r"\w+", _operators(frame)))
+    said = duck(str(tmp_path)).execute(ORACLES["graph_linked_sections_by_entity"])
+    columns = [d[0] for d in said.description]
+    assert (found := rows_of(frame.columns, frame.collect())) == rows_of(columns, said.fetchall()) and found
